@@ -98,7 +98,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """Exact linear-interpolated quantiles: one row per key, ``q`` = array in ``probs`` order.
 
     Only the pieces that hold a wanted rank are sorted; every other piece is
-    reduced to its count.
+    reduced to its count. ``n`` is the number of non-null rows of the key.
     """
     cuts = cut_points(df, value)
     vc = value_counts(df, keys, value).withColumn(_PIECE, piece_of(F.col(value), cuts))
@@ -124,21 +124,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
     sizes = sizes.withColumn("want", F.filter(
         wanted, lambda w: within(w["lo"], F.col("start"), end) | within(w["hi"], F.col("start"), end)))
-    sizes = sizes.where(F.size("want") > 0).select(*at, "start", "want")
+    sizes = sizes.where(F.size("want") > 0).select(*at, "start", "total", "want")
     hit = vc.join(sizes, at)
     upto = F.col("start") + F.sum("n").over(W.partitionBy(*at).orderBy(value))
     hit = hit.withColumn("_stop", upto).withColumn("_first", F.col("_stop") - F.col("n"))
-    hit = hit.select(*keys, value, "_first", "_stop", F.explode("want").alias("w"))
+    hit = hit.select(*keys, value, "total", "_first", "_stop", F.explode("want").alias("w"))
     lo_here = within(F.col("w.lo"), F.col("_first"), F.col("_stop"))
     hi_here = within(F.col("w.hi"), F.col("_first"), F.col("_stop"))
     ends = hit.where(lo_here | hi_here).groupBy(*keys, F.col("w.i").alias("i")).agg(
         F.max(F.when(lo_here, F.col(value))).alias("lo_v"),
         F.max(F.when(hi_here, F.col(value))).alias("hi_v"),
-        F.max("w.frac").alias("frac"))
+        F.max("w.frac").alias("frac"), F.max("total").alias("n"))
     point = F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac")
     arr = F.sort_array(F.collect_list(F.struct("i", point.cast("double").alias("v"))))
-    return ends.groupBy(*keys).agg(arr.alias("q")).select(
-        *keys, F.transform("q", lambda x: x["v"]).alias("q"))
+    return ends.groupBy(*keys).agg(arr.alias("q"), F.max("n").alias("n")).select(
+        *keys, F.transform("q", lambda x: x["v"]).alias("q"), "n")
 
 
 def join_per_value(df: DataFrame, per_value: DataFrame, on: list[str], total_rows: Column) -> DataFrame:
