@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillwatch.session import settle
+
 _PIECE = "_piece"
 MAX_PIECES = 128
 HOT_SHARE = 1000
+BROADCAST_ROWS = 50_000
 
 
 def piece_count(df: DataFrame) -> int:
@@ -72,10 +75,14 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
 
 def value_counts(df: DataFrame, keys: list[str], value: str,
                  extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row per (keys, value): ``n`` and optional extra sums. Ties collapse map-side."""
+    """One row per (keys, value): ``n`` and optional extra sums. Ties collapse map-side.
+
+    The result is settled: cut points, piece sizes and the sort all read it, and
+    the (possibly expensive) input runs once.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(c).alias(k) for k, c in (extra or {}).items()]
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs)
+    return settle(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs))
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str,
@@ -84,8 +91,8 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
 
     ``cum_*`` counts this value and everything ranked before it.
     """
-    cuts = cut_points(df, value)
     vc = value_counts(df, keys, value, extra)
+    cuts = cut_points(vc, value)
     piece = piece_of(F.col(value), cuts)
     vc = vc.withColumn("_ord", -F.col(value) if descending else F.col(value))
     if descending:
@@ -100,8 +107,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     Only the pieces that hold a wanted rank are sorted; every other piece is
     reduced to its count. ``n`` is the number of non-null rows of the key.
     """
-    cuts = cut_points(df, value)
-    vc = value_counts(df, keys, value).withColumn(_PIECE, piece_of(F.col(value), cuts))
+    vc = value_counts(df, keys, value)
+    vc = vc.withColumn(_PIECE, piece_of(F.col(value), cut_points(vc, value)))
     at = [*keys, _PIECE]
     sizes = vc.groupBy(*at).agg(F.sum("n").alias("piece_n"))
     by_key = W.partitionBy(*keys, F.lit(0))
@@ -141,34 +148,43 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         *keys, F.transform("q", lambda x: x["v"]).alias("q"), "n")
 
 
-def join_per_value(df: DataFrame, per_value: DataFrame, on: list[str], total_rows: Column) -> DataFrame:
+def join_per_value(df: DataFrame, per_value: DataFrame, on: list[str],
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Attach one-row-per-key columns to ``df`` although some keys are very hot.
 
-    ``per_value`` carries ``n``, the number of ``df`` rows with that key. Keys
-    holding over 1/1000 of ``total_rows`` are fewer than 1000 by counting, so
-    they go by broadcast; the rest shuffle, and no shuffled key is large.
+    ``per_value`` carries ``n``, the number of ``df`` rows with that key (dropped
+    from the result). A table counted as small is broadcast whole. Otherwise
+    keys holding over 1/1000 of all rows - fewer than 1000 by counting - are
+    broadcast, and the remaining rows meet their key in one shuffle where the
+    already served hot rows are spread by a row hash.
     """
-    limit = total_rows / F.lit(float(HOT_SHARE))
-    hot = F.broadcast(per_value.where(F.col("n") > limit))
-    cold = per_value.where(F.col("n") <= limit)
-    first = df.join(hot, on)
-    rest = df.join(hot.select(*on), on, "left_anti").join(cold, on)
-    return first.unionByName(rest)
+    table = settle(per_value)
+    cols = [c for c in table.columns if c not in on and c != "n"]
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return df.join(F.broadcast(table.drop("n")), on)
+    limit = table.agg(F.sum("n")).scalar() / F.lit(float(HOT_SHARE))
+    hot = table.where(F.col("n") > limit).select(
+        *on, *[F.col(c).alias(f"_hot_{c}") for c in cols], F.lit(True).alias("_hot"))
+    cold = table.where(F.col("n") <= limit).drop("n").withColumn("_salt", F.lit(0).cast("long"))
+    tagged = df.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(9973)) + 1)
+                  .otherwise(F.lit(0)).cast("long"))
+    out = tagged.join(cold, [*on, "_salt"], "left")
+    rest = [c for c in df.columns if c not in on]
+    return out.select(*on, *rest, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in cols])
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``avg_rank`` (ties share their mean rank, 1-based) and ``group_n``."""
     ranks = ranked_values(df, keys, value)
-    sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("group_n"))
     if keys:
-        ranks = ranks.join(sizes, keys)
+        ranks = ranks.join(ranks.groupBy(*keys).agg(F.sum("n").alias("group_n")), keys)
     else:
-        ranks = ranks.withColumn("group_n", sizes.scalar())
+        ranks = ranks.withColumn("group_n", ranks.agg(F.sum("n")).scalar())
     ranks = ranks.select(
         *keys, value, "n", "group_n",
         (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias("avg_rank"))
-    rows = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return join_per_value(df, ranks, [*keys, value], rows).drop("n")
+    return join_per_value(df, ranks, [*keys, value])
 
 
 def hash_rank(df: DataFrame, keys: list[str], hash_col: str) -> DataFrame:

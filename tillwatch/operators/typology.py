@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from tillwatch.functions.safe import finite_or_zero, number_or_zero
 from tillwatch.model import OPEN_BUCKET_DAYS, OPEN_DAYS_UNKNOWN, TYPOLOGY_SOURCES
 from tillwatch.operators.ordering import exact_quantiles, join_per_value
+from tillwatch.session import settle
 
 EPS = 1.0
 
 
 def peer_median(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Attach the exact median of ``value`` among the row's peers.
+    """Exact median of ``value`` per peer group, with the group's row count ``n``.
 
-    Peer groups can be huge (a third of all customers in one occupation), so the
-    median is found piecewise and the few hot groups join by broadcast.
+    Groups can be huge (a third of all customers in one occupation), so the
+    median is found piecewise.
     """
-    med = exact_quantiles(df, [group], value, [0.5]).select(
-        group, F.col("q")[0].alias(name), "n")
-    rows = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return join_per_value(df, med, [group], rows).drop("n")
+    return exact_quantiles(df, [group], value, [0.5]).select(group, F.col("q")[0].alias(name), "n")
 
 
 def typology(df: DataFrame, sources: dict[str, str] | None = None, key: str = "account_id") -> DataFrame:
@@ -33,11 +31,15 @@ def typology(df: DataFrame, sources: dict[str, str] | None = None, key: str = "a
         *[(F.lower(F.trim(F.coalesce(F.col(v).cast("string"), F.lit("nan")))) if k in text
            else number_or_zero(F.col(v))).alias(k) for k, v in src.items()])
     have = set(src)
+    peers = []
     if {"occupation", "amt_cr_31"} <= have:
-        work = peer_median(work, "occupation", "amt_cr_31", "med_occ")
+        peers.append(("occupation", "med_occ"))
     if {"age", "amt_cr_31"} <= have:
         work = work.withColumn("age_band", F.floor(F.col("age") / F.lit(10.0)))
-        work = peer_median(work, "age_band", "amt_cr_31", "med_age")
+        peers.append(("age_band", "med_age"))
+    work = settle(work)
+    for group, name in peers:
+        work = join_per_value(work, peer_median(work, group, "amt_cr_31", name), [group])
     c = F.col
     eps = F.lit(EPS)
 

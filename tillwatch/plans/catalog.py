@@ -1,6 +1,6 @@
 """Imports every plan module so that its queries register."""
 
-from tillwatch.plans import feature_queries, rolling_queries  # noqa: F401
+from tillwatch.plans import feature_queries, quality_queries, rolling_queries  # noqa: F401
 from tillwatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
