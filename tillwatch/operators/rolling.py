@@ -229,3 +229,49 @@ def event_rolling(tx: DataFrame, windows=WINDOW_DAYS, bucket_hours: int = 6) ->
         "event_id", "account_id",
         *[F.col(f"amt_{w}").cast("double").alias(f"amt_{w}") for w in windows],
         *[F.col(f"n_{w}").cast("long").alias(f"n_{w}") for w in windows])
+
+
+def features_at(points: DataFrame, tx: DataFrame, channels=CHANNELS, windows=WINDOW_DAYS,
+                pairs=RATIO_PAIRS, bucket_hours: int = 6) -> DataFrame:
+    """The flat features of every point (event_id, account_id, ts) as of its own time.
+
+    The same sweep as ``event_rolling``, keyed by account and channel, with the
+    points as extra rows that read the running totals. Cost is linear in
+    events and points; no event is paired with another.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) * 2
+    zero = F.lit(0).cast("decimal(18,2)")
+    steps = [F.struct(F.lit(0).cast("long").alias("shift"), F.lit(0).alias("w"))]
+    steps += [F.struct(F.lit(w * 86_400_000_000 * 2 + 1).cast("long").alias("shift"), F.lit(w).alias("w"))
+              for w in windows]
+    moves = tx.where(F.col("channel").isin(channels)).select(
+        F.lit(None).cast(points.schema["event_id"].dataType).alias("event_id"), "account_id", "channel",
+        "direction", "amount", micros.alias("_m"), F.explode(F.array(*steps)).alias("s"))
+    moves = moves.select("event_id", "account_id", "channel", "direction", "amount",
+                         (F.col("_m") + F.col("s.shift")).alias("_at"), F.col("s.w").alias("_w"))
+    reads = points.select(
+        "event_id", "account_id", F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"),
+        F.lit(None).cast("string").alias("direction"), zero.alias("amount"),
+        micros.alias("_at"), F.lit(-1).alias("_w"))
+    sums = {}
+    for w in windows:
+        for tag, cond in [("total", F.lit(True)), ("cr", F.col("direction") == "CREDIT"),
+                          ("db", F.col("direction") == "DEBIT")]:
+            sign = [((F.col("_w") == 0) & cond, F.lit(1)), ((F.col("_w") == w) & cond, F.lit(-1))]
+            sums[f"{tag}_amt_{w}"] = pick([(c, F.col("amount") * x) for c, x in sign], zero)
+            sums[f"{tag}_txns_{w}"] = pick(sign, F.lit(0))
+    bucket = F.floor(F.col("_at") / F.lit(bucket_hours * 3_600_000_000 * 2))
+    done = running(moves.unionByName(reads), ["account_id", "channel"], "_at", sums, bucket)
+    done = done.where(F.col("_w") == -1)
+    aggs = [F.first(f"{s}_{w}").alias(f"L{w}D_{s.upper()}") for w in windows for s in BASIC]
+    piv = done.groupBy("event_id", "account_id").pivot("channel", channels).agg(*aggs)
+    out = ["event_id", "account_id"]
+    for c in channels:
+        for w in windows:
+            for s in BASIC:
+                name = f"{c}_L{w}D_{s.upper()}"
+                out.append(F.col(name).cast("double" if s.endswith("amt") else "long").alias(name))
+        for a, b in pairs:
+            out.append(ratio_or_zero(F.col(f"{c}_L{a}D_TOTAL_AMT"), F.col(f"{c}_L{b}D_TOTAL_AMT"))
+                       .alias(f"R_{c}_AMT_L{a}_{b}D"))
+    return piv.select(*out)

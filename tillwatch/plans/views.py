@@ -21,12 +21,15 @@ def as_of_col():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    """``events`` as money movements (see SURVEY 7.1); balances are a stand-in value."""
+def as_transactions(events: DataFrame) -> DataFrame:
+    """``events`` rows, batch or stream, as money movements (see SURVEY 7.1).
+
+    The balance is a stand-in value.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     amount = F.col("value").cast(MONEY)
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").alias("account_id"),
         "ts",
@@ -38,6 +41,10 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return as_transactions(table(spark, sf, "events"))
+
+
 _CH = "[" + ", ".join(f"'{c}'" for c in CHANNELS) + "]"
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 TX = f"""tx AS (
