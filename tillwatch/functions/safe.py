@@ -45,14 +45,6 @@ def row_mean(cols: list[Column]) -> Column:
     return total(cols) / F.lit(float(len(cols)))
 
 
-def row_std(cols: list[Column]) -> Column:
-    """Sample standard deviation across the given columns of one row."""
-    if len(cols) < 2:
-        return F.lit(None).cast("double")
-    m = row_mean(cols)
-    return F.sqrt(total([(c - m) * (c - m) for c in cols]) / F.lit(float(len(cols) - 1)))
-
-
 def pick(branches: list[tuple[Column, Column]], default: Column | None = None) -> Column:
     """First branch whose condition holds."""
     cond, value = branches[0]

@@ -38,39 +38,39 @@ def cut_points(df: DataFrame, value: str, pieces: int | None = None) -> list[flo
     return sorted({float(c) for c in (row["c"] or []) if c == c})
 
 
-def piece_of(value: Column, cuts: list[float]) -> Column:
-    """Index of the piece a value falls in, as a binary decision nest."""
-    def nest(lo: int, hi: int) -> Column:
+def piece_of(value: str, cuts: list[float]) -> Column:
+    """Index of the piece a column's value falls in, as a binary decision nest."""
+    def nest(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(value <= F.lit(cuts[mid]), nest(lo, mid)).otherwise(nest(mid + 1, hi))
+        return f"CASE WHEN `{value}` <= {cuts[mid]!r}D THEN {nest(lo, mid)} ELSE {nest(mid + 1, hi)} END"
 
-    return nest(0, len(cuts))
+    return F.expr(nest(0, len(cuts)))
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str],
             piece: Column) -> DataFrame:
     """Add ``<name>`` = sum over rows of the key whose ``order`` is <= this row's.
 
-    Peers (equal ``order``) are included, as in a RANGE frame. ``piece`` must be
-    non-decreasing in ``order``. Offsets have at most keys x pieces rows.
+    ``sums`` maps names to SQL expressions. Peers (equal ``order``) are included,
+    as in a RANGE frame. ``piece`` must be non-decreasing in ``order``. Offsets
+    have at most keys x pieces rows.
     """
-    tagged = df.withColumn(_PIECE, piece)
-    for name, expr in sums.items():
-        tagged = tagged.withColumn(f"_in_{name}", expr)
+    tagged = df.withColumn(_PIECE, piece).selectExpr(
+        "*", *[f"{e} AS `_in_{n}`" for n, e in sums.items()])
     at = [*keys, _PIECE]
-    offsets = tagged.groupBy(*at).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
-    before = W.partitionBy(*keys, F.lit(0)).orderBy(_PIECE).rowsBetween(W.unboundedPreceding, -1)
-    offsets = offsets.select(
-        *at, *[F.sum(f"_t_{n}").over(before).alias(f"_b_{n}") for n in sums])
-    inside = W.partitionBy(*at).orderBy(order)
-    local = tagged.select(
-        "*", *[F.sum(f"_in_{n}").over(inside).alias(f"_l_{n}") for n in sums])
-    joined = local.join(offsets, at, "left")
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_b_{n}"), F.lit(0))).alias(n) for n in sums])
+    part = ", ".join(f"`{k}`" for k in keys) or "0"
+    offsets = tagged.groupBy(*at).agg(*[F.expr(f"sum(`_in_{n}`) AS `_t_{n}`") for n in sums]).selectExpr(
+        *[f"`{c}`" for c in at],
+        *[f"sum(`_t_{n}`) OVER (PARTITION BY {part} ORDER BY {_PIECE} "
+          f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS `_b_{n}`" for n in sums])
+    inside = f"PARTITION BY {', '.join(f'`{c}`' for c in at)} ORDER BY `{order}`"
+    local = tagged.selectExpr(*[f"`{c}`" for c in [*df.columns, _PIECE]],
+                              *[f"sum(`_in_{n}`) OVER ({inside}) AS `_l_{n}`" for n in sums])
+    return local.join(offsets, at, "left").selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"`_l_{n}` + coalesce(`_b_{n}`, 0) AS `{n}`" for n in sums])
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str,
@@ -93,11 +93,11 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
     """
     vc = value_counts(df, keys, value, extra)
     cuts = cut_points(vc, value)
-    piece = piece_of(F.col(value), cuts)
+    piece = piece_of(value, cuts)
     vc = vc.withColumn("_ord", -F.col(value) if descending else F.col(value))
     if descending:
         piece = -piece
-    sums = {"cum_n": F.col("n"), **{f"cum_{k}": F.col(k) for k in (extra or {})}}
+    sums = {"cum_n": "n", **{f"cum_{k}": f"`{k}`" for k in (extra or {})}}
     return running(vc, keys, "_ord", sums, piece).drop("_ord")
 
 
@@ -108,44 +108,37 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     reduced to its count. ``n`` is the number of non-null rows of the key.
     """
     vc = value_counts(df, keys, value)
-    vc = vc.withColumn(_PIECE, piece_of(F.col(value), cut_points(vc, value)))
+    vc = vc.withColumn(_PIECE, piece_of(value, cut_points(vc, value)))
     at = [*keys, _PIECE]
-    sizes = vc.groupBy(*at).agg(F.sum("n").alias("piece_n"))
-    by_key = W.partitionBy(*keys, F.lit(0))
-    sizes = sizes.select(
+    part = ", ".join(f"`{k}`" for k in keys) or "0"
+    sizes = vc.groupBy(*at).agg(F.sum("n").alias("piece_n")).selectExpr(
         *at, "piece_n",
-        F.coalesce(F.sum("piece_n").over(
-            by_key.orderBy(_PIECE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"),
-        F.sum("piece_n").over(by_key).alias("total"))
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"),
-                 F.floor(F.lit(p) * (F.col("total") - 1)).alias("lo"),
-                 F.ceil(F.lit(p) * (F.col("total") - 1)).alias("hi"),
-                 (F.lit(p) * (F.col("total") - 1)
-                  - F.floor(F.lit(p) * (F.col("total") - 1))).alias("frac"))
-        for i, p in enumerate(probs)])
-    end = F.col("start") + F.col("piece_n")
-
-    def within(rank: Column, first: Column, stop: Column) -> Column:
-        return (rank >= first) & (rank < stop)
-
-    sizes = sizes.withColumn("want", F.filter(
-        wanted, lambda w: within(w["lo"], F.col("start"), end) | within(w["hi"], F.col("start"), end)))
-    sizes = sizes.where(F.size("want") > 0).select(*at, "start", "total", "want")
-    hit = vc.join(sizes, at)
-    upto = F.col("start") + F.sum("n").over(W.partitionBy(*at).orderBy(value))
-    hit = hit.withColumn("_stop", upto).withColumn("_first", F.col("_stop") - F.col("n"))
-    hit = hit.select(*keys, value, "total", "_first", "_stop", F.explode("want").alias("w"))
-    lo_here = within(F.col("w.lo"), F.col("_first"), F.col("_stop"))
-    hi_here = within(F.col("w.hi"), F.col("_first"), F.col("_stop"))
-    ends = hit.where(lo_here | hi_here).groupBy(*keys, F.col("w.i").alias("i")).agg(
-        F.max(F.when(lo_here, F.col(value))).alias("lo_v"),
-        F.max(F.when(hi_here, F.col(value))).alias("hi_v"),
-        F.max("w.frac").alias("frac"), F.max("total").alias("n"))
-    point = F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac")
-    arr = F.sort_array(F.collect_list(F.struct("i", point.cast("double").alias("v"))))
-    return ends.groupBy(*keys).agg(arr.alias("q"), F.max("n").alias("n")).select(
-        *keys, F.transform("q", lambda x: x["v"]).alias("q"), "n")
+        f"coalesce(sum(piece_n) OVER (PARTITION BY {part} ORDER BY {_PIECE} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
+        f"sum(piece_n) OVER (PARTITION BY {part}) AS total")
+    # Ranks wanted per probability; one literal array, cut to those this piece holds.
+    given = ", ".join(f"{float(p)!r}D" for p in probs)
+    wanted = (f"transform(array({given}), (p, i) -> named_struct('i', i, 'lo', floor(p * (total - 1)), "
+              "'hi', ceil(p * (total - 1)), 'frac', p * (total - 1) - floor(p * (total - 1))))")
+    sizes = sizes.selectExpr(
+        *at, "start", "total",
+        f"filter({wanted}, w -> (w.lo >= start AND w.lo < start + piece_n) "
+        "OR (w.hi >= start AND w.hi < start + piece_n)) AS want").where("size(want) > 0")
+    here = ", ".join(f"`{c}`" for c in at)
+    hit = vc.join(sizes, at).selectExpr(
+        "*", f"start + sum(n) OVER (PARTITION BY {here} ORDER BY `{value}`) AS _stop")
+    hit = hit.selectExpr(*keys, f"CAST(`{value}` AS DOUBLE) AS _v", "total", "_stop - n AS _first", "_stop",
+                         "explode(want) AS w")
+    hit = hit.selectExpr(
+        *keys, "w.i AS i", "total", "w.frac AS frac",
+        "CASE WHEN w.lo >= _first AND w.lo < _stop THEN _v END AS lo_v",
+        "CASE WHEN w.hi >= _first AND w.hi < _stop THEN _v END AS hi_v")
+    ends = hit.where("lo_v IS NOT NULL OR hi_v IS NOT NULL").groupBy(*keys, "i").agg(
+        F.max("lo_v").alias("lo_v"), F.max("hi_v").alias("hi_v"), F.max("frac").alias("frac"),
+        F.max("total").alias("n"))
+    return ends.groupBy(*keys).agg(
+        F.expr("transform(sort_array(collect_list(named_struct('i', i, 'v', lo_v + (hi_v - lo_v) * frac))), "
+               "x -> x.v) AS q"), F.max("n").alias("n"))
 
 
 def join_per_value(df: DataFrame, per_value: DataFrame, on: list[str],
@@ -194,5 +187,5 @@ def hash_rank(df: DataFrame, keys: list[str], hash_col: str) -> DataFrame:
     any data pass.
     """
     piece = F.conv(F.substring(hash_col, 1, 2), 16, 10).cast("int")
-    out = running(df, keys, hash_col, {"row_rank": F.lit(1)}, piece)
+    out = running(df, keys, hash_col, {"row_rank": "1"}, piece)
     return out.withColumn("row_rank", F.col("row_rank") - 1)

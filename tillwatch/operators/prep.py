@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwatch.functions.safe import row_mean, row_std
-from tillwatch.operators.clean import to_long
+from tillwatch.operators.clean import stack_columns, to_long
 from tillwatch.operators.drift import bin_of
 from tillwatch.operators.ordering import exact_quantiles, hash_rank, join_per_value, ranked_values
 from tillwatch.session import broadcast_when_small, settle
@@ -76,9 +75,7 @@ def top_features(long: DataFrame, n: int, bins: int = MI_BINS) -> list[str]:
 
 
 def labelled_long(df: DataFrame, cols: list[str], label: str = "label", extra=()) -> DataFrame:
-    ids = [*extra, label]
-    return df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
-        ids, [F.col(f"`{c}`") for c in cols], "feature", "value").withColumnRenamed(label, "label")
+    return stack_columns(df, [*extra, label], cols).withColumnRenamed(label, "label")
 
 
 def stability_counts(df: DataFrame, cols: list[str], n_features: int, runs: int, seed: int = 42,
@@ -119,25 +116,33 @@ class Engineered:
         mins = train.agg(*[F.min(f"`{c}`").alias(f"m{i}") for i, c in enumerate(lead)]).first()
         return Engineered(list(top), [c for i, c in enumerate(lead) if (mins[f"m{i}"] or 0) > 0])
 
-    def columns(self) -> dict:
-        c = {n: F.col(f"`{n}`") for n in self.top}
-        out = {f"{n}_log": F.log1p(F.greatest(c[n], F.lit(0.0))) for n in self.log_cols}
-        out |= {f"{n}_sq": c[n] * c[n] for n in self.top[:20]}
+    def columns(self) -> dict[str, str]:
+        """Name to SQL expression over the selected columns."""
+        out = {f"{n}_log": f"log1p(greatest(`{n}`, 0D))" for n in self.log_cols}
+        out |= {f"{n}_sq": f"`{n}` * `{n}`" for n in self.top[:20]}
         lead = self.top[:10]
-        out |= {f"{a}_x_{b}": c[a] * c[b] for i, a in enumerate(lead) for b in lead[i + 1:]}
+        out |= {f"{a}_x_{b}": f"`{a}` * `{b}`" for i, a in enumerate(lead) for b in lead[i + 1:]}
+        for k in (10, 20, 50):
+            out[f"top_{k}_mean"] = "(" + " + ".join(f"`{n}`" for n in self.top[:k]) + f") / {len(self.top[:k])}D"
+        return out
+
+    def deviations(self) -> dict[str, str]:
+        """Row deviations read the stored row means; inlined, the sums would repeat per term."""
+        out = {}
         for k in (10, 20):
-            part = [c[n] for n in self.top[:k]]
-            out[f"top_{k}_mean"], out[f"top_{k}_std"] = row_mean(part), row_std(part)
-        out["top_50_mean"] = row_mean([c[n] for n in self.top[:50]])
+            part = self.top[:k]
+            terms = " + ".join(f"(`{n}` - top_{k}_mean) * (`{n}` - top_{k}_mean)" for n in part)
+            out[f"top_{k}_std"] = f"sqrt(({terms}) / {len(part) - 1}D)" if len(part) > 1 else "CAST(NULL AS DOUBLE)"
         return out
 
     @property
     def names(self) -> list[str]:
-        return [*self.top, *self.columns()]
+        return [*self.top, *self.columns(), *self.deviations()]
 
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ("account_id",)) -> DataFrame:
-        return df.select(*keep, *[F.col(f"`{n}`") for n in self.top],
-                         *[e.alias(n) for n, e in self.columns().items()])
+        first = df.selectExpr(*[f"`{c}`" for c in (*keep, *self.top)],
+                              *[f"{e} AS `{n}`" for n, e in self.columns().items()])
+        return first.selectExpr("*", *[f"{e} AS `{n}`" for n, e in self.deviations().items()])
 
 
 @dataclass(frozen=True)
@@ -154,12 +159,13 @@ class RobustScale:
         iqr = {r["feature"]: (r["q"][2] - r["q"][0]) or 1.0 for r in rows}
         return RobustScale(mid, iqr)
 
-    def expr(self, c: str):
-        x = F.col(f"`{c}`").cast("double")
-        return (x - F.lit(float(self.center.get(c, 0.0)))) / F.lit(float(self.scale.get(c, 1.0)))
+    def sql(self, c: str) -> str:
+        mid, iqr = float(self.center.get(c, 0.0)), float(self.scale.get(c, 1.0))
+        return f"(CAST(`{c}` AS DOUBLE) - {mid!r}D) / {iqr!r}D"
 
     def transform(self, df: DataFrame, cols: list[str]) -> DataFrame:
-        return df.withColumns({c: self.expr(c) for c in cols})
+        scaled = set(cols)
+        return df.selectExpr(*[f"{self.sql(c)} AS `{c}`" if c in scaled else f"`{c}`" for c in df.columns])
 
 
 def rank_transform(long: DataFrame) -> DataFrame:
@@ -204,7 +210,8 @@ class QuantileMap:
                     out[c] = pd.Series(0.5 * (up + down), index=pdf.index)
                 yield out
 
-        typed = df.withColumns({c: F.col(f"`{c}`").cast("double") for c in cols})
+        mapped = set(cols)
+        typed = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in mapped else f"`{c}`" for c in df.columns])
         return typed.mapInPandas(apply, typed.schema)
 
 

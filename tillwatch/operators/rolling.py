@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.functions.safe import pick, ratio_or_zero
+from tillwatch.functions.safe import ratio_or_zero
 from tillwatch.model import (
     CHANNELS, ELEC_XFER_MEMBERS, NON_CASH_CHQ_EXCLUDES, RATIO_PAIRS, WINDOW_DAYS)
 from tillwatch.operators.ordering import running
@@ -30,56 +30,65 @@ def in_window(as_of: Column, n_days: int) -> Column:
     return (F.col("ts") >= as_of - days(n_days)) & (F.col("ts") <= as_of)
 
 
-def _sum(cond: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("double")
+# Wide feature sets are written as SQL text: the plan is the same, and building
+# thousands of Column objects from Python would cost more than planning them.
 
+def _inside(w: int) -> str:
+    return f"ts >= _as_of - INTERVAL {int(w)} DAYS AND ts <= _as_of"
 
-def _count(cond: Column) -> Column:
-    return F.count(F.when(cond, F.lit(1)))
 
+def _sum(cond: str, value: str = "amount") -> str:
+    return f"CAST(coalesce(sum({value}) FILTER (WHERE {cond}), 0) AS DOUBLE)"
 
-def _window_aggs(as_of: Column, w: int, extended: bool) -> list[Column]:
-    inside = in_window(as_of, w)
-    credit = inside & (F.col("direction") == "CREDIT")
-    debit = inside & (F.col("direction") == "DEBIT")
-    amount = F.col("amount")
-    out = [
-        _sum(inside, amount).alias(f"total_amt_{w}"),
-        _sum(credit, amount).alias(f"cr_amt_{w}"),
-        _sum(debit, amount).alias(f"db_amt_{w}"),
-        _count(inside).alias(f"total_txns_{w}"),
-        _count(credit).alias(f"cr_txns_{w}"),
-        _count(debit).alias(f"db_txns_{w}"),
-    ]
+
+def _count(cond: str) -> str:
+    return f"count(1) FILTER (WHERE {cond})"
+
+
+def _window_aggs(w: int, extended: bool) -> dict[str, str]:
+    inside = _inside(w)
+    credit, debit = f"{inside} AND direction = 'CREDIT'", f"{inside} AND direction = 'DEBIT'"
+    out = {
+        f"total_amt_{w}": _sum(inside), f"cr_amt_{w}": _sum(credit), f"db_amt_{w}": _sum(debit),
+        f"total_txns_{w}": _count(inside), f"cr_txns_{w}": _count(credit), f"db_txns_{w}": _count(debit),
+    }
     if extended:
-        induced = inside & F.col("is_customer_induced")
-        n = _count(inside).cast("double")
-        out += [
-            F.min(F.when(inside, amount)).cast("double").alias(f"min_amt_{w}"),
-            F.max(F.when(inside, amount)).cast("double").alias(f"max_amt_{w}"),
-            ratio_or_zero(_sum(inside, amount), n).alias(f"avg_amt_{w}"),
-            _sum(induced, amount).alias(f"ci_total_amt_{w}"),
-            _count(induced).alias(f"ci_total_txns_{w}"),
-        ]
+        induced = f"{inside} AND is_customer_induced"
+        n = f"nullif({_count(inside)}, 0)"
+        out |= {
+            f"min_amt_{w}": f"CAST(min(amount) FILTER (WHERE {inside}) AS DOUBLE)",
+            f"max_amt_{w}": f"CAST(max(amount) FILTER (WHERE {inside}) AS DOUBLE)",
+            f"avg_amt_{w}": f"coalesce({_sum(inside)} / {n}, 0D)",
+            f"ci_total_amt_{w}": _sum(induced), f"ci_total_txns_{w}": _count(induced),
+        }
     return out
 
 
+def named(exprs: dict[str, str]) -> list[str]:
+    return [f"{e} AS `{n}`" for n, e in exprs.items()]
+
+
+def aggregate(df: DataFrame, keys: list[str], exprs: dict[str, str]) -> DataFrame:
+    """``groupBy(keys).agg`` with the aggregates given as SQL text."""
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in named(exprs)])
+
+
 def _horizon(tx: DataFrame, as_of: Column, windows: list[int]) -> DataFrame:
     """Keep only events some window can see; reaches the scan as a pushed filter."""
-    return tx.where(in_window(as_of, max(windows)))
+    return tx.where(in_window(as_of, max(windows))).withColumn("_as_of", as_of)
 
 
 def stack_windows(wide: DataFrame, ids: list[str], stats: list[str], windows: list[int]) -> DataFrame:
     """``<stat>_<w>`` columns to one row per window."""
-    entries = [F.struct(F.lit(w).alias("window_days"), *[F.col(f"{s}_{w}").alias(s) for s in stats])
-               for w in windows]
-    return wide.select(*ids, F.explode(F.array(*entries)).alias("r")).select(*ids, "r.*")
+    rows = ", ".join(f"{w}, " + ", ".join(f"`{x}_{w}`" for x in stats) for w in windows)
+    names = ", ".join(["window_days", *stats])
+    return wide.selectExpr(*ids, f"stack({len(windows)}, {rows}) AS ({names})")
 
 
 def channel_wide(tx: DataFrame, as_of: Column, windows=WINDOW_DAYS, extended: bool = True) -> DataFrame:
     """One row per account x channel with every window as its own columns."""
-    aggs = [a for w in windows for a in _window_aggs(as_of, w, extended)]
-    return _horizon(tx, as_of, windows).groupBy("account_id", "channel").agg(*aggs)
+    aggs = {n: e for w in windows for n, e in _window_aggs(w, extended).items()}
+    return aggregate(_horizon(tx, as_of, windows), ["account_id", "channel"], aggs)
 
 
 def channel_windows(tx: DataFrame, as_of: Column, windows=WINDOW_DAYS, extended: bool = False) -> DataFrame:
@@ -118,16 +127,13 @@ def combined_wide(wide: DataFrame, windows=WINDOW_DAYS) -> DataFrame:
     """
     parts = wide.where(F.col("channel").isin(CHANNELS)).withColumn(
         "category", F.explode(combined_of(F.col("channel"))))
-    aggs = []
+    aggs = {}
     for w in windows:
-        for s in EXTENDED:
-            aggs.append(F.sum(F.coalesce(F.col(f"{s}_{w}"), F.lit(0))).alias(f"{s}_{w}"))
-        aggs += [
-            F.coalesce(F.min(f"min_amt_{w}"), F.lit(0.0)).alias(f"true_min_amt_{w}"),
-            F.coalesce(F.max(f"max_amt_{w}"), F.lit(0.0)).alias(f"true_max_amt_{w}"),
-            ratio_or_zero(F.sum(f"total_amt_{w}"), F.sum(f"total_txns_{w}")).alias(f"true_avg_amt_{w}"),
-        ]
-    return parts.groupBy("account_id", "category").agg(*aggs)
+        aggs |= {f"{x}_{w}": f"sum(coalesce(`{x}_{w}`, 0))" for x in EXTENDED}
+        aggs[f"true_min_amt_{w}"] = f"coalesce(min(min_amt_{w}), 0D)"
+        aggs[f"true_max_amt_{w}"] = f"coalesce(max(max_amt_{w}), 0D)"
+        aggs[f"true_avg_amt_{w}"] = f"coalesce(sum(total_amt_{w}) / nullif(sum(total_txns_{w}), 0), 0D)"
+    return aggregate(parts, ["account_id", "category"], aggs)
 
 
 def combined_windows(wide: DataFrame, windows=WINDOW_DAYS) -> DataFrame:
@@ -137,18 +143,37 @@ def combined_windows(wide: DataFrame, windows=WINDOW_DAYS) -> DataFrame:
 
 def balance_windows(tx: DataFrame, as_of: Column, windows=WINDOW_DAYS) -> DataFrame:
     """Min/max/avg/total of the non-null balances per account x window; empty is 0."""
-    aggs = []
+    aggs = {}
     for w in windows:
-        seen = in_window(as_of, w) & F.col("balance_after").isNotNull()
-        bal = F.when(seen, F.col("balance_after"))
-        aggs += [
-            F.coalesce(F.min(bal).cast("double"), F.lit(0.0)).alias(f"min_bal_{w}"),
-            F.coalesce(F.max(bal).cast("double"), F.lit(0.0)).alias(f"max_bal_{w}"),
-            ratio_or_zero(F.coalesce(F.sum(bal), F.lit(0)), F.count(bal)).alias(f"avg_bal_{w}"),
-            F.coalesce(F.sum(bal), F.lit(0)).cast("double").alias(f"total_bal_{w}"),
-        ]
-    wide = _horizon(tx, as_of, windows).groupBy("account_id").agg(*aggs)
-    return stack_windows(wide, ["account_id"], BALANCE, windows)
+        seen = f"{_inside(w)} AND balance_after IS NOT NULL"
+        aggs[f"min_bal_{w}"] = f"coalesce(CAST(min(balance_after) FILTER (WHERE {seen}) AS DOUBLE), 0D)"
+        aggs[f"max_bal_{w}"] = f"coalesce(CAST(max(balance_after) FILTER (WHERE {seen}) AS DOUBLE), 0D)"
+        aggs[f"avg_bal_{w}"] = f"coalesce({_sum(seen, 'balance_after')} / nullif({_count(seen)}, 0), 0D)"
+        aggs[f"total_bal_{w}"] = _sum(seen, "balance_after")
+    return stack_windows(aggregate(_horizon(tx, as_of, windows), ["account_id"], aggs),
+                         ["account_id"], BALANCE, windows)
+
+
+def _flat_columns(channels, windows, pairs) -> list[str]:
+    """Zero-filled ``<channel>_L<w>D_<STAT>`` and ratio expressions over pivoted columns."""
+    out = []
+    for c in channels:
+        for w in windows:
+            for x in BASIC:
+                name = f"{c}_L{w}D_{x.upper()}"
+                kind = "DOUBLE" if x.endswith("amt") else "BIGINT"
+                out.append(f"CAST(coalesce(`{name}`, 0) AS {kind}) AS `{name}`")
+        for a, b in pairs:
+            num, den = f"`{c}_L{a}D_TOTAL_AMT`", f"`{c}_L{b}D_TOTAL_AMT`"
+            out.append(f"coalesce(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0D), 0D) "
+                       f"AS `R_{c}_AMT_L{a}_{b}D`")
+    return out
+
+
+def _pivot_channels(df: DataFrame, keys: list[str], channels, windows) -> DataFrame:
+    """One row per key; inputs hold one row per key and channel. The value list is fixed."""
+    keep = [F.expr(f"first(`{x}_{w}`) AS `L{w}D_{x.upper()}`") for w in windows for x in BASIC]
+    return df.groupBy(*keys).pivot("channel", channels).agg(*keep)
 
 
 def flat_features(tx: DataFrame, as_of: Column, channels=CHANNELS, windows=WINDOW_DAYS,
@@ -159,23 +184,8 @@ def flat_features(tx: DataFrame, as_of: Column, channels=CHANNELS, windows=WINDO
     list, so it needs no extra job and its schema never depends on the data.
     """
     wide = channel_wide(tx, as_of, windows, extended=False)
-    # PySpark rejects values that are missing from the list silently: unknown
-    # channels are not part of the fixed schema.
-    keep = [F.first(f"{s}_{w}").alias(f"L{w}D_{s.upper()}") for w in windows for s in BASIC]
-    piv = wide.groupBy("account_id").pivot("channel", channels).agg(*keep)
-    zero = F.lit(0.0)
-    out = ["account_id"]
-    for c in channels:
-        for w in windows:
-            for s in BASIC:
-                name = f"{c}_L{w}D_{s.upper()}"
-                kind = "double" if s.endswith("amt") else "long"
-                out.append(F.coalesce(F.col(name), F.lit(0)).cast(kind).alias(name))
-        for a, b in pairs:
-            out.append(ratio_or_zero(F.coalesce(F.col(f"{c}_L{a}D_TOTAL_AMT"), zero),
-                                     F.coalesce(F.col(f"{c}_L{b}D_TOTAL_AMT"), zero))
-                       .alias(f"R_{c}_AMT_L{a}_{b}D"))
-    return piv.select(*out)
+    piv = _pivot_channels(wide, ["account_id"], channels, windows)
+    return piv.selectExpr("account_id", *_flat_columns(channels, windows, pairs))
 
 
 def window_bands(windows_long: DataFrame, measures: list[str], windows=WINDOW_DAYS,
@@ -211,7 +221,6 @@ def event_rolling(tx: DataFrame, windows=WINDOW_DAYS, bucket_hours: int = 6) ->
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     base = tx.select("event_id", "account_id", "ts", "amount", (micros * 2).alias("_at"))
-    zero = F.lit(0).cast("decimal(18,2)")
     steps = [F.struct(F.col("_at").alias("at"), F.lit(0).alias("w"))]
     steps += [F.struct((F.col("_at") + F.lit(w * 86_400_000_000 * 2 + 1)).alias("at"),
                        F.lit(w).alias("w")) for w in windows]
@@ -220,9 +229,9 @@ def event_rolling(tx: DataFrame, windows=WINDOW_DAYS, bucket_hours: int = 6) ->
         F.col("s.at").alias("_at"), F.col("s.w").alias("_w"))
     sums = {}
     for w in windows:
-        sign = [(F.col("_w") == 0, F.lit(1)), (F.col("_w") == w, F.lit(-1))]
-        sums[f"n_{w}"] = pick(sign, F.lit(0))
-        sums[f"amt_{w}"] = pick([(c, F.col("amount") * s) for c, s in sign], zero)
+        sign = f"CASE _w WHEN 0 THEN 1 WHEN {w} THEN -1 ELSE 0 END"
+        sums[f"n_{w}"] = sign
+        sums[f"amt_{w}"] = f"CAST(amount * {sign} AS DECIMAL(18,2))"
     bucket = F.floor(F.col("_at") / F.lit(bucket_hours * 3_600_000_000 * 2))
     done = running(sweep, ["account_id"], "_at", sums, bucket).where(F.col("_w") == 0)
     return done.select(
@@ -255,23 +264,12 @@ def features_at(points: DataFrame, tx: DataFrame, channels=CHANNELS, windows=WIN
         micros.alias("_at"), F.lit(-1).alias("_w"))
     sums = {}
     for w in windows:
-        for tag, cond in [("total", F.lit(True)), ("cr", F.col("direction") == "CREDIT"),
-                          ("db", F.col("direction") == "DEBIT")]:
-            sign = [((F.col("_w") == 0) & cond, F.lit(1)), ((F.col("_w") == w) & cond, F.lit(-1))]
-            sums[f"{tag}_amt_{w}"] = pick([(c, F.col("amount") * x) for c, x in sign], zero)
-            sums[f"{tag}_txns_{w}"] = pick(sign, F.lit(0))
+        for tag, cond in [("total", "true"), ("cr", "direction = 'CREDIT'"), ("db", "direction = 'DEBIT'")]:
+            sign = f"CASE WHEN _w = 0 AND {cond} THEN 1 WHEN _w = {w} AND {cond} THEN -1 ELSE 0 END"
+            sums[f"{tag}_amt_{w}"] = f"CAST(amount * {sign} AS DECIMAL(18,2))"
+            sums[f"{tag}_txns_{w}"] = sign
     bucket = F.floor(F.col("_at") / F.lit(bucket_hours * 3_600_000_000 * 2))
     done = running(moves.unionByName(reads), ["account_id", "channel"], "_at", sums, bucket)
     done = done.where(F.col("_w") == -1)
-    aggs = [F.first(f"{s}_{w}").alias(f"L{w}D_{s.upper()}") for w in windows for s in BASIC]
-    piv = done.groupBy("event_id", "account_id").pivot("channel", channels).agg(*aggs)
-    out = ["event_id", "account_id"]
-    for c in channels:
-        for w in windows:
-            for s in BASIC:
-                name = f"{c}_L{w}D_{s.upper()}"
-                out.append(F.col(name).cast("double" if s.endswith("amt") else "long").alias(name))
-        for a, b in pairs:
-            out.append(ratio_or_zero(F.col(f"{c}_L{a}D_TOTAL_AMT"), F.col(f"{c}_L{b}D_TOTAL_AMT"))
-                       .alias(f"R_{c}_AMT_L{a}_{b}D"))
-    return piv.select(*out)
+    piv = _pivot_channels(done, ["event_id", "account_id"], channels, windows)
+    return piv.selectExpr("event_id", "account_id", *_flat_columns(channels, windows, pairs))

@@ -20,6 +20,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tillwatch")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TILLWATCH_DRIVER_MEMORY", "12g"))
+        # Call-site capture costs milliseconds per Column; wide features build thousands.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
