@@ -1,4 +1,4 @@
-"""Isolation forest: bounded subsamples build trees, tasks score with all of them."""
+"""Anomaly models: isolation forest from bounded subsamples, and ECOD with a frozen reference."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwatch.operators.prep import QuantileMap, as_array
 from tillwatch.session import settle
 
 _SPACE = 1_000_000_007
@@ -92,18 +93,50 @@ class IsolationForest:
             build, "tree int, body string, n int").orderBy("tree").collect()  # trees x size nodes at most
         return IsolationForest(list(cols), [r["body"] for r in grown], max(r["n"] for r in grown))
 
+    def column(self) -> Column:
+        """``2 ** (-mean depth / c)`` of a row, vectorised per Arrow batch."""
+        forest, norm = [json.loads(b) for b in self.trees], max(float(expected_path(self.size)), 1e-12)
+
+        @F.pandas_udf("double")
+        def score(v: pd.Series) -> pd.Series:
+            if v.empty:
+                return pd.Series([], dtype=float)
+            x = np.array(v.tolist(), dtype=float)
+            return pd.Series(np.power(2.0, -np.mean([_depths(t, x, 0) for t in forest], axis=0) / norm))
+
+        return score(as_array(self.cols))
+
     def score(self, df: DataFrame, name: str = "iforest") -> DataFrame:
-        """``2 ** (-mean depth / c)``, vectorised per Arrow batch."""
-        cols, size = self.cols, self.size
-        bodies = df.sparkSession.sparkContext.broadcast(self.trees)
-
-        def apply(batches):
-            forest = [json.loads(b) for b in bodies.value]
-            norm = max(float(expected_path(size)), 1e-12)
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=float)
-                d = np.mean([_depths(t, x, 0) for t in forest], axis=0) if len(pdf) else np.empty(0)
-                yield pd.DataFrame({"account_id": pdf["account_id"], name: np.power(2.0, -d / norm)})
-
-        kind = df.schema["account_id"].dataType.simpleString()
-        return df.select("account_id", *cols).mapInPandas(apply, f"account_id {kind}, {name} double")
+        return df.select("account_id", self.column().alias(name))
+
+
+@dataclass(frozen=True)
+class FrozenEcod:
+    """ECOD of new rows against a frozen reference: tail shares come from its landmarks."""
+
+    cols: list[str]
+    landmarks: list[list[float]]
+    left: list[bool]
+
+    @staticmethod
+    def fit(df: DataFrame, cols: list[str], count: int = 1000) -> "FrozenEcod":
+        marks = QuantileMap.fit(df, cols, count)
+        skew = df.agg(*[F.expr(f"skewness(CAST(`{c}` AS DOUBLE)) AS s{i}") for i, c in enumerate(cols)]).first()
+        return FrozenEcod(list(cols), marks.landmarks, [bool((skew[i] or 0) < 0) for i in range(len(cols))])
+
+    def column(self) -> Column:
+        marks = [np.sort(np.asarray(m, dtype=float)) for m in self.landmarks]
+        left = np.array(self.left)
+
+        @F.pandas_udf("double")
+        def score(v: pd.Series) -> pd.Series:
+            x = np.array(v.tolist(), dtype=float).reshape(len(v), len(marks))
+            low, high = np.empty_like(x), np.empty_like(x)
+            for j, m in enumerate(marks):
+                n = len(m)
+                low[:, j] = -np.log(np.maximum(np.searchsorted(m, x[:, j], side="right"), 1) / n)
+                high[:, j] = -np.log(np.maximum(n - np.searchsorted(m, x[:, j], side="left"), 1) / n)
+            auto = np.where(left[None, :], low, high)
+            return pd.Series(np.maximum.reduce([low.sum(axis=1), high.sum(axis=1), auto.sum(axis=1)]))
+
+        return score(as_array(self.cols))

@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.learn.data import assemble
-from tillwatch.operators.prep import QuantileMap
+from tillwatch.operators.prep import QuantileMap, as_array
 from tillwatch.operators.profiles import cluster_top_features
 from tillwatch.session import settle
 
@@ -30,21 +30,21 @@ class RankSpace:
     def fit(df: DataFrame, cols: list[str], k: int = 5, seed: int = 42) -> "RankSpace":
         """Labels are never looked at."""
         ranks = QuantileMap.fit(df, cols)
-        ready = settle(assemble(ranks.transform(df.select("account_id", *cols), cols), cols, ("account_id",)))
-        kmeans = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
-        center = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centered").fit(ready)
-        pca = PCA(k=3, inputCol="centered", outputCol="xyz").fit(center.transform(ready))
+        ready = settle(df.select("account_id", array_to_vector(ranks.column(as_array(cols))).alias("_rank")))
+        kmeans = KMeans(k=k, seed=seed, featuresCol="_rank", predictionCol="cluster").fit(ready)
+        center = StandardScaler(withMean=True, withStd=False, inputCol="_rank", outputCol="_centered").fit(ready)
+        pca = PCA(k=3, inputCol="_centered", outputCol="_xyz").fit(center.transform(ready))
         return RankSpace(list(cols), ranks, kmeans, center, pca)
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        return assemble(self.ranks.transform(df.select("account_id", *self.cols), self.cols),
-                        self.cols, ("account_id",))
+    def add(self, df: DataFrame) -> DataFrame:
+        """Add cluster and x, y, z; transform only, no shuffle."""
+        v = df.withColumn("_rank", array_to_vector(self.ranks.column(as_array(self.cols))))
+        v = self.pca.transform(self.center.transform(self.kmeans.transform(v)))
+        v = v.withColumn("_p", vector_to_array("_xyz"))
+        return v.select(*df.columns, "cluster", *[F.round(F.col("_p")[i], 4).alias(n) for i, n in enumerate("xyz")])
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """account_id, cluster and x, y, z; transform only."""
-        v = self.pca.transform(self.center.transform(self.kmeans.transform(self._vectors(df))))
-        a = vector_to_array("xyz")
-        return v.select("account_id", "cluster", *[F.round(a[i], 4).alias(n) for i, n in enumerate("xyz")])
+        return self.add(df).select("account_id", "cluster", "x", "y", "z")
 
 
 def mule_types(df: DataFrame, cols: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:

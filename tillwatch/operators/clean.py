@@ -107,15 +107,17 @@ class SchemaMismatch(ValueError):
 
 
 def align_schema(new: DataFrame, expected: list[str], ref_medians: dict[str, float],
-                 key: str = "account_id", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+                 key: str = "account_id", strict: bool = True,
+                 carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """New rows on the frozen schema, and a one-row report of what differed.
 
     Missing columns and NULLs take the REFERENCE median (0.0 without one); extra
-    columns are dropped; unparsable text counts as NULL.
+    columns are dropped, but for those named in ``carry``; unparsable text counts
+    as NULL.
     """
     have = set(new.columns)
     missing = [c for c in expected if c not in have]
-    extra = [c for c in new.columns if c not in set(expected) and c != key]
+    extra = [c for c in new.columns if c not in set(expected) and c != key and c not in carry]
     share = len(missing) / max(len(expected), 1)
     if strict and share > 0.5:
         raise SchemaMismatch(f"{len(missing)} of {len(expected)} expected columns are missing")
@@ -126,4 +128,4 @@ def align_schema(new: DataFrame, expected: list[str], ref_medians: dict[str, flo
     report = new.sparkSession.createDataFrame(
         [(len(expected), len(expected) - len(missing), ",".join(missing), ",".join(extra), share)],
         "expected int, matched int, missing string, extra string, missing_fraction double")
-    return new.selectExpr(f"`{key}`", *cols), report
+    return new.selectExpr(*[f"`{c}`" for c in (key, *carry)], *cols), report

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -180,38 +180,38 @@ def rank_transform(long: DataFrame) -> DataFrame:
 class QuantileMap:
     """Frozen uniform quantile transform: landmarks per column, linear in between.
 
-    New values only ever go through ``transform``; outside the fitted range they
+    New values only ever go through ``column``; outside the fitted range they
     clip to 0 or 1, and inside a run of equal landmarks they take its middle.
     """
 
-    landmarks: dict[str, list[float]]
+    cols: list[str]
+    landmarks: list[list[float]]
 
     @staticmethod
     def fit(train: DataFrame, cols: list[str], count: int = 1000, key: str = "account_id") -> "QuantileMap":
-        long = to_long(train, cols, key)
         n = min(count, max(train.count(), 2))
         probs = [i / (n - 1) for i in range(n)]
-        rows = exact_quantiles(long, ["feature"], "value", probs).collect()  # one row per column
-        return QuantileMap({r["feature"]: list(r["q"]) for r in rows})
-
-    def transform(self, df: DataFrame, cols: list[str]) -> DataFrame:
-        """Vectorised per Arrow batch; the landmarks travel with the task."""
-        marks = {c: np.asarray(self.landmarks[c], dtype=float) for c in cols}
-
-        def apply(batches):
-            for pdf in batches:
-                out = pdf.copy()
-                for c in cols:
-                    q = marks[c]
-                    ref = np.linspace(0.0, 1.0, len(q))
-                    x = pdf[c].to_numpy(dtype=float)
-                    up = np.interp(x, q, ref)
-                    down = -np.interp(-x, -q[::-1], -ref[::-1])
-                    out[c] = pd.Series(0.5 * (up + down), index=pdf.index)
-                yield out
-
-        mapped = set(cols)
-        typed = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in mapped else f"`{c}`" for c in df.columns])
-        return typed.mapInPandas(apply, typed.schema)
-
-
+        rows = exact_quantiles(to_long(train, cols, key), ["feature"], "value", probs).collect()  # one per column
+        marks = {r["feature"]: list(r["q"]) for r in rows}
+        return QuantileMap(list(cols), [marks[c] for c in cols])
+
+    def column(self, vec: Column) -> Column:
+        """Ranks of an ARRAY<DOUBLE> in column order, vectorised per Arrow batch."""
+        marks = [np.asarray(m, dtype=float) for m in self.landmarks]
+
+        @F.pandas_udf("array<double>")
+        def ranks(v: pd.Series) -> pd.Series:
+            x = np.array(v.tolist(), dtype=float).reshape(len(v), len(marks))
+            out = np.empty_like(x)
+            for j, q in enumerate(marks):
+                ref = np.linspace(0.0, 1.0, len(q))
+                up = np.interp(x[:, j], q, ref)
+                down = -np.interp(-x[:, j], -q[::-1], -ref[::-1])
+                out[:, j] = 0.5 * (up + down)
+            return pd.Series(list(out))
+
+        return ranks(vec)
+
+
+def as_array(cols: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in cols) + ")")

@@ -7,6 +7,7 @@ from tillwatch.learn import folds as L
 from tillwatch.learn import stack as K
 from tillwatch.learn.anomaly import IsolationForest
 from tillwatch.learn.boost import fit_newton, focal_objective
+from tillwatch.learn.bundle import Bundle
 from tillwatch.learn.clusters import RankSpace, mule_types
 from tillwatch.learn.data import Prepared
 from tillwatch.learn.external import compare_arms
@@ -143,6 +144,30 @@ def retrain_feedback(spark, sf):
     return compare_scores(settle(a.join(b, "account_id")), "old", "new")
 
 
+def small_bundle(spark, sf):
+    """A quick bundle on three quarters of the vectors; the rest plays the new upload."""
+    m = _settled(spark, sf)
+    train, new = m.where("account_id % 4 <> 0"), m.where("account_id % 4 = 0")
+    learners = {
+        "gbt": L.gbt_learner(VECTOR_COLS, 10, rounds=3, depth=3),
+        "forest": L.forest_learner(VECTOR_COLS, 10, trees=10, depth=4),
+        "nnpu": L.nnpu_learner(VECTOR_COLS, 10, rounds=3, depth=3, prior=0.1),
+        "focal": L.focal_learner(VECTOR_COLS, 10, rounds=3, depth=3, stability_runs=0),
+        "proto": L.prototype_learner(VECTOR_COLS, 10)}
+    oof = train.select("account_id", "label")
+    for name, learner in learners.items():
+        oof = oof.join(L.out_of_fold(train, learner, 2).select("account_id", F.col("score").alias(name)), "account_id")
+    bundle = Bundle.fit(train, VECTOR_COLS, settle(oof), n_select=10, rounds=3, depth=3, stability_runs=2,
+                        pool_size=60, n_cascade=10, trees=10, prior=0.1)
+    return bundle, new
+
+
+@query("score_new_data")
+def score_new_data(spark, sf):
+    bundle, new = small_bundle(spark, sf)
+    return bundle.score(new.drop("v63"), explain=3)[0]
+
+
 @query("external_arms")
 def external_arms(spark, sf):
     return compare_arms(_settled(spark, sf), VECTOR_COLS, n_select=8, rounds=3, runs=2, seeds=(42,), k=2, depth=50)
