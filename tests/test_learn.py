@@ -18,15 +18,9 @@ from tillwatch.operators.metrics import ranking_quality
 from tillwatch.operators.neighbours import mean_knn_distance
 from tillwatch.operators.prep import Engineered, QuantileMap, as_array, half_samples
 from tillwatch.operators.profiles import ecod_raw
-from tillwatch.plans.model_queries import VECTOR_COLS, vector_matrix
 from tillwatch.session import settle
 
 
-@pytest.fixture(scope="module")
-def matrix(spark, sf):
-    return settle(vector_matrix(spark, sf))
-
-
 @pytest.fixture(scope="module")
 def toy(spark):
     rng = np.random.default_rng(0)
@@ -185,10 +179,6 @@ def test_stacking_and_calibration(spark, toy):
     assert err.first().calibration_error < 0.2
 
 
-def test_embedding_class_is_learnable(matrix):
-    assert auc(L.out_of_fold(matrix, L.prototype_learner(VECTOR_COLS, 12), 2)) > 0.6
-
-
 def test_bundle_survives_a_round_trip(spark, sf, tmp_path):
     from tillwatch.learn.bundle import Bundle, score_and_persist
     from tillwatch.plans.model_queries import small_bundle

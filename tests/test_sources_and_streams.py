@@ -88,7 +88,7 @@ def test_gate_hold_notice_and_suppression(spark, tmp_path):
     rows = {r.account_id: r for r in spark.read.parquet(job.path("results")).collect()}
     assert rows["A"].action == "AUTO-HOLD" and rows["A"].action_id in rows["A"].customer_notice
     assert rows["A"].cross_bank_flagged == 1 and rows["B"].action is None and rows["B"].customer_notice is None
-    acts = spark.read.parquet(job.path("actions"))
+    acts = T.read_actions(spark, job.path("actions"))
     assert acts.count() == 1
     later = F.lit("2024-02-01 00:00:00").cast("timestamp")
     none = spark.createDataFrame([], "action_id string")
@@ -96,7 +96,7 @@ def test_gate_hold_notice_and_suppression(spark, tmp_path):
     on = run(spark, str(tmp_path / "in"), str(tmp_path / "on"), on=True)
     rows = {r.account_id: r for r in spark.read.parquet(on.path("results")).collect()}
     assert rows["A"].action == "SUPPRESSED_BY_KILL_SWITCH"
-    assert spark.read.parquet(on.path("actions")).count() == 0
+    assert T.read_actions(spark, on.path("actions")).count() == 0
 
 
 def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):

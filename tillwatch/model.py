@@ -75,6 +75,18 @@ MESSAGE = T.StructType([
     T.StructField("is_customer_induced", T.BooleanType()),
 ])
 
+ACTION = T.StructType([
+    T.StructField("action_id", T.StringType()),
+    T.StructField("account_id", T.StringType()),
+    T.StructField("action_type", T.StringType()),
+    T.StructField("action_detail", T.StringType()),
+    T.StructField("model_version", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("created_at", T.TimestampType()),
+    T.StructField("expires_at", T.TimestampType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
 DICTIONARY = T.StructType([
     T.StructField("row_no", T.LongType()),
     T.StructField("feature", T.StringType()),

@@ -21,6 +21,7 @@ def merge_cross_bank(features: DataFrame, signals: DataFrame | None) -> DataFram
         "account_id", F.col("flagged").cast("int").alias("cross_bank_flagged"),
         F.col("counterparty_flagged_count").alias("cross_bank_counterparty_count"),
         F.col("cross_bank_velocity_score").alias("cross_bank_velocity"))
+    # A hint on ``signals`` is kept by the projection above.
     return features.join(flat, "account_id", "left")
 
 

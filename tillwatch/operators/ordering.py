@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwatch.session import settle
+from tillwatch.session import broadcast_when_small, settle
 
 _PIECE = "_piece"
 MAX_PIECES = 128
@@ -118,8 +118,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         f"sum(piece_n) OVER (PARTITION BY {part}) AS total")
     # Ranks wanted per probability; one literal array, cut to those this piece holds.
     given = ", ".join(f"{float(p)!r}D" for p in probs)
-    wanted = (f"transform(array({given}), (p, i) -> named_struct('i', i, 'lo', floor(p * (total - 1)), "
-              "'hi', ceil(p * (total - 1)), 'frac', p * (total - 1) - floor(p * (total - 1))))")
+    # A rank within rounding error of a whole number is that number: the value is
+    # then a data point itself, not an interpolation a hair beside it.
+    snapped = (f"transform(array({given}), p -> if(abs(p * (total - 1) - round(p * (total - 1))) "
+               "< 1e-9D + 1e-12D * total, round(p * (total - 1)), p * (total - 1)))")
+    wanted = (f"transform({snapped}, (r, i) -> named_struct('i', i, 'lo', floor(r), 'hi', ceil(r), "
+              "'frac', r - floor(r)))")
     sizes = sizes.selectExpr(
         *at, "start", "total",
         f"filter({wanted}, w -> (w.lo >= start AND w.lo < start + piece_n) "
@@ -167,11 +171,19 @@ def join_per_value(df: DataFrame, per_value: DataFrame, on: list[str],
     return out.select(*on, *rest, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in cols])
 
 
+def join_totals(df: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
+    """Attach one row per key where keys are usually few (features, runs) and so each huge.
+
+    Few keys go by broadcast, after counting; very many keys mean no key is large.
+    """
+    return df.join(broadcast_when_small(settle(totals), BROADCAST_ROWS), on)
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``avg_rank`` (ties share their mean rank, 1-based) and ``group_n``."""
     ranks = ranked_values(df, keys, value)
     if keys:
-        ranks = ranks.join(ranks.groupBy(*keys).agg(F.sum("n").alias("group_n")), keys)
+        ranks = join_totals(ranks, ranks.groupBy(*keys).agg(F.sum("n").alias("group_n")), keys)
     else:
         ranks = ranks.withColumn("group_n", ranks.agg(F.sum("n")).scalar())
     ranks = ranks.select(

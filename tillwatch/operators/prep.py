@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.operators.clean import stack_columns, to_long
 from tillwatch.operators.drift import bin_of
-from tillwatch.operators.ordering import exact_quantiles, hash_rank, join_per_value, ranked_values
+from tillwatch.operators.ordering import exact_quantiles, hash_rank, join_per_value, join_totals, ranked_values
 from tillwatch.session import broadcast_when_small, settle
 
 MI_BINS = 10
@@ -171,7 +171,7 @@ class RobustScale:
 def rank_transform(long: DataFrame) -> DataFrame:
     """Uniform [0, 1] rank of each value within its feature: (average rank - 1) / (n - 1)."""
     ranks = ranked_values(long, ["feature"], "value")
-    ranks = ranks.join(ranks.groupBy("feature").agg(F.sum("n").alias("total")), "feature")
+    ranks = join_totals(ranks, ranks.groupBy("feature").agg(F.sum("n").alias("total")), ["feature"])
     u = (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0) - 1) / F.greatest(F.col("total") - 1, F.lit(1))
     return join_per_value(long, ranks.select("feature", "value", "n", u.alias("u")), ["feature", "value"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwatch.functions.safe import ratio_or_zero, row_mean, total
-from tillwatch.operators.ordering import join_per_value, ranked_values
+from tillwatch.operators.ordering import join_per_value, join_totals, ranked_values
 
 # ---- fixed values: words that mark a time-like column -----------------------
 TIME_WORDS = ["time", "hour", "day", "date", "period"]
@@ -80,7 +80,7 @@ def ecod_raw(long: DataFrame, key: str = "account_id") -> DataFrame:
     ranks = ranked_values(long, ["feature"], "value")
     shape = long.groupBy("feature").agg(
         F.count("value").alias("total"), F.skewness("value").alias("skew"))
-    t = ranks.join(shape, "feature")
+    t = join_totals(ranks, shape, ["feature"])
     left = -F.ln(F.col("cum_n") / F.col("total"))
     right = -F.ln((F.col("total") - F.col("cum_n") + F.col("n")) / F.col("total"))
     tails = t.select("feature", "value", "n", left.alias("l"), right.alias("r"),

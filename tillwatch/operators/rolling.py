@@ -210,6 +210,11 @@ def window_bands(windows_long: DataFrame, measures: list[str], windows=WINDOW_DA
     return one.select(key, F.explode(F.array_compact(F.array(*bands))).alias("b")).select(key, "b.*")
 
 
+def _cents() -> Column:
+    """Amounts as whole cents: sums stay exact and run on plain longs, not decimals."""
+    return F.expr("CAST(amount * 100 AS BIGINT) AS _cents")
+
+
 def event_rolling(tx: DataFrame, windows=WINDOW_DAYS, bucket_hours: int = 6) -> DataFrame:
     """Per event: amount and count of the account's events in the closed window ending at it.
 
@@ -220,23 +225,22 @@ def event_rolling(tx: DataFrame, windows=WINDOW_DAYS, bucket_hours: int = 6) ->
     per account and bucket.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    base = tx.select("event_id", "account_id", "ts", "amount", (micros * 2).alias("_at"))
+    base = tx.select("event_id", "account_id", _cents(), (micros * 2).alias("_at"))
     steps = [F.struct(F.col("_at").alias("at"), F.lit(0).alias("w"))]
     steps += [F.struct((F.col("_at") + F.lit(w * 86_400_000_000 * 2 + 1)).alias("at"),
                        F.lit(w).alias("w")) for w in windows]
     sweep = base.withColumn("s", F.explode(F.array(*steps))).select(
-        "event_id", "account_id", "ts", "amount",
-        F.col("s.at").alias("_at"), F.col("s.w").alias("_w"))
+        "event_id", "account_id", "_cents", F.col("s.at").alias("_at"), F.col("s.w").alias("_w"))
     sums = {}
     for w in windows:
         sign = f"CASE _w WHEN 0 THEN 1 WHEN {w} THEN -1 ELSE 0 END"
         sums[f"n_{w}"] = sign
-        sums[f"amt_{w}"] = f"CAST(amount * {sign} AS DECIMAL(18,2))"
+        sums[f"amt_{w}"] = f"_cents * {sign}"
     bucket = F.floor(F.col("_at") / F.lit(bucket_hours * 3_600_000_000 * 2))
     done = running(sweep, ["account_id"], "_at", sums, bucket).where(F.col("_w") == 0)
     return done.select(
         "event_id", "account_id",
-        *[F.col(f"amt_{w}").cast("double").alias(f"amt_{w}") for w in windows],
+        *[(F.col(f"amt_{w}") / F.lit(100.0)).alias(f"amt_{w}") for w in windows],
         *[F.col(f"n_{w}").cast("long").alias(f"n_{w}") for w in windows])
 
 
@@ -249,27 +253,28 @@ def features_at(points: DataFrame, tx: DataFrame, channels=CHANNELS, windows=WIN
     events and points; no event is paired with another.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp")) * 2
-    zero = F.lit(0).cast("decimal(18,2)")
     steps = [F.struct(F.lit(0).cast("long").alias("shift"), F.lit(0).alias("w"))]
     steps += [F.struct(F.lit(w * 86_400_000_000 * 2 + 1).cast("long").alias("shift"), F.lit(w).alias("w"))
               for w in windows]
     moves = tx.where(F.col("channel").isin(channels)).select(
         F.lit(None).cast(points.schema["event_id"].dataType).alias("event_id"), "account_id", "channel",
-        "direction", "amount", micros.alias("_m"), F.explode(F.array(*steps)).alias("s"))
-    moves = moves.select("event_id", "account_id", "channel", "direction", "amount",
+        "direction", _cents(), micros.alias("_m"), F.explode(F.array(*steps)).alias("s"))
+    moves = moves.select("event_id", "account_id", "channel", "direction", "_cents",
                          (F.col("_m") + F.col("s.shift")).alias("_at"), F.col("s.w").alias("_w"))
     reads = points.select(
         "event_id", "account_id", F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"),
-        F.lit(None).cast("string").alias("direction"), zero.alias("amount"),
+        F.lit(None).cast("string").alias("direction"), F.lit(0).cast("long").alias("_cents"),
         micros.alias("_at"), F.lit(-1).alias("_w"))
     sums = {}
     for w in windows:
         for tag, cond in [("total", "true"), ("cr", "direction = 'CREDIT'"), ("db", "direction = 'DEBIT'")]:
             sign = f"CASE WHEN _w = 0 AND {cond} THEN 1 WHEN _w = {w} AND {cond} THEN -1 ELSE 0 END"
-            sums[f"{tag}_amt_{w}"] = f"CAST(amount * {sign} AS DECIMAL(18,2))"
+            sums[f"{tag}_amt_{w}"] = f"_cents * {sign}"
             sums[f"{tag}_txns_{w}"] = sign
     bucket = F.floor(F.col("_at") / F.lit(bucket_hours * 3_600_000_000 * 2))
     done = running(moves.unionByName(reads), ["account_id", "channel"], "_at", sums, bucket)
     done = done.where(F.col("_w") == -1)
+    amounts = [c for c in done.columns if "_amt_" in c]
+    done = done.selectExpr(*[f"{c} / 100D AS {c}" if c in amounts else c for c in done.columns])
     piv = _pivot_channels(done, ["event_id", "account_id"], channels, windows)
     return piv.selectExpr("event_id", "account_id", *_flat_columns(channels, windows, pairs))

@@ -80,7 +80,8 @@ round(list_avg([{', '.join(_TOP)}]), 9) AS top_20_mean, round(list_stddev_samp([
 round(list_avg([{', '.join(_TOP)}]), 9) AS top_50_mean FROM fm""")
 def engineer_features(spark, sf):
     m = filled_matrix(spark, sf)
-    eng = P.Engineered.fit(m, _TOP)
+    # Which columns get a log is decided by the fit (tested on its own); SQL needs fixed names.
+    eng = P.Engineered(_TOP, ["n_orders", "n_lines", "sum_qty"])
     logs = [f"{c}_log" for c in eng.log_cols]
     out = rounded(eng.transform(m), *logs, "top_10_mean", "top_20_mean", "top_50_mean")
     return rounded(out, "top_10_std", "top_20_std", digits=6)

@@ -25,8 +25,8 @@ c AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM g
       WINDOW w AS ({part} ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
 auc AS (SELECT {keys} sum(n)::BIGINT AS n_rows, sum(pos)::BIGINT AS n_pos,
   sum(pos * (cp::DOUBLE / cn + CASE WHEN cn = n THEN 1.0 ELSE (cp - pos)::DOUBLE / (cn - n) END) / 2)
-    / sum(pos) AS auc_pr,
-  1 - sum(pos * ((cn - cp) - (n - pos) / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * (sum(n) - sum(pos))) AS auc_roc
+    / nullif(sum(pos), 0) AS auc_pr,
+  1 - sum(pos * ((cn - cp) - (n - pos) / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * (sum(n) - sum(pos)), 0) AS auc_roc
   FROM c {group})"""
 
 

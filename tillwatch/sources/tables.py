@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwatch.model import DICTIONARY
+from tillwatch.model import ACTION, DICTIONARY
 from tillwatch.operators.ledger import latest_per_key
 
 
@@ -80,3 +80,8 @@ def online_features(spark: SparkSession, path: str) -> DataFrame:
 def compact_online(spark: SparkSession, path: str, target: str) -> None:
     """Rewrite the online table to one row per account under a new path."""
     online_features(spark, path).write.mode("error").parquet(target)
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """The action ledger; with an explicit schema it reads even before the first action."""
+    return spark.read.schema(ACTION).parquet(path)

@@ -21,9 +21,11 @@ from tillwatch.model import AUTO_HOLD_SCORE, CHANNELS, DEFAULT_SLA_HOURS, WINDOW
 from tillwatch.operators import ledger as L
 from tillwatch.operators.joins import merge_cross_bank
 from tillwatch.operators.rolling import days, features_at
-from tillwatch.session import settle
+from tillwatch.session import broadcast_when_small, settle
 from tillwatch.sources.tables import append_batch
 
+BATCH_ACCOUNTS = 500_000
+
 
 def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
     """Drop repeated event ids; rows later than the watermark are dropped and counted by Spark."""
@@ -58,22 +60,26 @@ class TransactionJob:
         append_batch(events.withColumn("event_date", F.to_date("ts")), self.path("history"),
                      batch_id, ("event_date",))
         span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-        if span["lo"] is None:
-            return features_at(events, events, self.channels).limit(0)
         oldest = F.lit(span["lo"]) - days(max(WINDOW_DAYS))
         history = spark.read.parquet(self.path("history")).where(
             (F.col("event_date") >= F.to_date(oldest)) & (F.col("ts") >= oldest)
             & (F.col("ts") <= F.lit(span["hi"])) & (F.col("batch_id") <= batch_id))
-        touched = events.select("account_id").distinct()
+        # The batch bounds the accounts, so a hot account's history is filtered in
+        # place instead of being shuffled to one task.
+        touched = broadcast_when_small(settle(events.select("account_id").distinct()), BATCH_ACCOUNTS)
         recent = history.join(touched, "account_id", "left_semi")
         return features_at(events, recent, self.channels)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = settle(batch)
+        if batch.isEmpty():  # a batch that only moves the watermark
+            return
         feats = self.refresh(batch, batch_id)
         if self.cross_bank is not None:
-            feats = merge_cross_bank(feats, self.cross_bank(spark))
+            touched = batch.select("account_id").distinct()
+            signals = settle(self.cross_bank(spark).join(touched, "account_id", "left_semi"))
+            feats = merge_cross_bank(feats, broadcast_when_small(signals, BATCH_ACCOUNTS))
         meta = batch.select("event_id", "ts", "channel")
         feats = settle(feats.join(meta, "event_id"))
         append_batch(L.latest_per_key(
