@@ -141,3 +141,9 @@ def test_sampling_keeps_every_positive(spark):
     out = J.keep_positives(df, 200)
     assert out.count() == 200 and out.where("label = 1").count() == 10
     assert J.keep_positives(df, 5000).count() == 1000
+
+
+def test_switch_events_need_actor_and_reason(spark):
+    req = spark.sql("SELECT * FROM VALUES (1, 'ACTIVATE', 'ann', 'drill', 5), (2, 'ACTIVATE', '', 'x', 6), "
+                    "(3, 'TOGGLE', 'ann', 'x', 7), (4, 'DEACTIVATE', 'ann', NULL, 8) AS t(id, event, actor, reason, ts)")
+    assert [r.id for r in L.switch_events(req).collect()] == [1]

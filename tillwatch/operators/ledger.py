@@ -60,6 +60,14 @@ def gate(scores: DataFrame, switch_log: DataFrame, threshold: float = AUTO_HOLD_
     return scores.withColumn("_on", switch_active(switch_log)).withColumn("action", act).drop("_on")
 
 
+def switch_events(requests: DataFrame) -> DataFrame:
+    """Ledger rows of well-formed ACTIVATE / DEACTIVATE requests; the rest is rejected upstream."""
+    known = F.col("event").isin("ACTIVATE", "DEACTIVATE")
+    return requests.where(well_formed("actor", "reason") & known).select(
+        stable_id(F.col("ts"), F.col("actor"), F.col("event")).alias("event_key"),
+        "id", "event", "actor", "reason", "ts")
+
+
 # ---- actions and overrides --------------------------------------------------
 def record_actions(held: DataFrame, model_version: str, sla_hours: int = DEFAULT_SLA_HOURS) -> DataFrame:
     """Action rows for (account_id, event_id, action_type, action_detail, created_at)."""

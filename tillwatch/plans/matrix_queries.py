@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tillwatch.learn.explain import linear_contributions
+from tillwatch.learn.explain import behaviour_texts, linear_contributions
 from tillwatch.operators import clean as C
 from tillwatch.operators import neighbours as N
 from tillwatch.operators import prep as P
@@ -195,6 +195,26 @@ def linear(spark, sf):
         "account_id", (F.col("p") + 1).alias("rank"), "c.feature", "c.shap_value", "c.direction"), "shap_value", digits=6)
 
 
+_TX = ["n_orders", "sum_price", "max_price", "n_lines", "n_returned"]
+
+
+@query("account_explanations", f"""WITH {MAT}, {_FILL},
+p AS ({' UNION ALL '.join(f"SELECT account_id, '{c}' AS feature, {c} AS v FROM fm" for c in _TX)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(v) DESC, feature) AS r FROM p),
+t AS (SELECT account_id, string_agg(r || '. ' || feature || ': ' || printf('%.4f', v), chr(10) ORDER BY r) AS body
+      FROM r WHERE r <= 3 GROUP BY account_id)
+SELECT account_id, 'ACCOUNT BEHAVIORAL ANALYSIS - ACCOUNT ' || account_id || chr(10)
+ || 'RISK SCORE: ' || printf('%.1f', round(mule_score, 0)) || '%' || chr(10) || 'CLASSIFICATION: '
+ || CASE WHEN round(mule_score, 0) / 100.0::DOUBLE > 0.5 THEN 'MULE (High Risk)' ELSE 'LEGITIMATE (Low Risk)' END || chr(10) || body
+ || CASE WHEN account_id % 4 = 0 THEN chr(10) || 'BEHAVIOR TYPE: Mule Type ' || account_id % 3 + 1 ELSE '' END AS explanation
+FROM acc JOIN t USING (account_id)""")
+def account_explanations(spark, sf):
+    acc = accounts(spark, sf)
+    scores = acc.select("account_id", (F.round("mule_score", 0) / F.lit(100.0)).alias("score"))
+    types = acc.where("account_id % 4 = 0").select("account_id", (F.col("account_id") % 3).alias("cluster"))
+    return behaviour_texts(settle(filled_matrix(spark, sf)), _TX, scores, types, 3)
+
+
 # ---- vectors ----------------------------------------------------------------
 def _class_means(spark, sf):
     e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
