@@ -1,4 +1,4 @@
-"""Session helpers: local sessions for tests and durable lineage cuts."""
+"""Session helpers: local sessions for tests, durable lineage cuts and their lifetime."""
 
 from __future__ import annotations
 
@@ -45,6 +45,11 @@ def durable_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, kind: str = "settled") -> str:
+    """A fresh path inside the durable folder; nothing is created yet."""
+    return f"{durable_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the durable folder and read it back.
 
@@ -53,11 +58,52 @@ def settle(df: DataFrame) -> DataFrame:
     re-read, never a recomputation with different row placement.
     """
     spark = df.sparkSession
-    path = f"{durable_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder this program wrote, through whatever file system holds it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+class Scratch:
+    """Settled tables that one computation owns and deletes when its result is written.
+
+    >>> with Scratch(spark) as scratch:
+    ...     pairs = scratch.settle(costly)
+    ...     result = settle(pairs.join(...))     # settled outside: it stays
+
+    Never return a frame that still reads a table of a closed scope.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[str] = []
+
+    def folder(self, kind: str = "scratch") -> str:
+        self._paths.append(new_folder(self.spark, kind))
+        return self._paths[-1]
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
+        df.write.mode("error").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for path in self._paths:
+            delete_folder(self.spark, path)
+        self._paths = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_exc) -> None:
+        self.close()
+
+
 def broadcast_when_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
