@@ -33,7 +33,8 @@ _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+
 #: Separators Python's str.split knows beyond Unicode white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
-CACHE = 1_500_000
+#: Remembered chunks and words of a worker; when full, they are forgotten and met anew.
+CHUNKS, WORDS = 600_000, 600_000
 
 
 def _byte_chars() -> list[str]:
@@ -93,8 +94,10 @@ class WordBpe:
         new = chunks.difference(self.chunks)
         if not new:
             return
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks, self.words, new = {}, {}, chunks
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks, new = {}, chunks
+        if len(self.words) > WORDS:
+            self.words = {}
         parts = {c: self._parts(c) for c in new}
         fresh = {w for ps in parts.values() for w in ps if w.__class__ is str}.difference(self.words)
         self.words.update(self.merge_all(list(fresh)))

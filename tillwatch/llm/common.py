@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from tillwatch.session import Scratch, settle
 
 #: Texts one step of a Python task holds at once; Arrow batches are cut to it.
-STEP_CHARS = 8_000_000
+STEP_CHARS = 6_000_000
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwatch.llm import bpe, langid, sketch, token_counts, token_files
+from tillwatch.llm import bpe, decontaminate, langid, line_dedup, simhash, sketch, token_counts, token_files
 from tillwatch.session import new_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,64 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_langid, op6_bpe, op7_token_files, op8_sketch)}
-
-ORACLES: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes of whole texts: fingerprints linked at 4 or fewer differing bits."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that lie in a run of three or more that occurred before."""
+    return line_dedup.report(documents(spark, sf_dir))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words in every document."""
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_token_counts, op3_simhash, op5_langid, op6_bpe, op7_token_files, op8_sketch, op9_line_dedup, op10_decontaminate)}
+
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l
+  WHERE trim(translate(x, chr(9) || chr(13), '  ')) <> ''),
+w AS (
+  SELECT doc_id, p, x || chr(10) || lead(x, 1) OVER d || chr(10) || lead(x, 2) OVER d AS t FROM s
+  WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS nth FROM w WHERE t IS NOT NULL),
+gone AS (
+  SELECT DISTINCT s.doc_id, s.i FROM s JOIN r ON s.doc_id = r.doc_id AND s.p BETWEEN r.p AND r.p + 2 AND r.nth > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+  sha256(coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id""",
+    "op10_decontaminate": """
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bn AS (SELECT item_id, w, least(13, len(w)) AS n FROM bw WHERE len(w) > 0),
+bg AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM bn)),
+dg AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+        FROM dw, (SELECT DISTINCT n FROM bn) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, i, dg.n AS n FROM dg JOIN bg ON dg.n = bg.n AND dg.g = bg.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM m)
+      GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN k ON dw.doc_id = k.doc_id""",
+}
