@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwatch.llm import bpe, decontaminate, langid, line_dedup, simhash, sketch, token_counts, token_files
-from tillwatch.session import new_folder
+import corpus_pipeline
+from tillwatch.llm import (
+    bpe, decontaminate, langid, line_dedup, simhash, sketch, substring_dedup, token_counts, token_files, warc)
+from tillwatch.session import delete_folder, new_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,8 +62,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat across documents, with their class and its first document."""
+    return substring_dedup.repeats(documents(spark, sf_dir))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages archived as ARC (both versions), converted to WARC and read back."""
+    arc, out = new_folder(spark, "arc"), new_folder(spark, "warc")
+    warc.write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arc)
+    warc.convert(spark, arc, out)
+    delete_folder(spark, arc)
+    return warc.page_report(spark, out)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_simhash, op5_langid, op6_bpe, op7_token_files, op8_sketch, op9_line_dedup, op10_decontaminate)}
+    op1_substring_dedup, op2_token_counts, op3_simhash, op4_warc, op5_langid, op6_bpe, op7_token_files, op8_sketch,
+    op9_line_dedup, op10_decontaminate)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
     "op9_line_dedup": """
