@@ -1,20 +1,24 @@
 """Substring deduplication: MinHash banding over paragraphs.
 
-Running text has few paragraph marks and a copied passage may start anywhere, so
-paragraphs are cut where the content says so: of every ``REACH`` consecutive
-three-word hashes the smallest starts a paragraph of ``LENGTH`` words. The cut
-depends on the words alone; a passage of REACH + LENGTH - 1 or more words holds at
-least one whole paragraph, the same in every document. Paragraphs overlap.
-
-1. One pass gives every paragraph a content hash (its shingles) and ``BANDS`` band
-   keys of ``ROWS`` MinHashes each: at similarity 0.8 a pair meets in a band with
-   probability 1 - (1 - 0.8^ROWS)^BANDS = 0.983, equal paragraphs always.
+Two kinds of paragraph, both of ``LENGTH`` words or more:
+
+    line   a line of the text. Lines are compared by MinHash banding and exact
+           Jaccard similarity of five-word shingles, ``SIMILAR`` or more.
+    cut    ``LENGTH`` words inside running text, cut where the content says so: of
+           every ``REACH`` consecutive three-word hashes the smallest starts one.
+           The cut depends on the words alone, so a passage of REACH + LENGTH - 1
+           (50) or more words holds at least one whole cut, the same in every
+           document, wherever it stands. Cuts match if their shingles are equal.
+
+1. One pass gives every paragraph a content hash of its shingles, and lines
+   ``BANDS`` band keys of ``ROWS`` MinHashes each: at similarity 0.8 a pair meets
+   with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.983, equal paragraphs always.
 2. Equal paragraphs collapse by content hash, combined before the shuffle. Bands
    that hold two different contents give candidates.
 3. Candidates' shingles are collected by a second pass that a bit map of fixed
    size thins out. Inside a band the exact Jaccard similarity decides. Contents
-   already linked are not compared again, and a large band is cut into blocks
-   whose pairs are separate tasks; a task returns a spanning forest of its links.
+   already linked are not compared again, and a band of many shingles is cut into
+   blocks whose pairs are separate tasks; a task returns a spanning forest.
 4. Components over the links are the passage classes. A class found in two
    documents or more is a repeat: its first place (document, position) stays, the
    others can be removed.
@@ -36,98 +40,105 @@ SHINGLE = 5
 ROWS, BANDS = 2, 4
 SIMILAR = 0.8
 MAP_BITS = 24
-#: Contents of a band that one task compares with each other.
-BLOCK = 2_000
+#: Shingles of a band that one task compares with each other.
+BLOCK = 200_000
 _HASH = WordHash(seed=11)
 _SEEDS = np.array([mix(np.array([i + 1], np.uint64))[0] for i in range(ROWS * BANDS)], np.uint64)
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the paragraphs of a text, and its shingle hashes."""
-    words = _HASH.of(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.zeros(0, np.uint64)
-    if len(words) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return window_minima(grams(words, 3)[:len(words) - LENGTH + 1], REACH), grams(words, SHINGLE)
-
-
-def content(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """One hash per paragraph of its distinct shingles, whatever their order."""
-    width = LENGTH - SHINGLE + 1
-    sets = np.sort(shingles[at[:, None] + np.arange(width)], axis=1)
-    mixed = mix(sets)
-    mixed[:, 1:][sets[:, 1:] == sets[:, :-1]] = 0
-    with np.errstate(over="ignore"):
-        return mixed.sum(axis=1, dtype=np.uint64)
-
-
-def bands(at: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """Band keys, paragraphs x BANDS."""
-    width = LENGTH - SHINGLE + 1
-    spans = np.stack([at, at + width], 1).ravel()
-    padded = np.append(shingles, np.uint64(0))
-    out = np.zeros((len(at), BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for j, seed in enumerate(_SEEDS):
-            # Odd multiples of the hashes, folded once: a cheap family of permutations.
-            h = (padded ^ seed) * (seed | np.uint64(1))
-            h ^= h >> np.uint64(31)
-            low = np.minimum.reduceat(h, spans)[::2]
-            out[:, j // ROWS] = out[:, j // ROWS] * np.uint64(0x9E3779B97F4A7C15) + low
-        return mix(out ^ np.arange(1, BANDS + 1, dtype=np.uint64))
+class Paragraphs:
+    """Paragraphs of one text: first words, word counts and contents of lines, then of cuts."""
+
+    def __init__(self, text: str | None):
+        parts = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
+        words = _HASH.of([w for p in parts for w in p])
+        self.shingles = grams(words, SHINGLE)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        long = sizes >= LENGTH
+        cuts = window_minima(grams(words, 3)[:max(len(words) - LENGTH + 1, 0)], REACH)
+        self.n_lines = int(long.sum())
+        self.start = np.concatenate([starts[long], cuts]).astype(np.int64)
+        self.words = np.concatenate([sizes[long], np.full(len(cuts), LENGTH)]).astype(np.int64)
+        sums = np.zeros(len(self.shingles) + 1, np.uint64)
+        np.cumsum(mix(self.shingles ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
+        with np.errstate(over="ignore"):
+            self.content = mix(sums[self.start + self.words - SHINGLE + 1] - sums[self.start] + self.words.astype(np.uint64))
+
+    def bands(self) -> np.ndarray:
+        """Band keys of the lines, lines x BANDS."""
+        start, stop = self.start[:self.n_lines], (self.start + self.words)[:self.n_lines] - SHINGLE + 1
+        spans = np.stack([start, stop], 1).ravel()
+        padded = np.append(self.shingles, np.uint64(0))
+        out = np.zeros((self.n_lines, BANDS), np.uint64)
+        with np.errstate(over="ignore"):
+            for j, seed in enumerate(_SEEDS):
+                # Odd multiples of the hashes, folded once: a cheap family of permutations.
+                h = (padded ^ seed) * (seed | np.uint64(1))
+                h ^= h >> np.uint64(31)
+                out[:, j // ROWS] = out[:, j // ROWS] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, spans)[::2]
+            return mix(out ^ np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, content, keys): every paragraph of every text."""
+    """(doc_id, start, words, content, keys): every paragraph of every text; cuts have no keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in steps(batches):
-            take, starts, contents, keys = [], [], [], []
+            take, starts, words, contents, keys, counts = [], [], [], [], [np.zeros((0, BANDS), np.uint64)], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                at, shingles = paragraphs(text)
-                if len(at):
-                    take.append(np.full(len(at), i))
-                    starts.append(at)
-                    contents.append(content(at, shingles))
-                    keys.append(bands(at, shingles))
+                found = Paragraphs(text)
+                if not len(found.start):
+                    continue
+                take.append(np.full(len(found.start), i))
+                starts.append(found.start)
+                words.append(found.words)
+                contents.append(found.content)
+                counts += [np.full(found.n_lines, BANDS), np.zeros(len(found.start) - found.n_lines, np.int64)]
+                if found.n_lines:
+                    keys.append(found.bands())
             if not take:
                 continue
-            flat = np.concatenate(keys)
-            offsets = pa.array(np.arange(len(flat) + 1) * BANDS, pa.int32())
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(np.concatenate(take))), pa.array(np.concatenate(starts).astype(np.int32)),
-                 pa.array(np.concatenate(contents).view(np.int64)),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat.ravel().view(np.int64)))],
-                ["doc_id", "start", "content", "keys"])
+                 pa.array(np.concatenate(words).astype(np.int32)), pa.array(np.concatenate(contents).view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
+                                          pa.array(np.concatenate(keys).ravel().view(np.int64)))],
+                ["doc_id", "start", "words", "content", "keys"])
 
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        run, f"doc_id {kind}, start int, content bigint, keys array<bigint>")
+        run, f"doc_id {kind}, start int, words int, content bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, let_through) -> DataFrame:
-    """(content, shingles) of the paragraphs a bit map of content hashes lets through."""
+    """(content, shingles) of the lines a bit map of content hashes lets through."""
     def run(batches):
         for batch in steps(batches):
             bits = let_through.value
-            got: dict[int, list[int]] = {}
+            got: dict[int, np.ndarray] = {}
             for text in batch.column(0).to_pylist():
-                at, shingles = paragraphs(text)
-                if not len(at):
-                    continue
-                names = content(at, shingles)
+                found = Paragraphs(text)
+                names = found.content[:found.n_lines]
                 low = names & np.uint64((1 << MAP_BITS) - 1)
                 ok = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
-                for p, c in zip(at[ok == 1].tolist(), names[ok == 1].view(np.int64).tolist()):
+                for i in np.flatnonzero(ok).tolist():
+                    c = int(names[i].view(np.int64))
                     if c not in got:
-                        got[c] = np.unique(shingles[p:p + LENGTH - SHINGLE + 1]).view(np.int64).tolist()
-            yield pa.RecordBatch.from_pydict({"content": pa.array(list(got), pa.int64()),
-                                              "shingles": pa.array(list(got.values()), pa.list_(pa.int64()))})
+                        p = found.start[i]
+                        got[c] = np.unique(found.shingles[p:p + found.words[i] - SHINGLE + 1])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in got.values()])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *got.values()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(got), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["content", "shingles"])
 
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(
         run, "content bigint, shingles array<bigint>")
 
 
-def similar(sets: list[np.ndarray], names: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+def similar(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
     """For each content the index of the smallest one it is linked to, by exact Jaccard.
 
     One content after another is compared with all others not yet linked to it,
@@ -148,7 +159,7 @@ def similar(sets: list[np.ndarray], names: np.ndarray, least: float = SIMILAR) -
 
 
 def _verify(batches):
-    """Spanning links of rows (key, block, content, shingles), sorted by key and block."""
+    """Spanning links of rows (key, block, content, shingles), sorted by key, block and content."""
     held, key = [], None
 
     def out(rows):
@@ -156,42 +167,44 @@ def _verify(batches):
         names, first = np.unique(names, return_index=True)
         if len(names) < 2:
             return None
-        root = similar([np.array(rows[i][1], np.int64) for i in first.tolist()], names)
+        root = similar([rows[i][1] for i in first.tolist()])
         own = np.flatnonzero(root != np.arange(len(names)))
         return names[own], names[root[own]]
 
     def flush(found):
-        a = np.concatenate([x[0] for x in found])
-        b = np.concatenate([x[1] for x in found])
-        return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([x[0] for x in found])),
+                                           "b": pa.array(np.concatenate([x[1] for x in found]))})
 
     for batch in batches:
         found = []
-        for k, block, name, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+        lists = batch.column(3)
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+        for n, (k, block, name) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
             if (k, block) != key:
-                if held and (made := out(held)):
+                if len(held) > 1 and (made := out(held)):
                     found.append(made)
                 held, key = [], (k, block)
-            held.append((name, shingles))
+            held.append((name, flat[offsets[n]:offsets[n + 1]].copy()))
         if found:
             yield flush(found)
-    if held and (made := out(held)):
+    if len(held) > 1 and (made := out(held)):
         yield flush([made])
 
 
 def links(docs: DataFrame, found: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between different contents of similarity ``SIMILAR`` or more."""
+    """(a, b): links between different lines of similarity ``SIMILAR`` or more."""
     spark = docs.sparkSession
-    rows = found.select("content", F.explode("keys").alias("key"))
+    rows = found.where("size(keys) > 0").select("content", "words", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b")
-    members = scratch.settle(rows.join(shared.select("key"), "key").select("key", "content").distinct())
+    members = scratch.settle(rows.join(shared.select("key"), "key").groupBy("key", "content").agg(
+        F.max("words").alias("words")))
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     wanted = members.selectExpr(f"content & {(1 << MAP_BITS) - 1} AS bit").distinct()
     for r in wanted.toLocalIterator():  # at most 2 ** MAP_BITS rows
         bits[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
     sets = shingle_sets(docs, spark.sparkContext.broadcast(bits)).groupBy("content").agg(
         F.first("shingles").alias("shingles"))
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = members.groupBy("key").agg(F.sum("words").alias("n"))
     large = counted.where(F.col("n") > block).selectExpr("key", f"CAST(ceil(n / {block}) AS INT) AS cut")
     dealt = members.join(broadcast_when_small(scratch.settle(large), 100_000), "key", "left").selectExpr(
         "key", "content", "CAST(pmod(xxhash64(content), coalesce(cut, 1)) AS INT) AS own", "coalesce(cut, 1) AS cut")
@@ -214,17 +227,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.settle(units(docs))
         roots = components(links(docs, found, scratch))
-        named = found.select("doc_id", "start", "content").distinct().join(
-            roots.withColumnRenamed("node", "content"), "content", "left").selectExpr(
-            "doc_id", "start", "coalesce(root, content) AS class")
-        return settle(_classes(named))
-
-
-def _classes(named: DataFrame) -> DataFrame:
-    classes = named.groupBy("class").agg(
-        F.expr("min(named_struct('d', doc_id, 's', start))").alias("first"),
-        F.max("doc_id").alias("last")).where("first.d <> last")
-    return named.join(classes, "class").selectExpr(
-        "doc_id", "start AS start_word", f"start + {LENGTH} AS end_word", "lower(lpad(hex(class), 16, '0')) AS class_id",
-        "first.d AS first_doc_id",
-        "named_struct('d', doc_id, 's', start) <> first AS removable")
+        named = found.select("doc_id", "start", "words", "content")
+        # Most contents are met in one document only; they leave on numbers alone.
+        linked = roots.selectExpr("node AS content", "root")
+        lows = named.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(
+            linked, "content", "left").selectExpr("content", "coalesce(root, content) AS class", "lo", "hi")
+        several = lows.where("lo <> hi OR content <> class").select("class").union(
+            linked.select("root")).distinct()
+        classes = lows.join(several, "class").groupBy("class").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+        of_content = lows.select("content", "class").join(classes.select("class", "lo"), "class")
+        flagged = scratch.settle(named.join(of_content, "content").dropDuplicates(["doc_id", "start", "class"]))
+        first = flagged.where("doc_id = lo").groupBy("class").agg(F.min("start").alias("at"))
+        return settle(flagged.join(first, "class").selectExpr(
+            "doc_id", "start AS start_word", "start + words AS end_word", "lower(lpad(hex(class), 16, '0')) AS class_id",
+            "lo AS first_doc_id", "doc_id <> lo OR start <> at AS removable"))
