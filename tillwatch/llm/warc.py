@@ -43,7 +43,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Payloads of at least so many bytes may become revisits.
 REVISIT_FROM = 0
 _PAGE = "X-Page-Id"
-_SPACE = re.compile(rb"\s")
 
 
 def digest(raw: bytes) -> str:
@@ -92,7 +91,7 @@ def arc_rows(pages: DataFrame, version: Column) -> DataFrame:
 def write_rows(rows: DataFrame, folder: str, between: str) -> None:
     """Write the ``value`` bytes of each partition as one gzip file."""
     (rows.selectExpr("CAST(value AS STRING) AS value").write.option("lineSep", between)
-     .option("compression", "gzip").text(folder))
+     .option("compression", "gzip").option("zlib.compress.level", "THREE").text(folder))
 
 
 def write_arc(pages: DataFrame, folder: str) -> None:
