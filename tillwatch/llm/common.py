@@ -192,6 +192,12 @@ def piece_of(column: str, cuts: list[int]) -> str:
     return f"IF({column} IS NULL, 0, {nest(0, len(cuts))})"
 
 
-def file_size(df: DataFrame) -> int:
-    """Bytes Spark estimates for the plan (its own statistics, no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def even_parts(df: DataFrame, bytes_each: int) -> int:
+    """Partitions for a shuffle of ``df``: the session's number, more where its files are large.
+
+    Spark's own size estimate serves (no job); where it knows none, the session's
+    number stands.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(parts, -(-size // bytes_each)) if size < 1 << 50 else parts

@@ -21,10 +21,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import arrow_schema, cut_points, file_size, mix, steps
+from tillwatch.llm.common import arrow_schema, cut_points, even_parts, mix, steps
 
 SHINGLE = 8
 SCALE = 32
+#: Input bytes per range beyond which more ranges than shuffle partitions are made.
+RANGE_BYTES = 64 << 20
 _M = 0x9E3779B97F4A7C15
 #: Code points hashed at once.
 _SEGMENT = 1 << 20
@@ -113,7 +115,7 @@ def compare_with_next(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-file_size(base) // (64 << 20)))
+    pieces = even_parts(base, RANGE_BYTES)
     cuts = sorted({float(c) for c in cut_points(ids, "doc_id", pieces)})
 
     def ranged(df):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from tillwatch.llm.bpe import WordBpe, _byte_chars
-from tillwatch.llm.common import file_size, steps
+from tillwatch.llm.common import even_parts, steps
 
 #: Input bytes per shard beyond which more shards than shuffle partitions are made.
 SHARD_BYTES = 64 << 20
@@ -71,12 +71,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> None:
     repeated ids by text (nulls first). A null text is empty: just the end id.
     Other columns are not read. An empty table writes no shard.
     """
-    spark = docs.sparkSession
     width = id_width(vocabulary)
     kind = f"<u{width}"
     end = np.array([end_id], kind).tobytes()
     base = docs.select("doc_id", "text")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-file_size(base) // SHARD_BYTES))
+    shards = even_parts(base, SHARD_BYTES)
 
     def pack(batches):
         index, at = [], 0
