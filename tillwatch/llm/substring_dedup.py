@@ -49,14 +49,14 @@ _SEEDS = np.array([mix(np.array([i + 1], np.uint64))[0] for i in range(ROWS * BA
 class Paragraphs:
     """Paragraphs of one text: first words, word counts and contents of lines, then of cuts."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, cut: bool = True):
         parts = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
         words = _HASH.of([w for p in parts for w in p])
         self.shingles = grams(words, SHINGLE)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         starts = np.cumsum(sizes) - sizes
         long = sizes >= LENGTH
-        cuts = window_minima(grams(words, 3)[:max(len(words) - LENGTH + 1, 0)], REACH)
+        cuts = window_minima(grams(words, 3)[:max(len(words) - LENGTH + 1, 0)], REACH) if cut else np.zeros(0, np.int64)
         self.n_lines = int(long.sum())
         self.start = np.concatenate([starts[long], cuts]).astype(np.int64)
         self.words = np.concatenate([sizes[long], np.full(len(cuts), LENGTH)]).astype(np.int64)
@@ -119,7 +119,7 @@ def shingle_sets(docs: DataFrame, let_through) -> DataFrame:
             bits = let_through.value
             got: dict[int, np.ndarray] = {}
             for text in batch.column(0).to_pylist():
-                found = Paragraphs(text)
+                found = Paragraphs(text, cut=False)
                 names = found.content[:found.n_lines]
                 low = names & np.uint64((1 << MAP_BITS) - 1)
                 ok = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
@@ -231,11 +231,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         # Most contents are met in one document only; they leave on numbers alone.
         linked = roots.selectExpr("node AS content", "root")
         lows = named.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(
-            linked, "content", "left").selectExpr("content", "coalesce(root, content) AS class", "lo", "hi")
-        several = lows.where("lo <> hi OR content <> class").select("class").union(
-            linked.select("root")).distinct()
-        classes = lows.join(several, "class").groupBy("class").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+            linked, "content", "left").where("lo <> hi OR root IS NOT NULL").selectExpr(
+            "content", "coalesce(root, content) AS class", "lo", "hi")
+        classes = lows.groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
         of_content = lows.select("content", "class").join(classes.select("class", "lo"), "class")
         flagged = scratch.settle(named.join(of_content, "content").dropDuplicates(["doc_id", "start", "class"]))
         first = flagged.where("doc_id = lo").groupBy("class").agg(F.min("start").alias("at"))
