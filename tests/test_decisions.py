@@ -73,7 +73,7 @@ def test_promotion_guard_and_rollback(spark):
 def test_notices_and_watchlist_error(spark):
     ok = spark.createDataFrame([(1, "AUTO-HOLD", 7)], "account_id int, action_type string, action_id int")
     r = A.notices(ok, "Example Bank").first()
-    assert r.reference_id == "CASE-1-7" and "Example Bank customer support with reference ID CASE-1-7." in r.message
+    assert r.reference_id == "CASE-1-7" and "call Example Bank and quote CASE-1-7." in r.message
     with pytest.raises(PySparkException):
         A.notices(ok.withColumn("action_type", F.lit("WATCHLIST"))).collect()
 

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.operators.prep import QuantileMap, as_array
+from tillwatch.operators.clean import to_long
+from tillwatch.operators.ordering import exact_quantiles
+from tillwatch.operators.prep import as_array
 from tillwatch.session import settle
 
 _SPACE = 1_000_000_007
@@ -110,32 +112,60 @@ class IsolationForest:
         return df.select("account_id", self.column().alias(name))
 
 
+def rank_ladder(n: int, ratio: float) -> list[int]:
+    """Ascending ranks of 1..n: all near both ends, then in steps growing by ``ratio``."""
+    up, r = [], 1
+    while r <= (n + 1) // 2:
+        up.append(r)
+        r = max(r + 1, int(r * ratio))
+    up += [(n + 1) // 2] if n else []
+    return sorted({*up, *(n + 1 - r for r in up)})
+
+
 @dataclass(frozen=True)
 class FrozenEcod:
-    """ECOD of new rows against a frozen reference: tail shares come from its landmarks."""
+    """ECOD of new rows against a frozen reference.
+
+    Tail shares come from the reference's values at a ladder of exact ranks: every
+    rank up to 1 / (ratio - 1) from either end, then ranks growing by ``ratio``.
+    A share is so exact in the tails and within the ratio anywhere, whatever the
+    number of rows, and the ladder grows with its logarithm only.
+    """
 
     cols: list[str]
     landmarks: list[list[float]]
+    ranks: list[list[float]]
+    counts: list[int]
     left: list[bool]
 
     @staticmethod
-    def fit(df: DataFrame, cols: list[str], count: int = 1000) -> "FrozenEcod":
-        marks = QuantileMap.fit(df, cols, count)
-        skew = df.agg(*[F.expr(f"skewness(CAST(`{c}` AS DOUBLE)) AS s{i}") for i, c in enumerate(cols)]).first()
-        return FrozenEcod(list(cols), marks.landmarks, [bool((skew[i] or 0) < 0) for i in range(len(cols))])
+    def fit(df: DataFrame, cols: list[str], ratio: float = 1.005) -> "FrozenEcod":
+        facts = df.agg(*[F.expr(f"skewness(CAST(`{c}` AS DOUBLE)) AS s{i}") for i, c in enumerate(cols)],
+                       F.count(F.lit(1)).alias("n")).first()
+        ladder = rank_ladder(facts["n"], ratio)
+        probs = [(r - 1) / max(facts["n"] - 1, 1) for r in ladder]
+        rows = exact_quantiles(to_long(df, cols), ["feature"], "value", probs).collect()  # a ladder per column
+        found = {r["feature"]: r for r in rows}
+        counts = [found[c]["n"] if c in found else 0 for c in cols]
+        return FrozenEcod(list(cols), [list(found[c]["q"]) if c in found else [] for c in cols],
+                          [[p * (n - 1) + 1 for p in probs] for n in counts], counts,
+                          [bool((facts[i] or 0) < 0) for i in range(len(cols))])
 
     def column(self) -> Column:
-        marks = [np.sort(np.asarray(m, dtype=float)) for m in self.landmarks]
-        left = np.array(self.left)
+        marks = [np.asarray(m, dtype=float) for m in self.landmarks]
+        ranks = [np.asarray(r, dtype=float) for r in self.ranks]
+        counts, left = self.counts, np.array(self.left)
 
         @F.pandas_udf("double")
         def score(v: pd.Series) -> pd.Series:
             x = np.array(v.tolist(), dtype=float).reshape(len(v), len(marks))
             low, high = np.empty_like(x), np.empty_like(x)
             for j, m in enumerate(marks):
-                n = len(m)
-                low[:, j] = -np.log(np.maximum(np.searchsorted(m, x[:, j], side="right"), 1) / n)
-                high[:, j] = -np.log(np.maximum(n - np.searchsorted(m, x[:, j], side="left"), 1) / n)
+                n = max(counts[j], 1)
+                upto = np.concatenate([[0.0], ranks[j][:len(m)]])[np.searchsorted(m, x[:, j], side="right")]
+                above = np.concatenate([n - ranks[j][:len(m)] + 1, [0.0]])[np.searchsorted(m, x[:, j], side="left")]
+                low[:, j] = -np.log(np.maximum(upto, 1) / n)
+                high[:, j] = -np.log(np.maximum(above, 1) / n)
             auto = np.where(left[None, :], low, high)
             return pd.Series(np.maximum.reduce([low.sum(axis=1), high.sum(axis=1), auto.sum(axis=1)]))
 

@@ -144,7 +144,7 @@ class Bundle:
             "prep": _prep_out(self.prep), "focal_prep": _prep_out(self.focal_prep),
             "nnpu": [self.nnpu.rate, len(self.nnpu.trees)], "focal": [self.focal.rate, len(self.focal.trees)],
             "proto": [self.proto.positive, self.proto.negative],
-            "ecod": [self.ecod.landmarks, self.ecod.left], "iforest": [self.iforest.trees, self.iforest.size],
+            "ecod": [self.ecod.landmarks, self.ecod.ranks, self.ecod.counts, self.ecod.left], "iforest": [self.iforest.trees, self.iforest.size],
             "cascade_cols": self.cascade_cols, "ranks": self.space.ranks.landmarks,
         }
         spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.text(f"{root}/params")

@@ -13,6 +13,8 @@ cut the value axis into pieces first, so the unit of work is (key, piece):
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,17 +156,21 @@ def join_per_value(df: DataFrame, per_value: DataFrame, on: list[str],
     keys holding over 1/1000 of all rows - fewer than 1000 by counting - are
     broadcast, and the remaining rows meet their key in one shuffle where the
     already served hot rows are spread by a row hash.
+
+    Every row of ``df`` stays, at any size: a key that is null or unknown gets
+    nulls. Rows with a null key are spread by hash too.
     """
     table = settle(per_value)
     cols = [c for c in table.columns if c not in on and c != "n"]
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return df.join(F.broadcast(table.drop("n")), on)
+        return df.join(F.broadcast(table.drop("n")), on, "left")
     limit = table.agg(F.sum("n")).scalar() / F.lit(float(HOT_SHARE))
     hot = table.where(F.col("n") > limit).select(
         *on, *[F.col(c).alias(f"_hot_{c}") for c in cols], F.lit(True).alias("_hot"))
     cold = table.where(F.col("n") <= limit).drop("n").withColumn("_salt", F.lit(0).cast("long"))
+    unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in on])
     tagged = df.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(9973)) + 1)
+        "_salt", F.when(F.col("_hot") | unkeyed, F.pmod(F.xxhash64(*df.columns), F.lit(9973)) + 1)
                   .otherwise(F.lit(0)).cast("long"))
     out = tagged.join(cold, [*on, "_salt"], "left")
     rest = [c for c in df.columns if c not in on]

@@ -62,7 +62,7 @@ def prototype_oof(spark, sf):
 @query("iforest")
 def iforest(spark, sf):
     m = _settled(spark, sf)
-    return IsolationForest.fit(m, VECTOR_COLS, trees=50, size=128).score(m)
+    return IsolationForest.fit(m, VECTOR_COLS).score(m)
 
 
 def _simple_scores(spark, sf, k=3):
@@ -113,7 +113,7 @@ def kmeans_triage(spark, sf):
 @query("pca3")
 def pca3(spark, sf):
     m = _settled(spark, sf)
-    return RankSpace.fit(m.where("account_id % 4 <> 0"), VECTOR_COLS).assign(m)
+    return RankSpace.fit(m, VECTOR_COLS).assign(m)
 
 
 @query("mule_clusters")
@@ -135,8 +135,8 @@ def contributions(spark, sf):
 def retrain_feedback(spark, sf):
     m = _settled(spark, sf)
     fb = table(spark, sf, "events").select(
-        F.col("user_id").alias("account_id"), F.lit(1).alias("true_label"), F.col("event_id").alias("created_at")
-    ).where("event_id % 50 = 0")
+        F.col("user_id").alias("account_id"), (F.col("event_type") == "purchase").cast("int").alias("true_label"),
+        F.col("event_id").alias("created_at"))
     new = settle(overlay_feedback(m, fb).drop("changed"))
     learner = L.forest_learner(VECTOR_COLS, 12, trees=10, depth=4)
     a = L.out_of_fold(m, learner, 2).select("account_id", F.col("score").alias("old"))
@@ -145,9 +145,9 @@ def retrain_feedback(spark, sf):
 
 
 def small_bundle(spark, sf):
-    """A quick bundle on three quarters of the vectors; the rest plays the new upload."""
+    """A quick bundle on all vectors, which also play the new upload."""
     m = _settled(spark, sf)
-    train, new = m.where("account_id % 4 <> 0"), m.where("account_id % 4 = 0")
+    train, new = m, m
     learners = {
         "gbt": L.gbt_learner(VECTOR_COLS, 10, rounds=3, depth=3),
         "forest": L.forest_learner(VECTOR_COLS, 10, trees=10, depth=4),

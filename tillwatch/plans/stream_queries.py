@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tillwatch.model import CHANNELS
 from tillwatch.plans.decision_queries import LEDGER, switch_log
 from tillwatch.plans.quality_queries import band_sql
 from tillwatch.plans.registry import query
@@ -14,7 +15,7 @@ from tillwatch.sources.tables import online_features
 from tillwatch.streaming.accounts import start_scoring
 from tillwatch.streaming.transactions import TransactionJob
 
-_USED = ["CASH", "UPI"]
+_USED = list(CHANNELS)
 
 
 def _scratch(spark, name):
@@ -57,7 +58,7 @@ def _run(spark, sf):
         F.col("s_suppkey").alias("account_id"), (F.col("s_acctbal") < 0).alias("flagged"),
         F.col("s_nationkey").alias("counterparty_flagged_count"), F.lit(0.0).alias("cross_bank_velocity_score"))
     log = switch_log(spark, sf)
-    job = TransactionJob(root, _cash_score, lambda s: log.where("id < 5000"),
+    job = TransactionJob(root, _cash_score, lambda s: log,
                          lambda s: registry, channels=_USED, model_version="v1")
     q = job.start(event_stream(spark, sf), f"{root}/checkpoint")
     q.awaitTermination()
@@ -82,7 +83,7 @@ def stream_features(spark, sf):
 
 
 @query("stream_gate", f"""WITH {TX}, {_EVT}, {LEDGER},
-s AS (SELECT arg_max(event = 'ACTIVATE', id) AS active FROM sw WHERE id < 5000),
+s AS (SELECT arg_max(event = 'ACTIVATE', id) AS active FROM sw),
 sc AS (SELECT event_id, account_id, least(CAST(coalesce(CASH_7, 0) AS DOUBLE) / 400.0::DOUBLE, 1.0) AS score FROM ev),
 g AS (SELECT sc.*, CASE WHEN score >= 0.95 THEN CASE WHEN active THEN 'SUPPRESSED_BY_KILL_SWITCH' ELSE 'AUTO-HOLD' END END AS action FROM sc, s)
 SELECT event_id, account_id, score, action, CAST(s_acctbal < 0 AS INTEGER) AS cross_bank_flagged,

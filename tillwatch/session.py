@@ -63,6 +63,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath))
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder this program wrote, through whatever file system holds it."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

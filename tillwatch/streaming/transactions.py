@@ -21,20 +21,19 @@ from tillwatch.model import AUTO_HOLD_SCORE, CHANNELS, DEFAULT_SLA_HOURS, WINDOW
 from tillwatch.operators import ledger as L
 from tillwatch.operators.joins import merge_cross_bank
 from tillwatch.operators.rolling import days, features_at
-from tillwatch.session import broadcast_when_small, settle
+from tillwatch.session import Scratch, broadcast_when_small, folder_exists, settle
 from tillwatch.sources.tables import append_batch
 
 BATCH_ACCOUNTS = 500_000
 
 
-def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Drop repeated event ids; rows later than the watermark are dropped and counted by Spark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 @dataclass
 class TransactionJob:
-    """Tables under ``root``: history, online, results, actions.
+    """Tables under ``root``: history, online, results, actions, quarantine.
+
+    Every event is kept, however late: it gets its own result and counts in the
+    windows of all events handled after it. Repeated ids are told by the history
+    itself. Unreadable payloads go to ``quarantine`` as they came.
 
     ``scorer`` adds a ``score`` column on [0, 1] to the feature frame (a fitted
     model's transform or a Pandas UDF). ``switch_log`` and ``cross_bank`` are
@@ -54,7 +53,7 @@ class TransactionJob:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def refresh(self, batch: DataFrame, batch_id: int) -> DataFrame:
+    def refresh(self, batch: DataFrame, batch_id: int, settle=settle) -> DataFrame:
         """Append to the history and compute the features of the batch's events."""
         spark, events = batch.sparkSession, batch
         append_batch(events.withColumn("event_date", F.to_date("ts")), self.path("history"),
@@ -70,12 +69,37 @@ class TransactionJob:
         recent = history.join(touched, "account_id", "left_semi")
         return features_at(events, recent, self.channels)
 
+    def unseen(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The batch's events that no earlier batch brought, one per id.
+
+        Only history of the dates the batch touches is read (ids alone).
+        """
+        spark = batch.sparkSession
+        events = batch.dropDuplicates(["event_id"])
+        if not folder_exists(spark, self.path("history")):
+            return events
+        dates = [r[0] for r in batch.select(F.to_date("ts")).distinct().collect()]  # calendar days
+        known = spark.read.parquet(self.path("history")).where(
+            F.col("event_date").isin(dates) & (F.col("batch_id") < batch_id)).select("event_id")
+        return events.join(known, "event_id", "left_anti")
+
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = settle(batch)
-        if batch.isEmpty():  # a batch that only moves the watermark
+        with Scratch(spark) as scratch:
+            self._handle(scratch.settle(batch), batch_id, scratch)
+
+    def _handle(self, batch: DataFrame, batch_id: int, scratch: Scratch) -> None:
+        spark = batch.sparkSession
+        settle = scratch.settle
+        if "payload" in batch.columns:
+            bad = batch.where("payload IS NOT NULL").select("payload")
+            if not bad.isEmpty():
+                append_batch(bad, self.path("quarantine"), batch_id)
+            batch = batch.where("payload IS NULL").drop("payload")
+        batch = settle(self.unseen(batch, batch_id))
+        if batch.isEmpty():
             return
-        feats = self.refresh(batch, batch_id)
+        feats = self.refresh(batch, batch_id, settle)
         if self.cross_bank is not None:
             touched = batch.select("account_id").distinct()
             signals = settle(self.cross_bank(spark).join(touched, "account_id", "left_semi"))
@@ -102,7 +126,7 @@ class TransactionJob:
         append_batch(L.record_actions(holds, self.model_version, self.sla_hours), self.path("actions"), batch_id)
 
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = True):
-        w = deduplicated(events).writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
+        w = events.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
         return (w.trigger(availableNow=True) if available_now else w).start()
 
 
