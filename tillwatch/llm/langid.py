@@ -262,7 +262,7 @@ def identify(docs: DataFrame) -> DataFrame:
         "doc_id", f"{held_out()} AS held_out", "p.lang AS lang_pred", "p.score AS score")
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` whose language is known with a calibrated score of ``least`` or more."""
     model = train(docs.select("doc_id", "text", "lang").where(f"doc_id IS NOT NULL AND NOT {held_out()}"))
     row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
