@@ -1,4 +1,4 @@
-"""Every query with SQL equals DuckDB on the smallest data; the others return rows."""
+"""Every query with SQL equals DuckDB on the smallest data."""
 
 import glob
 import os
