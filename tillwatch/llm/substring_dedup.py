@@ -233,10 +233,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         lows = named.groupBy("content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).join(
             linked, "content", "left").where("lo <> hi OR root IS NOT NULL").selectExpr(
             "content", "coalesce(root, content) AS class", "lo", "hi")
-        classes = lows.groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+        # Written first: a plain table lets Spark split a hot class on the other side of the join.
+        classes = scratch.settle(
+            lows.groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi"))
         of_content = lows.select("content", "class").join(classes.select("class", "lo"), "class")
         flagged = scratch.settle(named.join(of_content, "content").dropDuplicates(["doc_id", "start", "class"]))
-        first = flagged.where("doc_id = lo").groupBy("class").agg(F.min("start").alias("at"))
+        first = scratch.settle(flagged.where("doc_id = lo").groupBy("class").agg(F.min("start").alias("at")))
         return settle(flagged.join(first, "class").selectExpr(
             "doc_id", "start AS start_word", "start + words AS end_word", "lower(lpad(hex(class), 16, '0')) AS class_id",
             "lo AS first_doc_id", "doc_id <> lo OR start <> at AS removable"))
