@@ -59,3 +59,42 @@ def test_hash_rank_is_a_permutation(spark):
     out = O.hash_rank(df, ["y"], "h")
     for y in (0, 1):
         assert sorted(r.row_rank for r in out.where(F.col("y") == y).collect()) == list(range(250))
+
+
+def test_brackets_move_few_rows_and_stay_exact(spark):
+    # Two features of very different scale, one with a third of its rows equal, both beyond one bracket.
+    df = spark.range(60_000).selectExpr(
+        "IF(id % 2 = 0, 'wide', 'narrow') AS k",
+        "IF(id % 2 = 0, IF(id % 3 = 0, 7e6, (id * 7919 % 60013) * 1e6), (id * 104729 % 60013) * 1e-6) AS v")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    counts = O._bracketed(df, ["k"], "v", probs)
+    assert counts.where("v IS NOT NULL").agg(F.sum("n")).first()[0] < 60_000 // 2
+    assert counts.count() < 1_000
+    assert counts.agg(F.sum("n")).first()[0] == 60_000
+    want = {k: np.quantile(g["v"], probs) for k, g in df.toPandas().groupby("k")}
+    for r in O.exact_quantiles(df, ["k"], "v", probs).collect():
+        assert r.q == pytest.approx(list(want[r.k]), rel=1e-12) and r.n == 30_000
+    alone = df.where("k = 'narrow'")
+    assert O.exact_quantiles(alone, [], "v", probs).first().q == pytest.approx(list(want["narrow"]), rel=1e-12)
+
+
+def test_a_bracket_that_misses_counts_all_values(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("'a' AS k", "CAST(id AS DOUBLE) AS v")
+    wrong = df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).selectExpr("k", "0 AS _piece", "CAST(NULL AS DOUBLE) AS v", "n")
+    monkeypatch.setattr(O, "_bracketed", lambda *_: wrong)
+    assert O.exact_quantiles(df, ["k"], "v", [0.5]).first().q == [9999.5]
+
+
+def test_every_key_is_cut_by_its_own_values(spark):
+    df = spark.range(20_000).selectExpr(
+        "concat('f', id % 20) AS k", "(id * 7919 % 20011) * pow(10.0, id % 20) AS v", "1L AS n")
+    pieces = O.with_piece(df, ["k"], "v").groupBy("k").agg(
+        F.count_distinct("_piece").alias("pieces"), F.max("_piece").alias("top")).collect()
+    assert len(pieces) == 20 and all(r.pieces >= 3 for r in pieces)
+
+
+def test_many_cuts_search_like_the_nest(spark):
+    cuts = [float(i) for i in range(0, 400, 2)]
+    df = spark.range(-3, 410).selectExpr("CAST(id AS DOUBLE) AS v")
+    got = {r.v: r.p for r in df.select("v", O.piece_of("v", cuts).alias("p")).collect()}
+    assert got == {v: sum(c < v for c in cuts) for v in got}

@@ -4,9 +4,8 @@ A plain ``Window.partitionBy(key).orderBy(value)`` sorts a whole key in one
 task, and a window without keys sorts the whole table there. The helpers here
 cut the value axis into pieces first, so the unit of work is (key, piece):
 
-1. cut points come from one approximate-percentile pass (a few hundred numbers
-   reach the driver, whatever the table size). They only balance the work;
-   the results stay exact for any cut points;
+1. cut points come from one approximate-percentile pass, for every key on its
+   own. They only balance the work; the results stay exact for any cut points;
 2. rows are sorted inside (key, piece);
 3. totals per (key, piece) give each piece its starting offset.
 """
@@ -22,26 +21,57 @@ from pyspark.sql import functions as F
 from tillwatch.session import broadcast_when_small, settle
 
 _PIECE = "_piece"
-MAX_PIECES = 128
+#: Rows one piece should hold at most, and the pieces a key is cut into at most.
+PIECE_ROWS = 1_000_000
+MAX_PIECES = 1024
 HOT_SHARE = 1000
 BROADCAST_ROWS = 50_000
+#: Relative error of the sketch that brackets a quantile, and the rows below which a key needs none.
+SKETCH = 2_000
+WHOLE_ROWS = 4 * SKETCH
 
 
 def piece_count(df: DataFrame) -> int:
+    """Pieces per key for a settled ``df``: grows with its rows, never below the session's parallelism."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_PIECES, parts))
+    return max(2, min(MAX_PIECES, max(parts, -(-df.count() // PIECE_ROWS))))
+
+
+def _even(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
 
 
 def cut_points(df: DataFrame, value: str, pieces: int | None = None) -> list[float]:
     """Ascending distinct cut points that split ``value`` into even pieces."""
     n = pieces or piece_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(value), probs, 100 * n).alias("c")).first()
+    row = df.agg(F.percentile_approx(F.col(value), _even(n), 10 * n).alias("c")).first()
     return sorted({float(c) for c in (row["c"] or []) if c == c})
 
 
+def with_piece(vc: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add the piece of each row. Every key has cut points of its own, so that a key
+    whose values lie in a narrow range is split as evenly as any other."""
+    n = piece_count(vc)
+    if not keys:
+        return vc.withColumn(_PIECE, piece_of(value, cut_points(vc, value, n)))
+    cuts = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr(
+        f"percentile_approx(CAST(`{value}` AS DOUBLE), array({', '.join(map(repr, _even(n)))}), {10 * n})").alias("_cuts"))
+    counts = vc.withColumnRenamed("n", "_rows") if "n" in vc.columns else vc
+    out = join_per_value(counts, cuts, keys).withColumn(_PIECE, F.expr(_search(f"CAST(`{value}` AS DOUBLE)", "_cuts", n)))
+    return out.drop("_cuts").withColumnRenamed("_rows", "n")
+
+
+def _search(value: str, cuts: str, n: int) -> str:
+    """SQL: how many entries of the ascending array ``cuts`` (under ``n``) lie below ``value``, by bisection."""
+    steps = ", ".join(str(1 << k) for k in range(max(n, 1).bit_length() - 1, -1, -1))
+    return f"aggregate(array({steps}), 0, (p, s) -> IF(get({cuts}, p + s - 1) < {value}, p + s, p))"
+
+
 def piece_of(value: str, cuts: list[float]) -> Column:
-    """Index of the piece a column's value falls in, as a binary decision nest."""
+    """Index of the piece a column's value falls in: a decision nest, or a search among very many cuts."""
+    if len(cuts) > 128:
+        return F.expr(_search(f"CAST(`{value}` AS DOUBLE)", f"array({', '.join(f'{c!r}D' for c in cuts)})", len(cuts)))
+
     def nest(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
@@ -93,24 +123,66 @@ def ranked_values(df: DataFrame, keys: list[str], value: str,
 
     ``cum_*`` counts this value and everything ranked before it.
     """
-    vc = value_counts(df, keys, value, extra)
-    cuts = cut_points(vc, value)
-    piece = piece_of(value, cuts)
-    vc = vc.withColumn("_ord", -F.col(value) if descending else F.col(value))
-    if descending:
-        piece = -piece
+    vc = with_piece(value_counts(df, keys, value, extra), keys, value)
+    vc = vc.withColumn("_ord", -F.col(value) if descending else F.col(value)).withColumnRenamed(_PIECE, "_at")
+    piece = -F.col("_at") if descending else F.col("_at")
     sums = {"cum_n": "n", **{f"cum_{k}": f"`{k}`" for k in (extra or {})}}
-    return running(vc, keys, "_ord", sums, piece).drop("_ord")
+    return running(vc, keys, "_ord", sums, piece).drop("_ord", "_at")
+
+
+def _bracketed(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Counts by (keys, piece, value), with the value kept only near a wanted rank.
+
+    A sketch per key gives each probability a bracket a few sketch errors wide.
+    Rows between the brackets collapse to one count per piece before the shuffle
+    (their value is null), so only the few rows inside the brackets move. A key
+    with few rows is one bracket. ``df`` is read twice; settle what is costly.
+    """
+    reach = 2.0 / SKETCH
+    ends = [min(max(p + d, 0.0), 1.0) for d in (-reach, reach) for p in probs]
+    rows = df.where(F.col(value).isNotNull()).selectExpr(*[f"`{k}`" for k in keys], f"CAST(`{value}` AS DOUBLE) AS _v")
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr(
+        f"percentile_approx(_v, array({', '.join(f'{e!r}D' for e in ends)}), {SKETCH})").alias("_e"))
+    m = len(probs)
+    whole = f"n <= {WHOLE_ROWS}"
+    found = found.selectExpr(
+        *[f"`{k}`" for k in keys], "n",
+        f"IF({whole}, array(double('-Infinity')), slice(_e, 1, {m})) AS _lo",
+        f"IF({whole}, array(double('NaN')), slice(_e, {m + 1}, {m})) AS _hi")
+    if keys:
+        met = join_per_value(rows, found, keys).where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    else:
+        one = found.first()  # two arrays of len(probs) numbers
+        lo, hi = (", ".join(f"double('{x!r}')" for x in one[c] or []) for c in ("_lo", "_hi"))
+        met = rows.withColumn("_lo", F.expr(f"array({lo})")).withColumn("_hi", F.expr(f"array({hi})"))
+    # Brackets begun and brackets passed: both grow with the value, so their sum orders the pieces.
+    tagged = met.selectExpr(*[f"`{k}`" for k in keys], "_v", "size(filter(_lo, x -> x <= _v)) AS _begun",
+                            "size(filter(_hi, x -> x < _v)) AS _passed")
+    return settle(tagged.selectExpr(*[f"`{k}`" for k in keys], f"_begun + _passed AS {_PIECE}",
+                                    f"IF(_begun > _passed, _v, NULL) AS `{value}`").groupBy(
+        *keys, _PIECE, value).agg(F.count(F.lit(1)).alias("n")))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per key, ``q`` = array in ``probs`` order.
 
-    Only the pieces that hold a wanted rank are sorted; every other piece is
-    reduced to its count. ``n`` is the number of non-null rows of the key.
+    Only rows near a wanted rank are shuffled and sorted (``_bracketed``). Where the
+    probabilities are so many that their brackets would hold most rows, or a
+    bracket turns out to miss its rank, all values are counted instead; the
+    result is the same. ``n`` is the number of non-null rows of the key.
+    """
+    if 4 * len(probs) < SKETCH // 4:
+        out = _pick(_bracketed(df, keys, value, probs), keys, value, probs, bracketed=True)
+        if out is not None:
+            return out
+    return _pick(with_piece(value_counts(df, keys, value), keys, value), keys, value, probs)
+
+
+def _pick(vc: DataFrame, keys: list[str], value: str, probs: list[float], bracketed: bool = False) -> DataFrame | None:
+    """Quantiles from counts by (keys, piece, value); only pieces that hold a wanted rank are sorted.
+
+    None if a wanted rank lies among rows whose values a bracketed count dropped.
     """
-    vc = value_counts(df, keys, value)
-    vc = vc.withColumn(_PIECE, piece_of(value, cut_points(vc, value)))
     at = [*keys, _PIECE]
     part = ", ".join(f"`{k}`" for k in keys) or "0"
     sizes = vc.groupBy(*at).agg(F.sum("n").alias("piece_n")).selectExpr(
@@ -131,6 +203,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         f"filter({wanted}, w -> (w.lo >= start AND w.lo < start + piece_n) "
         "OR (w.hi >= start AND w.hi < start + piece_n)) AS want").where("size(want) > 0")
     here = ", ".join(f"`{c}`" for c in at)
+    if bracketed:
+        sizes = settle(sizes)
+        lost = vc.where(F.col(value).isNull()).join(broadcast_when_small(sizes, BROADCAST_ROWS), at, "left_semi")
+        if not lost.isEmpty():
+            return None
     hit = vc.join(sizes, at).selectExpr(
         "*", f"start + sum(n) OVER (PARTITION BY {here} ORDER BY `{value}`) AS _stop")
     hit = hit.selectExpr(*keys, f"CAST(`{value}` AS DOUBLE) AS _v", "total", "_stop - n AS _first", "_stop",
@@ -201,9 +278,9 @@ def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def hash_rank(df: DataFrame, keys: list[str], hash_col: str) -> DataFrame:
     """Add ``row_rank`` (0-based) by a hex digest column inside each key.
 
-    Digests are uniform, so their first two characters are even pieces without
-    any data pass.
+    Digests are uniform, so their first three characters are 4096 even pieces
+    without any data pass.
     """
-    piece = F.conv(F.substring(hash_col, 1, 2), 16, 10).cast("int")
+    piece = F.conv(F.substring(hash_col, 1, 3), 16, 10).cast("int")
     out = running(df, keys, hash_col, {"row_rank": "1"}, piece)
     return out.withColumn("row_rank", F.col("row_rank") - 1)

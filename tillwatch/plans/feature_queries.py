@@ -13,6 +13,7 @@ from tillwatch.plans.registry import query
 from tillwatch.plans.rolling_queries import BAL, COMBINED, EXT, _in, _stats
 from tillwatch.plans.views import (
     ACC, LONG, MAT, MATRIX_FEATURES, TX, account_matrix, accounts, as_of_col, table, transactions)
+from tillwatch.session import settle
 
 # A dictionary in the documented phrase grammar; feature names are row numbers.
 _PHRASES = ["Cash", "Cheque", "UPI", "Online Transfer (IMPS+NEFT+RTGS)", "ATM",
@@ -316,7 +317,7 @@ allr AS (SELECT m.account_id, f.feature, l1.value FROM mat m
 st AS (SELECT feature, stddev_samp(value) AS sd, quantile_cont(value, 0.5) AS med FROM allr GROUP BY feature)
 SELECT account_id, feature, round(coalesce(value, med), 6) AS value FROM allr JOIN st USING (feature) WHERE sd > 0""")
 def clean_constant_median(spark, sf):
-    raw = _raw(spark, sf)
+    raw = settle(_raw(spark, sf))
     cols = MATRIX_FEATURES + ["const_one"]
     long = C.to_long(raw, cols)
     keep = set(C.varying_features(long))
@@ -341,7 +342,7 @@ _FILL = "fm AS (SELECT account_id, label, " + ", ".join(
     + (' OR '.join(f"abs(corr({p}, {c})) > 0.95" for p in MATRIX_FEATURES[:j]) or 'bool_and(false)')
     + ", false) AS pruned FROM fm" for j, c in enumerate(MATRIX_FEATURES))}""")
 def corr_prune(spark, sf):
-    raw = account_matrix(spark, sf)
+    raw = settle(account_matrix(spark, sf))
     filled = C.impute(raw, MATRIX_FEATURES, C.median_table(C.to_long(raw, MATRIX_FEATURES)))
     gone = set(C.correlated_columns(filled, MATRIX_FEATURES))
     return spark.createDataFrame([(c, c in gone) for c in MATRIX_FEATURES], "feature string, pruned boolean")
@@ -351,8 +352,9 @@ _EXPECT = ["n_orders", "sum_price", "max_price", "n_urgent", "sum_qty"]
 
 
 def _aligned(spark, sf):
-    ref = C.median_table(C.to_long(account_matrix(spark, sf), _EXPECT))
-    new = account_matrix(spark, sf).select(
+    matrix = settle(account_matrix(spark, sf))
+    ref = C.median_table(C.to_long(matrix, _EXPECT))
+    new = matrix.select(
         "account_id", "n_orders", "sum_price", F.col("max_price").cast("string").alias("max_price"),
         "n_urgent", "sum_ext")
     return C.align_schema(new, _EXPECT, ref)
