@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.functions.severity import band_score
@@ -16,6 +16,23 @@ def persist_upload(scored: DataFrame, root: str, upload_id: str) -> None:
     scored.write.mode("error").parquet(f"{root.rstrip('/')}/scored/upload_id={upload_id}")
 
 
+def record_upload(scored: DataFrame, root: str, upload_id: str, uploaded_at: Column) -> None:
+    """``persist_upload`` and one summary row in the index; an id already stored is an error.
+
+    The rows are written first, so the index never names an upload that is not there.
+    """
+    persist_upload(scored, root, upload_id)
+    stored = load_upload(scored.sparkSession, root, upload_id)
+    row = summarize_uploads(stored).drop("upload_id").withColumn("uploaded_at", uploaded_at)
+    row.write.mode("error").parquet(f"{root.rstrip('/')}/index/upload_id={upload_id}")
+
+
+def list_uploads(spark: SparkSession, root: str) -> DataFrame:
+    """The index: one row per upload."""
+    base = f"{root.rstrip('/')}/index"
+    return spark.read.option("basePath", base).parquet(base)
+
+
 def load_upload(spark: SparkSession, root: str, upload_id: str) -> DataFrame:
     """Rows of one upload; partition pruning reads no other upload's files."""
     return spark.read.option("basePath", f"{root.rstrip('/')}/scored").parquet(

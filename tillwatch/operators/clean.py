@@ -27,6 +27,12 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("account_id",)) -
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
+def extract(df: DataFrame, key: str = "account_id") -> DataFrame:
+    """The raw table without leaks, text and repeated names: the key and its numeric columns."""
+    safe = drop_leaks(df)
+    return safe.select(key, *unique_columns(numeric_columns(safe, (key,))))
+
+
 def to_long(df: DataFrame, cols: list[str], key: str = "account_id") -> DataFrame:
     """(key, feature, value double); the wide working form of thousands of columns."""
     return stack_columns(df, [key], cols)

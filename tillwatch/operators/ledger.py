@@ -155,6 +155,32 @@ def promotion_events(judged: DataFrame, actor: str) -> DataFrame:
         "model_name", "version", "auc_pr", F.lit("PROMOTE").alias("event"), F.lit(actor).alias("actor"))
 
 
+def register_events(candidates: DataFrame, actor: str) -> DataFrame:
+    """REGISTER rows; registering never makes a version the champion."""
+    return candidates.select(
+        "model_name", "version", "auc_pr", F.lit("REGISTER").alias("event"), F.lit(actor).alias("actor"))
+
+
+def rollback_events(requests: DataFrame, events: DataFrame, actor: str) -> DataFrame:
+    """ROLLBACK rows for (model_name, version) requests that name a registered version.
+
+    No regression guard applies. Requests for unknown versions give no row; find
+    them with an anti-join on the result.
+    """
+    known = events.where("event = 'REGISTER'").groupBy("model_name", "version").agg(F.max("auc_pr").alias("auc_pr"))
+    return requests.select("model_name", "version").distinct().join(known, ["model_name", "version"]).select(
+        "model_name", "version", "auc_pr", F.lit("ROLLBACK").alias("event"), F.lit(actor).alias("actor"))
+
+
+def list_versions(events: DataFrame) -> DataFrame:
+    """One row per registered version with its newest registration, and whether it is the champion."""
+    listed = latest_per_key(events.where("event = 'REGISTER'").select("model_name", "version", "event_id", "auc_pr"),
+                            ["model_name", "version"], "event_id")
+    champ = champions(events).select("model_name", "version", F.lit(True).alias("is_champion"))
+    return listed.join(champ, ["model_name", "version"], "left").na.fill({"is_champion": False}).withColumnRenamed(
+        "event_id", "registered")
+
+
 # ---- sensitive text ---------------------------------------------------------
 def encrypt_text(c: Column, key: Column) -> Column:
     """Authenticated symmetric encryption (AES-GCM), base64 text."""

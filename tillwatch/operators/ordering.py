@@ -185,8 +185,8 @@ def _pick(vc: DataFrame, keys: list[str], value: str, probs: list[float], bracke
     """
     at = [*keys, _PIECE]
     part = ", ".join(f"`{k}`" for k in keys) or "0"
-    sizes = vc.groupBy(*at).agg(F.sum("n").alias("piece_n")).selectExpr(
-        *at, "piece_n",
+    sizes = vc.groupBy(*at).agg(F.sum("n").alias("piece_n"), F.bool_or(F.col(value).isNull()).alias("dropped")).selectExpr(
+        *at, "piece_n", "dropped",
         f"coalesce(sum(piece_n) OVER (PARTITION BY {part} ORDER BY {_PIECE} "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start",
         f"sum(piece_n) OVER (PARTITION BY {part}) AS total")
@@ -199,16 +199,13 @@ def _pick(vc: DataFrame, keys: list[str], value: str, probs: list[float], bracke
     wanted = (f"transform({snapped}, (r, i) -> named_struct('i', i, 'lo', floor(r), 'hi', ceil(r), "
               "'frac', r - floor(r)))")
     sizes = sizes.selectExpr(
-        *at, "start", "total",
+        *at, "start", "total", "dropped",
         f"filter({wanted}, w -> (w.lo >= start AND w.lo < start + piece_n) "
         "OR (w.hi >= start AND w.hi < start + piece_n)) AS want").where("size(want) > 0")
     here = ", ".join(f"`{c}`" for c in at)
-    if bracketed:
-        sizes = settle(sizes)
-        lost = vc.where(F.col(value).isNull()).join(broadcast_when_small(sizes, BROADCAST_ROWS), at, "left_semi")
-        if not lost.isEmpty():
-            return None
-    hit = vc.join(sizes, at).selectExpr(
+    if bracketed and not sizes.where("dropped").isEmpty():
+        return None
+    hit = vc.join(sizes.drop("dropped"), at).selectExpr(
         "*", f"start + sum(n) OVER (PARTITION BY {here} ORDER BY `{value}`) AS _stop")
     hit = hit.selectExpr(*keys, f"CAST(`{value}` AS DOUBLE) AS _v", "total", "_stop - n AS _first", "_stop",
                          "explode(want) AS w")

@@ -1,5 +1,7 @@
 """Registered queries: ledgers, guards, registry and account joins."""
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from tillwatch.operators import joins as J
@@ -170,7 +172,8 @@ def promote_guard(spark, sf):
 
 @query("encrypt_roundtrip", "SELECT c_custkey AS account_id, c_name AS plain, true AS hidden, true AS wrong_key_fails FROM customer")
 def encrypt_roundtrip(spark, sf):
-    key, wrong = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
+    # Keys made for this run, so that no plan or event log shows one in use.
+    key, wrong = (F.lit(secrets.token_hex(16)) for _ in range(2))
     c = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("account_id"), "c_name", L.encrypt_text(F.col("c_name"), key).alias("x"))
     return c.select("account_id", L.decrypt_text(F.col("x"), key).alias("plain"),

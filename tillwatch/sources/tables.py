@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,12 +64,27 @@ def append_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str,
         .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
 
 
-def insert_predictions(new: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Rows to append: one per (account, model version), none that is already stored."""
-    fresh = new.dropDuplicates(["account_id", "model_version"])
+def insert_once(new: DataFrame, existing: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Rows to append: one per key, none whose key is already stored."""
+    fresh = new.dropDuplicates(keys)
     if existing is None:
         return fresh
-    return fresh.join(existing.select("account_id", "model_version"), ["account_id", "model_version"], "left_anti")
+    return fresh.join(existing.select(*keys), keys, "left_anti")
+
+
+def insert_predictions(new: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """Predictions are unique per (account, model version)."""
+    return insert_once(new, existing, ["account_id", "model_version"])
+
+
+def alert_rows(scored: DataFrame) -> DataFrame:
+    """(account_id, mule_score, severity) of every account that has an alert band."""
+    return scored.select("account_id", "mule_score", "severity").where("severity <> 'NONE'")
+
+
+def metric_rows(quality: DataFrame, model_version: str, drift_status: Column) -> DataFrame:
+    """Run metrics in stored form."""
+    return quality.select("auc_pr", "auc_roc", drift_status.alias("drift_status"), F.lit(model_version).alias("model_version"))
 
 
 def online_features(spark: SparkSession, path: str) -> DataFrame:
