@@ -196,3 +196,8 @@ def test_bundle_survives_a_round_trip(spark, sf, tmp_path):
     assert stored.count() == len(before)
 
 
+def test_vector_label_is_learnable(spark, sf):
+    """The label the model queries use can be learnt; a scorer at chance level fails here."""
+    from tillwatch.plans.model_queries import VECTOR_COLS, vector_matrix
+    matrix = settle(vector_matrix(spark, sf))
+    assert auc(L.out_of_fold(matrix, L.prototype_learner(VECTOR_COLS, 12), 2)) > 0.7

@@ -1,4 +1,4 @@
-"""Every query with SQL equals DuckDB on the smallest data."""
+"""Every query with SQL equals DuckDB on the smallest data; queries without SQL are not run here."""
 
 import glob
 import os

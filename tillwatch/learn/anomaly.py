@@ -41,7 +41,9 @@ def subsamples(df: DataFrame, trees: int, size: int, key: str = "account_id", se
     # At most a few times ``size`` rows share a tree here.
     picked = offer.groupBy("tree").agg(F.slice(F.sort_array(F.collect_list(
         F.struct(draw(F.col("tree")).alias("h"), F.col(key).alias("k")))), 1, want).alias("s"))
-    return picked.select("tree", F.explode("s").alias("s")).select("tree", F.col("s.k").alias(key)).join(df, key)
+    # trees x size rows by construction: broadcast, so the wide table stays where it is.
+    chosen = picked.select("tree", F.explode("s").alias("s")).select("tree", F.col("s.k").alias(key))
+    return df.join(F.broadcast(chosen), key)
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict:

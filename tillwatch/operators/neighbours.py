@@ -40,11 +40,18 @@ def prototype_score(df: DataFrame, positive: list[list[float]], negative: list[l
         "proto", F.col("_dn") / (F.col("_dp") + F.col("_dn") + F.lit(1e-9))).drop("_dp", "_dn")
 
 
+#: Differences held at once by ``_distances`` (8 bytes each), whatever the number of columns.
+_CELLS = 2_000_000
+_REFS = 512
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise Euclidean distances, in slices so that memory stays small."""
+    """Row-wise Euclidean distances, by slices of both sides that hold ``_CELLS`` differences (one row at least)."""
     out = np.empty((len(a), len(b)))
-    for s in range(0, len(a), 256):
-        out[s:s + 256] = np.sqrt(((a[s:s + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, _CELLS // max(1, min(len(b), _REFS) * a.shape[1])) if len(a) else 1
+    for s in range(0, len(a), step):
+        for t in range(0, len(b), _REFS):
+            out[s:s + step, t:t + _REFS] = np.sqrt(((a[s:s + step, None, :] - b[None, t:t + _REFS, :]) ** 2).sum(axis=2))
     return out
 
 
