@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of three or more lines are cut out; documents left without a line go."""
+    """Later repeats of three lines or 50 words in a row are cut out; documents left without a line go."""
     return line_dedup.clean(docs)
 
 

@@ -296,11 +296,16 @@ def brute_lines(rows):
         lines = r[1].split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
         gone = set()
-        for p in range(len(at) - 2):
-            w = tuple(lines[i] for i in at[p:p + 3])
-            if w in seen:
-                gone.update(at[p:p + 3])
-            seen.setdefault(w, True)
+        n = [len(re.findall("[^\t-\r ]+", lines[i])) for i in at]
+        for p in range(len(at)):
+            for size in (1, 2, 3):
+                part = n[p:p + size]
+                if len(part) < size or size < 3 and (sum(part) < 50 or size == 2 and max(part) >= 50):
+                    continue
+                w = tuple(lines[i] for i in at[p:p + size])
+                if w in seen:
+                    gone.update(at[p:p + size])
+                seen.setdefault(w, True)
         out[r[0], r[1]] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
@@ -308,7 +313,10 @@ def brute_lines(rows):
 def test_line_runs_against_brute_force(spark, empty):
     rng = random.Random(8)
     lines = [f"line {i}" for i in range(12)] + ["", " \t"]
+    lines += [f"{i} " + sep.join("w" * 49) for i, sep in enumerate([" ", " \t ", "   "])]  # 50 words each
+    lines += [f"{i} " + " ".join("v" * k) for i, k in enumerate([24, 24, 25, 48])]
     texts = ["\n".join(rng.choices(lines, k=rng.randint(0, 25))) for _ in range(60)] + [None, "", "line 1", "\n" * 9]
+    texts += [lines[14], lines[14], lines[17] + "\n\n" + lines[18], lines[17] + "\n" + lines[18]]
     docs = frame(spark, texts, ids=[None, None, *range(len(texts) - 4), 3, 3])
     rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS th").collect()
     brute = brute_lines(rows)
@@ -326,6 +334,15 @@ def test_line_runs_against_brute_force(spark, empty):
     assert line_dedup.report(empty).count() == 0
 
 
+def test_long_paragraphs_repeat_by_themselves(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), " ".join(f"s{i}" for i in range(49))
+    docs = frame(spark, [f"a\n{long}\nb", f"c\n{long}\nd", f"e\n{short}\nf", f"g\n{short}\nh"])
+    got = {r.doc_id: r.text for r in line_dedup.clean(docs).collect()}
+    first, second, third, fourth = (got[i] for i in sorted(got))
+    assert (first, second) == (f"a\n{long}\nb", "c\nd")
+    assert (third, fourth) == (f"e\n{short}\nf", f"g\n{short}\nh")
+
+
 def test_line_dedup_has_no_python(docs):
     plan = line_dedup.report(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

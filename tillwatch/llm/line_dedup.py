@@ -1,19 +1,22 @@
 """Line deduplication by winnowing, in DataFrame and SQL functions only.
 
 A document is the sequence of its lines that are not blank. A line goes if it
-lies in a run of ``RUN`` or more lines that already occurred earlier, where
-earlier means a smaller (doc_id, text hash, line number).
-
-1. Fingerprints: the hash of every ``GRAM`` lines; of each window of
-   RUN - GRAM + 1 of them the smallest is selected. The choice depends on the
-   window alone, so two equal runs select the same fingerprint: none is missed.
+lies in a window that already occurred earlier, where earlier means a smaller
+(doc_id, text hash, line number). A window is ``RUN`` consecutive lines, or fewer
+lines that hold ``WORDS`` words together and contain no smaller such window: a
+long paragraph that many documents share is a repeat by itself.
+
+1. Fingerprints: the hash of every ``GRAM`` lines; of those inside a window the
+   smallest is selected (a window of fewer lines is its own gram). The choice
+   depends on the window alone, so two equal runs select the same fingerprint:
+   none is missed.
 2. Fingerprints that occur at one position only are dropped (counted, combined
    before the shuffle); the others' positions are joined.
-3. Each joined position is extended both ways: all windows of RUN lines around
-   it are compared with the first occurrence of the same window. The union of
-   windows that occurred before is every repeated run in full length. Positions
-   meet the first one only, never each other, so a passage that many documents
-   share costs one row per occurrence.
+3. Each joined position is extended both ways: all windows around it are
+   compared with the first occurrence of the same window. The union of windows
+   that occurred before is every repeated run in full length. Positions meet the
+   first one only, never each other, so a passage that many documents share
+   costs one row per occurrence.
 """
 
 from __future__ import annotations
@@ -25,32 +28,49 @@ from tillwatch.session import settle
 
 RUN = 3
 GRAM = 2
+WORDS = 50
 _BLANK = "trim(translate(x, '\\t\\r', '  ')) = ''"
+_WORD = "[^\\\\x09-\\\\x0D\\\\x20]+"
+
+
+def _words(first: int, lines: int) -> str:
+    """SQL over ``l`` and ``p``: words of some lines of a window that starts at line p (1-based)."""
+    return " + ".join(f"l[p + {first + i - 1}].n" for i in range(lines))
 
 
-def windows(run: int = RUN, gram: int = GRAM) -> str:
-    """SQL over ``l``, the lines as (i, h, k): one struct per window of ``run`` lines.
+def windows(run: int = RUN, gram: int = GRAM, words: int = WORDS) -> str:
+    """SQL over ``l``, the lines as (i, h, k, n): one struct per window.
 
     ``p`` is the window's first line, ``mark`` its fingerprint, the smallest gram
     hash, ``m`` where that gram begins, ``w1`` and ``w2`` hashes of the whole
     window and ``numbers`` its line numbers.
     """
-    width = run - gram + 1
-    grams = ", ".join(f"xxhash64(slice(l.h, p + {j}, {gram}))" for j in range(width))
-    return (f"transform(sequence(1, size(l) - {run - 1}), p -> transform(array(array({grams})), g -> named_struct("
+    kinds = []
+    for r in range(1, run + 1):
+        k = min(gram, r)
+        grams = ", ".join(f"xxhash64(slice(l.h, p + {j}, {k}))" for j in range(r - k + 1))
+        starts = f"sequence(1, size(l) - {r - 1})"
+        if r < run:
+            least = f"{_words(0, r)} >= {words}"
+            if r > 1:
+                least += f" AND {_words(0, r - 1)} < {words} AND {_words(1, r - 1)} < {words}"
+            starts = f"filter({starts}, p -> {least})"
+        kinds.append(
+            f"IF(size(l) < {r}, array(), transform({starts}, p -> transform(array(array({grams})), g -> named_struct("
             f"'p', p, 'mark', array_min(g), 'm', p + array_position(g, array_min(g)), "
-            f"'w1', xxhash64(slice(l.h, p, {run})), 'w2', xxhash64(slice(l.k, p, {run})), "
-            f"'numbers', transform(slice(l, p, {run}), x -> x.i)))[0])")
+            f"'w1', xxhash64(slice(l.h, p, {r})), 'w2', xxhash64(slice(l.k, p, {r})), "
+            f"'numbers', transform(slice(l, p, {r}), x -> x.i)))[0]))")
+    return f"concat({', '.join(kinds)})"
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, gone): numbers (0-based) of the lines to delete, per document with any."""
     # Two hashes of a line: windows agree only if both do.
     lines = docs.where("text IS NOT NULL").selectExpr(
         "doc_id", "xxhash64(text) AS text_hash",
         "filter(transform(split(text, '\n', -1), (x, i) -> named_struct('i', i, 'h', xxhash64(x), 'k', xxhash64(x, 1), "
-        f"'blank', {_BLANK})), x -> NOT x.blank) AS l").where(f"size(l) >= {run}")
-    marks = settle(lines.selectExpr("doc_id", "text_hash", f"inline({windows(run, gram)})"))
+        f"'n', regexp_count(x, '{_WORD}'), 'blank', {_BLANK})), x -> NOT x.blank) AS l")
+    marks = settle(lines.selectExpr("doc_id", "text_hash", f"inline({windows(run, gram, words)})"))
     place = "named_struct('d', doc_id, 't', text_hash, 'p', {})"
     shared = marks.groupBy("mark").agg(F.expr(f"min({place.format('m')})").alias("a"),
                                        F.expr(f"max({place.format('m')})").alias("b")).where("a <> b")
@@ -62,14 +82,14 @@ def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
         F.sort_array(F.collect_set("i")).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int = WORDS) -> DataFrame:
     """``docs`` and the columns ``_lines``, ``_gone`` (counts) and ``_kept`` (the text that stays).
 
     Null texts stay null with no lines; an empty text is one blank line. Rows
     with the same doc_id and text count as one document and lose the same lines;
     null ids come before all others. Blank lines are neither compared nor deleted.
     """
-    gone = repeated_lines(docs, run, gram).selectExpr("doc_id AS _d", "text_hash AS _t", "gone AS _g")
+    gone = repeated_lines(docs, run, gram, words).selectExpr("doc_id AS _d", "text_hash AS _t", "gone AS _g")
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"),
                        F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
     met = rows.join(gone, rows["_doc"].eqNullSafe(gone["_d"]) & (rows["_hash"] == gone["_t"]), "left")

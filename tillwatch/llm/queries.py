@@ -53,7 +53,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that lie in a run of three or more that occurred before."""
+    """Lines of every document in a run of three lines, or of 50 words, that occurred before."""
     return line_dedup.report(documents(spark, sf_dir))
 
 
@@ -87,15 +87,20 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents),
 s AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l
-  WHERE trim(translate(x, chr(9) || chr(13), '  ')) <> ''),
-w AS (
-  SELECT doc_id, p, x || chr(10) || lead(x, 1) OVER d || chr(10) || lead(x, 2) OVER d AS t FROM s
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
+    len(regexp_extract_all(x, '[^\x09-\x0D\x20]+')) AS n
+  FROM l WHERE trim(translate(x, chr(9) || chr(13), '  ')) <> ''),
+t AS (
+  SELECT doc_id, p, n, lead(n) OVER d AS n2, x, lead(x, 1) OVER d AS x2, lead(x, 2) OVER d AS x3 FROM s
   WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+w AS (
+  SELECT doc_id, p, 3 AS k, x || chr(10) || x2 || chr(10) || x3 AS t FROM t WHERE x3 IS NOT NULL
+  UNION ALL SELECT doc_id, p, 2, x || chr(10) || x2 FROM t WHERE n < 50 AND n2 < 50 AND n + n2 >= 50
+  UNION ALL SELECT doc_id, p, 1, x FROM t WHERE n >= 50),
 r AS (
-  SELECT doc_id, p, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS nth FROM w WHERE t IS NOT NULL),
+  SELECT doc_id, p, k, row_number() OVER (PARTITION BY k, t ORDER BY doc_id, p) AS nth FROM w),
 gone AS (
-  SELECT DISTINCT s.doc_id, s.i FROM s JOIN r ON s.doc_id = r.doc_id AND s.p BETWEEN r.p AND r.p + 2 AND r.nth > 1)
+  SELECT DISTINCT s.doc_id, s.i FROM s JOIN r ON s.doc_id = r.doc_id AND s.p BETWEEN r.p AND r.p + r.k - 1 AND r.nth > 1)
 SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
   sha256(coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id""",
