@@ -72,11 +72,15 @@ def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int
         f"'n', regexp_count(x, '{_WORD}'), 'blank', {_BLANK})), x -> NOT x.blank) AS l")
     marks = settle(lines.selectExpr("doc_id", "text_hash", f"inline({windows(run, gram, words)})"))
     place = "named_struct('d', doc_id, 't', text_hash, 'p', {})"
-    shared = marks.groupBy("mark").agg(F.expr(f"min({place.format('m')})").alias("a"),
-                                       F.expr(f"max({place.format('m')})").alias("b")).where("a <> b")
-    joined = marks.join(shared.select("mark"), "mark")
-    first = joined.groupBy("w1", "w2").agg(F.expr(f"min({place.format('p')})").alias("first"),
-                                           F.expr(f"max({place.format('p')})").alias("last")).where("first <> last")
+    # Both small sides are written before they are joined: beside a plain table Spark
+    # can split the other side's hot key, beside an aggregate it can not.
+    shared = settle(marks.groupBy("mark").agg(
+        F.expr(f"min({place.format('m')})").alias("a"), F.expr(f"max({place.format('m')})").alias("b")).where(
+        "a <> b").select("mark"))
+    joined = settle(marks.join(shared, "mark").drop("mark", "m"))
+    first = settle(joined.groupBy("w1", "w2").agg(
+        F.expr(f"min({place.format('p')})").alias("first"), F.expr(f"max({place.format('p')})").alias("last")).where(
+        "first <> last").drop("last"))
     later = joined.join(first, ["w1", "w2"]).where(f"{place.format('p')} <> first")
     return later.select("doc_id", "text_hash", F.explode("numbers").alias("i")).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set("i")).alias("gone"))
