@@ -274,6 +274,32 @@ def test_similar_paragraphs_link_in_blocks(spark):
             assert roots.select("root").distinct().count() == 1 and roots.count() == 30
 
 
+def test_near_copies_inside_running_text_link(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(400)]
+    edited = passage.copy()
+    for at in range(11, 400, 23):  # no 24 words in a row are left
+        edited[at] = word()
+    run = lambda w: " ".join([word() for _ in range(30)] + w + [word() for _ in range(30)])
+    wrapped = "\n".join(" ".join(edited[k:k + 10]) for k in range(0, 400, 10))
+    for other in (run(edited), wrapped):
+        got = substring_dedup.repeats(frame(spark, [run(passage), other])).collect()
+        assert {r.doc_id for r in got} == {0, 1}
+        assert all(r.removable == (r.doc_id == 1) for r in got)
+
+
+def test_overlapping_cuts_of_one_text_do_not_link(spark):
+    rng = random.Random(17)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(3000))
+    with substring_dedup.Scratch(spark) as scratch:
+        for texts in ([text], [text, text]):
+            docs = frame(spark, texts)
+            found = scratch.settle(substring_dedup.units(docs))
+            assert found.count() > 100 and substring_dedup.links(docs, found, scratch).count() == 0
+    assert not any(r.removable for r in substring_dedup.repeats(frame(spark, [text, text])).collect() if r.doc_id == 0)
+
+
 # --- lines and benchmark -----------------------------------------------------------
 
 def test_queries_match_their_sql(spark, sf):

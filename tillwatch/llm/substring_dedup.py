@@ -2,19 +2,23 @@
 
 Two kinds of paragraph, both of ``LENGTH`` words or more:
 
-    line   a line of the text. Lines are compared by MinHash banding and exact
-           Jaccard similarity of five-word shingles, ``SIMILAR`` or more.
+    line   a line of the text.
     cut    ``LENGTH`` words inside running text, cut where the content says so: of
            every ``REACH`` consecutive three-word hashes the smallest starts one.
            The cut depends on the words alone, so a passage of REACH + LENGTH - 1
            (50) or more words holds at least one whole cut, the same in every
-           document, wherever it stands. Cuts match if their shingles are equal.
+           document, wherever it stands.
 
-1. One pass gives every paragraph a content hash of its shingles, and lines
-   ``BANDS`` band keys of ``ROWS`` MinHashes each: at similarity 0.8 a pair meets
-   with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.983, equal paragraphs always.
-2. Equal paragraphs collapse by content hash, combined before the shuffle. Bands
-   that hold two different contents give candidates.
+Paragraphs of both kinds are compared with each other by MinHash banding and exact
+Jaccard similarity of five-word shingles, ``SIMILAR`` or more.
+
+1. One pass gives every paragraph a content hash of its shingles and ``BANDS`` band
+   keys of ``ROWS`` MinHashes each: at similarity 0.8 a pair meets with probability
+   1 - (1 - 0.8^ROWS)^BANDS = 0.983, equal paragraphs always.
+2. Equal paragraphs collapse by content hash into their first place. Band keys move
+   in packed arrays. A band gives candidates if two of its contents have first
+   places that do not overlap: overlapping cuts of one text are alike by nature, no
+   repeats, and would fill the bands. They are not compared in other bands either.
 3. Candidates' shingles are collected by a second pass that a bit map of fixed
    size thins out. Inside a band the exact Jaccard similarity decides. Contents
    already linked are not compared again, and a band of many shingles is cut into
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import WordHash, components, compress, grams, mix, steps, unite, window_minima
+from tillwatch.llm.common import WordHash, components, compress, even_parts, grams, mix, steps, unite, window_minima
 from tillwatch.session import Scratch, broadcast_when_small, settle
 
 LENGTH = 24
@@ -40,6 +44,10 @@ SHINGLE = 5
 ROWS, BANDS = 2, 4
 SIMILAR = 0.8
 MAP_BITS = 24
+#: Paragraphs whose keys are packed together, and bytes of paragraphs per partition that meets them.
+PACK_ROWS = 100_000
+EXCHANGE_BYTES = 16 << 20
+PACKED = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("words", "<u2")])
 #: Shingles of a band that one task compares with each other.
 BLOCK = 200_000
 _HASH = WordHash(seed=11)
@@ -49,15 +57,14 @@ _SEEDS = np.array([mix(np.array([i + 1], np.uint64))[0] for i in range(ROWS * BA
 class Paragraphs:
     """Paragraphs of one text: first words, word counts and contents of lines, then of cuts."""
 
-    def __init__(self, text: str | None, cut: bool = True):
+    def __init__(self, text: str | None):
         parts = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
         words = _HASH.of([w for p in parts for w in p])
         self.shingles = grams(words, SHINGLE)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         starts = np.cumsum(sizes) - sizes
         long = sizes >= LENGTH
-        cuts = window_minima(grams(words, 3)[:max(len(words) - LENGTH + 1, 0)], REACH) if cut else np.zeros(0, np.int64)
-        self.n_lines = int(long.sum())
+        cuts = window_minima(grams(words, 3)[:max(len(words) - LENGTH + 1, 0)], REACH)
         self.start = np.concatenate([starts[long], cuts]).astype(np.int64)
         self.words = np.concatenate([sizes[long], np.full(len(cuts), LENGTH)]).astype(np.int64)
         sums = np.zeros(len(self.shingles) + 1, np.uint64)
@@ -65,28 +72,31 @@ class Paragraphs:
         with np.errstate(over="ignore"):
             self.content = mix(sums[self.start + self.words - SHINGLE + 1] - sums[self.start] + self.words.astype(np.uint64))
 
-    def bands(self) -> np.ndarray:
-        """Band keys of the lines, lines x BANDS."""
-        start, stop = self.start[:self.n_lines], (self.start + self.words)[:self.n_lines] - SHINGLE + 1
-        spans = np.stack([start, stop], 1).ravel()
-        padded = np.append(self.shingles, np.uint64(0))
-        out = np.zeros((self.n_lines, BANDS), np.uint64)
-        with np.errstate(over="ignore"):
-            for j, seed in enumerate(_SEEDS):
-                # Odd multiples of the hashes, folded once: a cheap family of permutations.
-                h = (padded ^ seed) * (seed | np.uint64(1))
-                h ^= h >> np.uint64(31)
-                out[:, j // ROWS] = out[:, j // ROWS] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, spans)[::2]
-            return mix(out ^ np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def bands(texts: list[Paragraphs]) -> np.ndarray:
+    """Band keys of all paragraphs of some texts, paragraphs x BANDS."""
+    sizes = [len(t.shingles) for t in texts]
+    spans = np.concatenate([np.stack([t.start, t.start + t.words - SHINGLE + 1], 1).ravel() + at
+                            for t, at in zip(texts, np.cumsum([0, *sizes[:-1]]))])
+    padded = np.concatenate([*(t.shingles for t in texts), np.zeros(1, np.uint64)])
+    out = np.zeros((len(spans) // 2, BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for j, seed in enumerate(_SEEDS):
+            # Odd multiples of the hashes, folded once: a cheap family of permutations.
+            h = (padded ^ seed) * (seed | np.uint64(1))
+            h ^= h >> np.uint64(31)
+            out[:, j // ROWS] = out[:, j // ROWS] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, spans)[::2]
+        return mix(out ^ np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, words, content, keys): every paragraph of every text; cuts have no keys."""
+    """(doc_id, start, words, content, keys): every paragraph of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in steps(batches):
-            take, starts, words, contents, keys, counts = [], [], [], [], [np.zeros((0, BANDS), np.uint64)], []
+            take, starts, words, contents, texts = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = Paragraphs(text)
                 if not len(found.start):
@@ -95,35 +105,135 @@ def units(docs: DataFrame) -> DataFrame:
                 starts.append(found.start)
                 words.append(found.words)
                 contents.append(found.content)
-                counts += [np.full(found.n_lines, BANDS), np.zeros(len(found.start) - found.n_lines, np.int64)]
-                if found.n_lines:
-                    keys.append(found.bands())
+                texts.append(found)
             if not take:
                 continue
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            keys = bands(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(np.concatenate(take))), pa.array(np.concatenate(starts).astype(np.int32)),
                  pa.array(np.concatenate(words).astype(np.int32)), pa.array(np.concatenate(contents).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                          pa.array(np.concatenate(keys).ravel().view(np.int64)))],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()),
+                                          pa.array(keys.ravel().view(np.int64)))],
                 ["doc_id", "start", "words", "content", "keys"])
 
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
         run, f"doc_id {kind}, start int, words int, content bigint, keys array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, let_through) -> DataFrame:
-    """(content, shingles) of the lines a bit map of content hashes lets through."""
+def joined(batches, least: int):
+    """The batches put together to ``least`` rows or more each (fewer at the end)."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def first_places(rows: np.ndarray) -> np.ndarray:
+    """The first of the rows of each key and content, ordered by both."""
+    rows = rows[np.lexsort((rows["start"], rows["doc"], rows["content"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["content"][1:] != rows["content"][:-1])
+    return rows[new]
+
+
+def apart(rows: np.ndarray) -> np.ndarray:
+    """Those of :func:`first_places` in whose band two places do not overlap."""
+    if not len(rows):
+        return rows
+    begin = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+    stop = rows["start"].astype(np.int64) + rows["words"]
+    least, most = np.minimum.reduceat, np.maximum.reduceat
+    ok = (least(rows["doc"], begin) != most(rows["doc"], begin)) | (
+        most(rows["start"], begin) >= least(stop, begin))
+    return rows[np.repeat(ok, np.diff(np.append(begin, len(rows))))]
+
+
+def members(found: DataFrame) -> DataFrame:
+    """(key, content, doc, start, words): contents of the bands with candidates, by first place.
+
+    ``doc`` is a hash of the id. One packed array per batch and target moves, 26
+    bytes for a key of a paragraph.
+    """
+    parts = even_parts(found, EXCHANGE_BYTES)
+    targets = 4 * parts
+
+    def pack(batches):
+        for batch in joined(batches, PACK_ROWS):
+            doc, start, words, content = (batch.column(i).to_numpy() for i in range(4))
+            rows = np.zeros((len(doc), BANDS), PACKED)
+            rows["key"] = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, BANDS)
+            rows["content"], rows["doc"] = content.view(np.uint64)[:, None], doc.view(np.uint32)[:, None]
+            # A line longer than the bound is like no cut, so its overlaps do not matter.
+            rows["start"], rows["words"] = start[:, None], np.minimum(words, 65_535)[:, None]
+            rows = first_places(rows.ravel())
+            target = (rows["key"] % np.uint64(targets)).astype(np.int32)
+            order = np.argsort(target, kind="stable")
+            rows, target = rows[order], target[order]
+            names, at = np.unique(target, return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())],
+                ["target", "rows"])
+
+    def meet(batches):
+        def out(parts):
+            rows = apart(first_places(np.frombuffer(b"".join(parts), PACKED)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows["key"].view(np.int64)), pa.array(rows["content"].view(np.int64)),
+                 pa.array(rows["doc"].view(np.int32)), pa.array(rows["start"].astype(np.int32)),
+                 pa.array(rows["words"].astype(np.int32))], ["key", "content", "doc", "start", "words"])
+
+        held, at = [], None
+        for batch in batches:
+            for target, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if target != at and held:
+                    yield out(held)
+                    held = []
+                at = target
+                held.append(part)
+        if held:
+            yield out(held)
+
+    packed = found.selectExpr("hash(doc_id) AS doc", "start", "words", "content", "keys").mapInArrow(
+        pack, "target int, rows binary")
+    return packed.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(
+        meet, "key bigint, content bigint, doc int, start int, words int")
+
+
+def bit_map(numbers: DataFrame) -> np.ndarray:
+    """``MAP_BITS`` low bits of the numbers (one column), as a bit map."""
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    low = numbers.toDF("x").selectExpr(f"x & {(1 << MAP_BITS) - 1} AS bit").distinct()
+    for r in low.toLocalIterator():  # at most 2 ** MAP_BITS rows
+        bits[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
+    return bits
+
+
+def let_in(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    low = numbers & np.uint64((1 << MAP_BITS) - 1)
+    return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
+
+
+def shingle_sets(docs: DataFrame, let_through, sources) -> DataFrame:
+    """(content, shingles) of the paragraphs a bit map of content hashes lets through.
+
+    Only texts whose id a second bit map lets through are read: the first places
+    of the contents.
+    """
     def run(batches):
         for batch in steps(batches):
             bits = let_through.value
+            wanted = let_in(sources.value, batch.column(0).to_numpy().view(np.uint32).astype(np.uint64)) == 1
+            batch = batch.filter(pa.array(wanted))
             got: dict[int, np.ndarray] = {}
-            for text in batch.column(0).to_pylist():
-                found = Paragraphs(text, cut=False)
-                names = found.content[:found.n_lines]
-                low = names & np.uint64((1 << MAP_BITS) - 1)
-                ok = (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1
-                for i in np.flatnonzero(ok).tolist():
+            for text in batch.column(1).to_pylist():
+                found = Paragraphs(text)
+                names = found.content
+                for i in np.flatnonzero(let_in(bits, names)).tolist():
                     c = int(names[i].view(np.int64))
                     if c not in got:
                         p = found.start[i]
@@ -134,15 +244,16 @@ def shingle_sets(docs: DataFrame, let_through) -> DataFrame:
                 [pa.array(list(got), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["content", "shingles"])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").selectExpr("hash(doc_id) AS doc", "text").mapInArrow(
         run, "content bigint, shingles array<bigint>")
 
 
-def similar(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+def similar(sets: list[np.ndarray], least: float = SIMILAR, places: np.ndarray | None = None) -> np.ndarray:
     """For each content the index of the smallest one it is linked to, by exact Jaccard.
 
     One content after another is compared with all others not yet linked to it,
-    through one flat array of shingles.
+    through one flat array of shingles. Contents whose ``places`` (doc, start,
+    stop) overlap are not linked to each other.
     """
     root = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
@@ -152,14 +263,18 @@ def similar(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
         if (root == root[i]).all():
             break
         both = np.add.reduceat(np.isin(flat, sets[i]), starts)
-        near = np.flatnonzero((both >= least * (sizes + sizes[i] - both)) & (root != root[i]))
+        ok = (both >= least * (sizes + sizes[i] - both)) & (root != root[i])
+        if places is not None:
+            doc, start, stop = places.T
+            ok &= (doc != doc[i]) | (start >= stop[i]) | (stop <= start[i])
+        near = np.flatnonzero(ok)
         if len(near):
             root = compress(unite(root, np.full(len(near), i), near))
     return root
 
 
 def _verify(batches):
-    """Spanning links of rows (key, block, content, shingles), sorted by key, block and content."""
+    """Spanning links of rows (key, block, content, shingles, doc, start, words), sorted by the first three."""
     held, key = [], None
 
     def out(rows):
@@ -167,7 +282,7 @@ def _verify(batches):
         names, first = np.unique(names, return_index=True)
         if len(names) < 2:
             return None
-        root = similar([rows[i][1] for i in first.tolist()])
+        root = similar([rows[i][1] for i in first.tolist()], places=np.array([rows[i][2] for i in first.tolist()]))
         own = np.flatnonzero(root != np.arange(len(names)))
         return names[own], names[root[own]]
 
@@ -179,12 +294,13 @@ def _verify(batches):
         found = []
         lists = batch.column(3)
         flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
-        for n, (k, block, name) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+        for n, (k, block, name, doc, start, words) in enumerate(
+                zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6)))):
             if (k, block) != key:
                 if len(held) > 1 and (made := out(held)):
                     found.append(made)
                 held, key = [], (k, block)
-            held.append((name, flat[offsets[n]:offsets[n + 1]].copy()))
+            held.append((name, flat[offsets[n]:offsets[n + 1]].copy(), (doc, start, start + words)))
         if found:
             yield flush(found)
     if len(held) > 1 and (made := out(held)):
@@ -192,27 +308,23 @@ def _verify(batches):
 
 
 def links(docs: DataFrame, found: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between different lines of similarity ``SIMILAR`` or more."""
-    spark = docs.sparkSession
-    rows = found.where("size(keys) > 0").select("content", "words", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b")
-    members = scratch.settle(rows.join(shared.select("key"), "key").groupBy("key", "content").agg(
-        F.max("words").alias("words")))
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    wanted = members.selectExpr(f"content & {(1 << MAP_BITS) - 1} AS bit").distinct()
-    for r in wanted.toLocalIterator():  # at most 2 ** MAP_BITS rows
-        bits[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
-    sets = shingle_sets(docs, spark.sparkContext.broadcast(bits)).groupBy("content").agg(
-        F.first("shingles").alias("shingles"))
-    counted = members.groupBy("key").agg(F.sum("words").alias("n"))
+    """(a, b): links between different paragraphs of similarity ``SIMILAR`` or more."""
+    share = docs.sparkSession.sparkContext.broadcast
+    met = scratch.settle(members(found))
+    sets = shingle_sets(docs, share(bit_map(met.select("content"))), share(bit_map(met.select("doc")))).groupBy(
+        "content").agg(F.first("shingles").alias("shingles"))
+    counted = met.groupBy("key").agg(F.sum("words").alias("n"))
     large = counted.where(F.col("n") > block).selectExpr("key", f"CAST(ceil(n / {block}) AS INT) AS cut")
-    dealt = members.join(broadcast_when_small(scratch.settle(large), 100_000), "key", "left").selectExpr(
-        "key", "content", "CAST(pmod(xxhash64(content), coalesce(cut, 1)) AS INT) AS own", "coalesce(cut, 1) AS cut")
+    dealt = met.join(broadcast_when_small(scratch.settle(large), 100_000), "key", "left").selectExpr(
+        "key", "content", "doc", "start", "words", "CAST(pmod(xxhash64(content), coalesce(cut, 1)) AS INT) AS own",
+        "coalesce(cut, 1) AS cut")
     # Every pair of blocks of a large band is a group of its own.
     dealt = dealt.selectExpr(
-        "key", "content", "explode(transform(sequence(0, cut - 1), i -> least(i, own) * cut + greatest(i, own))) AS block")
-    return (dealt.join(sets, "content").select("key", "block", "content", "shingles").repartition("key", "block")
-            .sortWithinPartitions("key", "block", "content").mapInArrow(_verify, "a bigint, b bigint"))
+        "key", "content", "doc", "start", "words",
+        "explode(transform(sequence(0, cut - 1), i -> least(i, own) * cut + greatest(i, own))) AS block")
+    return (dealt.join(sets, "content").select("key", "block", "content", "shingles", "doc", "start", "words")
+            .repartition("key", "block").sortWithinPartitions("key", "block", "content")
+            .mapInArrow(_verify, "a bigint, b bigint"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -220,7 +332,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     One row per paragraph whose class occurs in two documents or more.
     ``first_doc_id`` is the smallest doc_id of the class, ``removable`` is false
-    for the first place of the class only. Rows with a null text or id hold no
+    for the first place of the class, and for places of its document that overlap it
+    in a row, as they are mostly the same words. Rows with a null text or id hold no
     paragraph; repeated rows (same id and text) are one document; texts under
     ``LENGTH`` words have no paragraph; other columns are not read.
     """
@@ -238,7 +351,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             lows.groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi"))
         of_content = lows.select("content", "class").join(classes.select("class", "lo"), "class")
         flagged = scratch.settle(named.join(of_content, "content").dropDuplicates(["doc_id", "start", "class"]))
-        first = scratch.settle(flagged.where("doc_id = lo").groupBy("class").agg(F.min("start").alias("at")))
+        # Word after the first run of overlapping places; the list is bounded by one document.
+        first = scratch.settle(flagged.where("doc_id = lo").groupBy("class").agg(
+            F.expr("sort_array(collect_list(named_struct('s', start, 'e', start + words)))").alias("places")).selectExpr(
+            "class", "aggregate(places, places[0].e, (e, x) -> IF(x.s < e, greatest(e, x.e), e)) AS stop"))
         return settle(flagged.join(first, "class").selectExpr(
             "doc_id", "start AS start_word", "start + words AS end_word", "lower(lpad(hex(class), 16, '0')) AS class_id",
-            "lo AS first_doc_id", "doc_id <> lo OR start <> at AS removable"))
+            "lo AS first_doc_id", "doc_id <> lo OR start >= stop AS removable"))
