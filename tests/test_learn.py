@@ -201,3 +201,28 @@ def test_vector_label_is_learnable(spark, sf):
     from tillwatch.plans.model_queries import VECTOR_COLS, vector_matrix
     matrix = settle(vector_matrix(spark, sf))
     assert auc(L.out_of_fold(matrix, L.prototype_learner(VECTOR_COLS, 12), 2)) > 0.7
+
+
+def test_nnpu_and_retraining_use_all_columns_and_five_folds(spark, sf, monkeypatch):
+    from tillwatch.plans import model_queries as q
+    selected, folds = [], []
+
+    class Stop(Exception):
+        pass
+
+    def learner(cols, n_select, **_):
+        selected.append(n_select)
+
+    def out_of_fold(df, learner, k=5):
+        folds.append(k)
+        if len(folds) < 2:
+            return df.selectExpr("account_id", "label", "0.5D AS score")
+        raise Stop
+
+    monkeypatch.setattr(q.L, "nnpu_learner", learner)
+    monkeypatch.setattr(q.L, "forest_learner", learner)
+    monkeypatch.setattr(q.L, "out_of_fold", out_of_fold)
+    q.nnpu_boost(spark, sf)
+    with pytest.raises(Stop):
+        q.retrain_feedback(spark, sf)
+    assert selected == [64, 64] and folds == [5, 5]

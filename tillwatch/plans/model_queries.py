@@ -59,7 +59,7 @@ def focal_boost(spark, sf):
 
 @query("nnpu_boost")
 def nnpu_boost(spark, sf):
-    return L.out_of_fold(_settled(spark, sf), L.nnpu_learner(VECTOR_COLS, 12, rounds=6, depth=3, prior=0.1))
+    return L.out_of_fold(_settled(spark, sf), L.nnpu_learner(VECTOR_COLS, 64, rounds=6, depth=3, prior=0.1))
 
 
 @query("prototype_oof")
@@ -146,9 +146,9 @@ def retrain_feedback(spark, sf):
         F.col("user_id").alias("account_id"), (F.col("event_type") == "purchase").cast("int").alias("true_label"),
         F.col("event_id").alias("created_at"))
     new = settle(overlay_feedback(m, fb).drop("changed"))
-    learner = L.forest_learner(VECTOR_COLS, 12, trees=10, depth=4)
-    a = L.out_of_fold(m, learner, 2).select("account_id", F.col("score").alias("old"))
-    b = L.out_of_fold(new, learner, 2).select("account_id", "label", F.col("score").alias("new"))
+    learner = L.forest_learner(VECTOR_COLS, 64, trees=10, depth=4)
+    a = L.out_of_fold(m, learner).select("account_id", F.col("score").alias("old"))
+    b = L.out_of_fold(new, learner).select("account_id", "label", F.col("score").alias("new"))
     return compare_scores(settle(a.join(b, "account_id")), "old", "new")
 
 
