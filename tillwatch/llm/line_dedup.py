@@ -14,7 +14,9 @@ long paragraph that many documents share is a repeat by itself.
    before the shuffle); the others' positions are joined.
 3. Each joined position is extended both ways: all windows around it are
    compared with the first occurrence of the same window. The union of windows
-   that occurred before is every repeated run in full length. Positions meet the
+   that occurred before is every repeated run of three lines or more in full length.
+   Of a run of exactly two lines where one has ``WORDS`` words or more, only that
+   line is a window; the other line stays. Positions meet the
    first one only, never each other, so a passage that many documents share
    costs one row per occurrence.
 """
