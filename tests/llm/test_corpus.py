@@ -454,6 +454,16 @@ def test_sketches_merge_and_estimate():
     assert len(sketch.sketch("")) == 0 and len(sketch.sketch("ab")) == 1
 
 
+def test_containment_is_null_for_a_fallback_hash(spark):
+    rng = random.Random(2)
+    some = ("".join(rng.choices("abcdefgh ", k=20)) for _ in range(1000))
+    short = next(t for t in some if sketch.sketch(t)[0] >= (1 << 64) // sketch.SCALE)
+    long = short + "".join(rng.choices("abcdefgh ", k=20_000))
+    assert sketch.containment(sketch.sketch(short), sketch.sketch(long)) is None
+    got = {r.doc_id: r for r in sketch.compare_with_next(frame(spark, [long, short])).collect()}
+    assert got[1].contained_next is None and got[0].contained_edited is not None
+
+
 # --- archives --------------------------------------------------------------------------
 
 def test_archives_round_trip(spark):

@@ -4,7 +4,9 @@ A sketch keeps the hashes under the threshold, whatever the text's length, so
 its size grows with the text and a short text's sketch is comparable with a long
 one's: shared hashes over the smaller sketch estimate containment, over the
 union resemblance. The smallest hash is always kept, so no text with a shingle
-has an empty sketch. Sketches merge: the union of two, less any hash over the
+has an empty sketch. That hash alone, if over the threshold, can not be in a
+longer text's sketch: containment is then null. Resemblance is coarse for texts
+of few kept hashes. Sketches merge: the union of two, less any hash over the
 threshold but the smallest, is the sketch of the union.
 
 Shingles are 8 consecutive code points (a shorter text is one shingle, an empty
@@ -78,10 +80,14 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the other has."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float | None:
+    """Estimated share of the smaller text's shingles that the other has; None if a sketch
+    holds only a hash over the threshold, which says nothing about it."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    limit = np.uint64((1 << 64) // scale)
+    if a[0] >= limit or b[0] >= limit:
+        return None
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
@@ -157,7 +163,7 @@ def compare_with_next(docs: DataFrame, scale: int = SCALE) -> DataFrame:
             theirs = sketch(changed, scale)
             return (key, len(text), sha256(changed.encode("utf-8")).hexdigest(), to_text(mine), to_text(theirs),
                     resemblance(mine, theirs), None if other is None else resemblance(mine, other),
-                    containment(mine, theirs), None if other is None else containment(mine, other))
+                    containment(mine, theirs, scale), None if other is None else containment(mine, other, scale))
 
         for batch in steps(batches):
             out = []
