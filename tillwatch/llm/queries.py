@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tillwatch.llm import (
-    bpe, decontaminate, langid, line_dedup, simhash, sketch, substring_dedup, token_counts, token_files, warc)
+    bpe, decontaminate, exact_dedup, langid, line_dedup, simhash, sketch, substring_dedup, token_counts, token_files,
+    warc)
 from tillwatch.session import delete_folder, new_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -76,9 +77,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(spark, out)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents equal but for white space, by the cuckoo index; the one that stays of each group."""
+    return exact_dedup.duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_counts, op3_simhash, op4_warc, op5_langid, op6_bpe, op7_token_files, op8_sketch,
-    op9_line_dedup, op10_decontaminate)}
+    op9_line_dedup, op10_decontaminate, op13_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
@@ -128,4 +134,10 @@ SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN k ON dw.doc_id = k.doc_id""",
+    "op13_exact_dedup": """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+  FROM documents),
+g AS (SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER w = 1 AS kept, t FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM g""",
 }
