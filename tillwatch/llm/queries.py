@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tillwatch.llm import (
-    bpe, decontaminate, exact_dedup, langid, line_dedup, simhash, sketch, substring_dedup, token_counts, token_files,
-    warc)
+    bpe, decontaminate, divergence, exact_dedup, langid, line_dedup, simhash, sketch, substring_dedup, token_counts,
+    token_files, warc)
 from tillwatch.session import delete_folder, new_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_report(spark, out)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ in the terms that ten of its documents hold."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents equal but for white space, by the cuckoo index; the one that stays of each group."""
     return exact_dedup.duplicates(documents(spark, sf_dir))
@@ -84,7 +89,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_counts, op3_simhash, op4_warc, op5_langid, op6_bpe, op7_token_files, op8_sketch,
-    op9_line_dedup, op10_decontaminate, op13_exact_dedup)}
+    op9_line_dedup, op10_decontaminate, op11_source_divergence, op13_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
@@ -134,6 +139,31 @@ SELECT dw.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN k ON dw.doc_id = k.doc_id""",
+    "op11_source_divergence": """
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+kept AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+c AS (SELECT lang, source, t, count(*) AS n FROM w GROUP BY ALL),
+x AS (SELECT g.lang, g.source, kept.t, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept ON g.lang = kept.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+p AS (SELECT *, 1 + (1000000000 * (n + 2)) // (sum(n) OVER k + 2 * count(*) OVER k) AS p FROM x
+      WINDOW k AS (PARTITION BY lang, source)),
+l AS (SELECT lang, t, 1 + (1000000000 * (n + 2)) // (sum(n) OVER k + 2 * count(*) OVER k) AS q
+      FROM (SELECT lang, t, sum(n) AS n FROM x GROUP BY lang, t) WINDOW k AS (PARTITION BY lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, source, 'term', p.t, (((p - q) * (p - q)) // (p + q))::BIGINT
+  FROM p JOIN l ON p.lang = l.lang AND p.t = l.t WHERE n > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 10""",
     "op13_exact_dedup": """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
   FROM documents),
