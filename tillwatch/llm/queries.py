@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tillwatch.llm import (
-    bpe, decontaminate, divergence, exact_dedup, langid, line_dedup, simhash, sketch, substring_dedup, token_counts,
+    bpe, decontaminate, divergence, exact_dedup, hard_negatives, langid, line_dedup, simhash, sketch, substring_dedup, token_counts,
     token_files, warc)
 from tillwatch.session import delete_folder, new_folder
 
@@ -82,6 +83,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after moving the label of every seventh."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents equal but for white space, by the cuckoo index; the one that stays of each group."""
     return exact_dedup.duplicates(documents(spark, sf_dir))
@@ -89,7 +97,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_counts, op3_simhash, op4_warc, op5_langid, op6_bpe, op7_token_files, op8_sketch,
-    op9_line_dedup, op10_decontaminate, op11_source_divergence, op13_exact_dedup)}
+    op9_line_dedup, op10_decontaminate, op11_source_divergence, op12_hard_negatives, op13_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
@@ -164,6 +172,22 @@ r AS (
   FROM p JOIN l ON p.lang = l.lang AND p.t = l.t WHERE n > 0 AND p > q),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
 SELECT * FROM k WHERE part = 'pair' OR rank <= 10""",
+    "op12_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same,
+    list_inner_product(a.q, x.q)::BIGINT AS score
+  FROM e a JOIN e x ON a.vec_id % 100 = 0 AND a.vec_id <> x.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5""",
     "op13_exact_dedup": """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
   FROM documents),
