@@ -80,7 +80,8 @@ def test_blocks_and_chunks(spark, rows, monkeypatch):
     """Many blocks of sources and chunks of terms, steps that cut batches, a bit map that is full."""
     monkeypatch.setattr(D, "CHUNK_TERMS", 3)
     monkeypatch.setattr(D, "BLOCK_SOURCES", 2)
-    monkeypatch.setattr(D, "_STEP_TERMS", 10)
+    monkeypatch.setattr(D, "HELD_ROWS", 40)
+    monkeypatch.setattr(D, "_ROWS_OUT", 7)
     monkeypatch.setattr(D, "FIRST", 2)
     assert rows_of(D.audit(frame(spark, rows).repartition(2), 5)) == brute(rows, 5)
     full = D._bit_map
@@ -96,7 +97,7 @@ def test_rare_prefixes_are_dropped_early(spark):
     """Terms under a rare prefix never reach the second level."""
     rows = [(f"common {chr(97 + i % 26)}{chr(97 + i // 26)}qunique", "en", "s") for i in range(200)]
     with Scratch(spark) as scratch:
-        table = scratch.settle(D.term_table(frame(spark, rows)))
+        table = scratch.settle(D.term_packs(frame(spark, rows)))
         first = D._level(table, 0, 3, None).where("docs >= 10")
         assert [bytes(r.prefix) for r in first.where("open").collect()] == [b"com"]
         second = D._level(table, 3, 6, D._bit_map(first.where("open"), "prefix")).collect()

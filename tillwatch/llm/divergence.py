@@ -12,17 +12,15 @@ Between levels a bit map of fixed size tells the tasks which prefixes go on. A
 bit set by another prefix only lets a rare one pass, and its own count drops it
 at the next level: nothing is lost or wrongly kept.
 
-Counts are added up per Arrow batch before they move, so a language or source
-with a third of all rows sends a few records per batch and term. Pairs of
+Every text is read once; its distinct terms go to a packed table that the levels
+read. Tasks add up their counts before they move, so a language or source with
+a third of all rows sends about one record per task and term. Pairs of
 sources are compared in blocks of sources and chunks of terms; a chunk holds its
 frequent and its absent terms, so the work per task is bounded.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,106 +28,215 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import arrow_schema, steps
+from tillwatch.llm.common import arrow_schema, mix, steps
 from tillwatch.session import Scratch, settle
 
-FIRST = 3
+FIRST = 4
 MAP_BITS = 1 << 24
 #: Terms a task compares at once, and sources on each side of a block pair.
 CHUNK_TERMS = 4096
 BLOCK_SOURCES = 64
-#: Terms of documents one step of a level holds.
-_STEP_TERMS = 2_000_000
+#: Rows a task adds up before it sends them on, and rows it hands over at once.
+HELD_ROWS = 1_000_000
+_ROWS_OUT = 50_000
 #: A-Z to lower case, every other ASCII character that is not a letter to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SCALE = 1_000_000_000
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters and non-ASCII characters, only A-Z lower-cased."""
-    return text.translate(_FOLD).split(b" ") if text else []
+def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary values that stand back to back in ``data``."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def term_table(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, counts): the distinct terms of every row and how often each occurs in it."""
-    schema = "lang string, source string, terms array<binary>, counts array<bigint>"
-    arrow = arrow_schema(schema)
+def _parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of binary values without nulls."""
+    ends = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset) if len(values) else np.zeros(1, int)
+    data = np.frombuffer(values.buffers()[2], np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return data, np.diff(ends).astype(np.int64)
+
+
+def terms_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of some texts in order, and how many each text has.
+
+    Terms are runs of ASCII letters and non-ASCII characters, only A-Z lower-cased.
+    """
+    x = np.frombuffer(b" ".join([*texts, b""]).translate(_FOLD), np.uint8)
+    inside = x != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, stops = edges[::2], edges[1::2]
+    text_stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return _binary(x[inside], stops - starts), np.diff(np.searchsorted(starts, text_stops), prepend=0)
+
+
+_PACK = ("langs array<string>, sources array<string>, sizes binary, lengths binary, vocabulary binary, codes binary, "
+         "counts binary, widths array<int>")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def term_packs(docs: DataFrame) -> DataFrame:
+    """The distinct terms of every row and how often each occurs in it, packed.
+
+    A pack holds some rows: their languages, sources and numbers of terms, the
+    pack's terms in byte order, and per row the numbers of its terms, ascending,
+    with their counts, as unsigned integers of the widths needed.
+    """
+    arrow = arrow_schema(_PACK)
 
     def run(batches):
         for batch in steps(batches):
-            found = [Counter(terms_of(t)) for t in pc.fill_null(batch.column(0), "").cast(pa.binary()).to_pylist()]
-            for c in found:
-                c.pop(b"", None)
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = pa.array(chain.from_iterable(found), pa.binary(), size=int(ends[-1]))
-            n = pa.array(np.fromiter(chain.from_iterable(c.values() for c in found), np.int64, int(ends[-1])))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(1), batch.column(2),
-                pa.ListArray.from_arrays(pa.array(ends), flat).cast(arrow[2].type),
-                pa.ListArray.from_arrays(pa.array(ends), n).cast(arrow[3].type)], schema=arrow)
+            terms, n = terms_of(pc.fill_null(batch.column(0), "").cast(pa.binary()).to_pylist())
+            coded = terms.dictionary_encode()
+            order = np.asarray(pc.array_sort_indices(coded.dictionary), np.int64)
+            place = np.zeros(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            wide = max(len(order), 1)
+            pairs, counts = np.unique(np.repeat(np.arange(batch.num_rows), n) * wide + place[np.asarray(coded.indices)],
+                                      return_counts=True)
+            words, lengths = _parts(coded.dictionary.take(pa.array(order)))
+            parts = [_narrow(x) for x in (
+                np.bincount(pairs // wide, minlength=batch.num_rows), lengths, pairs % wide, counts)]
+            yield pa.RecordBatch.from_pylist([{
+                "langs": batch.column(1).to_pylist(), "sources": batch.column(2).to_pylist(),
+                "vocabulary": words.tobytes(), "widths": [x.itemsize for x in parts],
+                **dict(zip(("sizes", "lengths", "codes", "counts"), (x.tobytes() for x in parts)))}], schema=arrow)
 
-    blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    return docs.select("text", *blank).mapInArrow(run, schema)
+    return docs.select("text", *_groups_of()).mapInArrow(run, _PACK)
+
+
+def _groups_of() -> list:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
 # --- bit maps ---------------------------------------------------------------------
 
+def _hashes(terms: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each term, over all its bytes."""
+    data, lengths = _parts(terms)
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[place], starts)
+               ^ lengths.astype(np.uint64))
+
+
+def _bits_of(langs: list[str], which: np.ndarray, terms: pa.Array, bits: int) -> np.ndarray:
+    """Bit number of each (language, term)."""
+    seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)
+    return (mix(_hashes(terms) ^ seeds[which]) & np.uint64(bits - 1)).astype(np.int64)
+
+
 def _bit_map(keys: DataFrame, term: str, bits: int = MAP_BITS) -> np.ndarray:
     """Bits of (lang, term) set; at most ``bits`` / 64 numbers reach the driver."""
-    bit = F.xxhash64("lang", F.col(term)).bitwiseAND(F.lit(bits - 1))
-    words = (keys.select(bit.alias("b")).selectExpr("b DIV 64 AS w", "shiftleft(1L, CAST(b % 64 AS INT)) AS v")
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                names = batch.column(0).dictionary_encode()
+                bit = _bits_of(names.dictionary.to_pylist(), np.asarray(names.indices), batch.column(1), bits)
+                own = np.zeros(bits // 64, np.uint64)
+                np.bitwise_or.at(own, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], ["w", "v"])
+
+    words = (keys.select("lang", term).mapInArrow(run, "w bigint, v bigint")
              .groupBy("w").agg(F.bit_or("v").alias("v")).toArrow())
     out = np.zeros(bits // 64, np.int64)
     out[np.asarray(words["w"], np.int64)] = np.asarray(words["v"], np.int64)
     return out.view(np.uint64)
 
 
-class _Flat:
-    """The terms of a step in flat form, with the language and document of each."""
+class _Pack:
+    """An unpacked pack: parallel arrays ``doc``, ``code`` and ``count`` over (row, term)."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        names = batch.column(0).dictionary_encode()
-        self.langs = [x.encode() for x in names.dictionary.to_pylist()]
-        sizes = np.asarray(pc.list_value_length(batch.column(2)), np.int64)
-        self.doc = np.repeat(np.arange(batch.num_rows), sizes)
-        self.lang = np.repeat(np.asarray(names.indices, np.int64), sizes)
-        self.terms = pc.list_flatten(batch.column(2))
-        self.length = np.asarray(pc.binary_length(self.terms), np.int64)
-        self.counts = np.asarray(pc.list_flatten(batch.column(3)), np.int64)
+    def __init__(self, row: dict):
+        names = {x: i for i, x in enumerate(dict.fromkeys(row["langs"]))}
+        self.langs, self.sources = list(names), row["sources"]
+        self.lang_of = np.array([names[x] for x in row["langs"]], np.int64)
+        sizes, self.length, self.code, self.count = (
+            np.frombuffer(row[c], f"<u{w}").astype(np.int64)
+            for c, w in zip(("sizes", "lengths", "codes", "counts"), row["widths"]))
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.terms = _binary(np.frombuffer(row["vocabulary"], np.uint8), self.length)
 
     def take(self, mask: np.ndarray) -> None:
-        self.terms = self.terms.filter(pa.array(mask))
-        for name in ("doc", "lang", "length", "counts"):
-            setattr(self, name, getattr(self, name)[mask])
+        self.doc, self.code, self.count = self.doc[mask], self.code[mask], self.count[mask]
 
-    def keys(self, cut: int | None) -> tuple[np.ndarray, list[int], pa.Array]:
-        """Number of (lang, prefix) of each term, then language and prefix of each number."""
+    def prefixes(self, cut: int | None) -> tuple[np.ndarray, pa.Array]:
+        """Number of the prefix of each term, ascending as the terms are, and the prefixes."""
         cuts = pc.binary_slice(self.terms, 0, cut) if cut else self.terms
-        coded = cuts.dictionary_encode()
-        width = max(len(coded.dictionary), 1)
-        distinct, number = np.unique(self.lang * width + np.asarray(coded.indices, np.int64), return_inverse=True)
-        return number, (distinct // width).tolist(), coded.dictionary.take(pa.array(distinct % width))
+        new = np.ones(len(cuts), bool)
+        if len(cuts) > 1:
+            new[1:] = np.asarray(pc.not_equal(cuts[1:], cuts[:-1]))
+        return np.cumsum(new) - 1, cuts.filter(pa.array(new))
+
+    def keys(self, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(language, prefix number) of each pair as one key, and the keys that occur, ascending."""
+        key = self.lang_of[self.doc] * n + number[self.code]
+        seen = np.zeros(len(self.langs) * n, bool)
+        seen[key] = True
+        return key, np.flatnonzero(seen)
 
     def filter(self, cut: int | None, bits: np.ndarray) -> None:
-        """Only terms whose (lang, prefix) has its bit set."""
-        number, langs, prefixes = self.keys(cut)
-        seeds = [xxhash.xxh64_intdigest(x, 42) for x in self.langs]
-        h = np.fromiter((xxhash.xxh64_intdigest(p, seeds[x]) for x, p in zip(langs, prefixes.to_pylist())),
-                        np.uint64, len(langs)) & np.uint64(len(bits) * 64 - 1)
-        met = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
-        self.take(met[number])
-
-
-def _flats(batches):
-    """Steps of at most about ``_STEP_TERMS`` terms."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        part = np.cumsum(np.asarray(pc.list_value_length(batch.column(2)), np.int64)) // _STEP_TERMS
-        at = 0
-        for stop in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
-            yield batch.slice(at, stop - at)
-            at = stop
+        """Only pairs whose (language, prefix) has its bit set."""
+        number, prefixes = self.prefixes(cut)
+        n = len(prefixes)
+        key, seen = self.keys(number, n)
+        if not len(seen):
+            return
+        bit = _bits_of(self.langs, seen // n, prefixes.take(pa.array(seen % n)), 64 * len(bits))
+        met = np.zeros(len(self.langs) * n, bool)
+        met[seen] = (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+        self.take(met[key])
+
+
+def _summed(table: DataFrame, make, keys: str, values: str) -> DataFrame:
+    """Rows of ``make(pack)`` with the ``values`` columns summed over equal ``keys``.
+
+    A task adds up its packs before the rows leave it, as far as ``HELD_ROWS`` go.
+    """
+    arrow = arrow_schema(f"{keys}, {values}")
+    names = [f.split()[0] for f in keys.split(", ")]
+    sums = [f.split()[0] for f in values.split(", ")]
+
+    def run(batches):
+        held, n = [], 0
+
+        def total():
+            t = pa.concat_tables(held)
+            if len(held) > 1:
+                t = t.group_by(names, use_threads=False).aggregate([(x, "sum") for x in sums])
+                t = t.select([*names, *(f"{x}_sum" for x in sums)])
+            return t.rename_columns(arrow.names).cast(arrow)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = make(_Pack(batch.slice(i, 1).to_pylist()[0]))
+                if made is None:
+                    continue
+                held.append(pa.Table.from_arrays(made, schema=arrow))
+                n += held[-1].num_rows
+                if n > HELD_ROWS:
+                    held = [total()]
+                    if held[0].num_rows > HELD_ROWS // 2:
+                        yield from held[0].to_batches(max_chunksize=_ROWS_OUT)
+                        held = []
+                    n = sum(t.num_rows for t in held)
+        if held:
+            yield from total().to_batches(max_chunksize=_ROWS_OUT)
+
+    return (table.mapInArrow(run, f"{keys}, {values}").groupBy(*names)
+            .agg(*[F.sum(x).alias(x) for x in sums]))
+
+
+def _named(names: list[str], which: np.ndarray) -> pa.Array:
+    return pa.array(names, pa.string()).take(pa.array(which))
 
 
 # --- kept terms -------------------------------------------------------------------
@@ -140,33 +247,31 @@ def _level(table: DataFrame, before: int, level: int, bits: np.ndarray | None) -
     ``open`` rows count the documents with a term longer than ``level`` under the
     prefix; the others count the documents of a complete term.
     """
-    schema = "lang string, prefix binary, open boolean, docs bigint"
-    arrow = arrow_schema(schema)
     shared = None if bits is None else table.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches):
-        for batch in _flats(batches):
-            flat = _Flat(batch)
-            if shared is not None:
-                flat.take(flat.length > before)
-                if len(flat.doc):
-                    flat.filter(before, shared.value)
-            if not len(flat.doc):
-                continue
-            number, langs, prefixes = flat.keys(level)
-            is_open, n = flat.length > level, len(langs)
-            # A complete term occurs once per document; several open ones may share a prefix.
-            done = np.bincount(number[~is_open], minlength=n)
-            pairs = np.unique(flat.doc[is_open] * n + number[is_open])
-            more = np.bincount(pairs % n, minlength=n)
-            for docs, kind in ((done, False), (more, True)):
-                at = np.flatnonzero(docs)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([flat.langs[langs[i]] for i in at.tolist()], pa.binary()).cast(pa.string()),
-                        prefixes.take(pa.array(at)), pa.array(np.full(len(at), kind)), pa.array(docs[at])], schema=arrow)
-
-    return table.mapInArrow(run, schema).groupBy("lang", "prefix", "open").agg(F.sum("docs").alias("docs"))
+    def make(pack):
+        if shared is not None:
+            pack.take(pack.length[pack.code] > before)
+            pack.filter(before, shared.value)
+        if not len(pack.doc):
+            return None
+        is_open = pack.length[pack.code] > level
+        number, prefixes = pack.prefixes(level)
+        n = len(prefixes)
+        key, seen = pack.keys(number, n)
+        # A complete term occurs once per document. Open terms of a document that
+        # share a prefix stand side by side, as terms are in byte order.
+        done = np.bincount(key[~is_open], minlength=len(pack.langs) * n)[seen]
+        doc, more = pack.doc[is_open], key[is_open]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (more[1:] != more[:-1])
+        opened = np.bincount(more[new], minlength=len(pack.langs) * n)[seen]
+        at = np.concatenate([seen[done > 0], seen[opened > 0]])
+        docs = np.concatenate([done[done > 0], opened[opened > 0]])
+        return [_named(pack.langs, at // n), prefixes.take(pa.array(at % n)),
+                pa.array(np.arange(len(at)) >= np.count_nonzero(done)), pa.array(docs)]
+
+    return _summed(table, make, "lang string, prefix binary, open boolean", "docs bigint")
 
 
 def kept_terms(table: DataFrame, min_docs: int, scratch: Scratch, first: int = FIRST) -> DataFrame:
@@ -187,32 +292,23 @@ def kept_terms(table: DataFrame, min_docs: int, scratch: Scratch, first: int = F
 
 def term_counts(table: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms in every group that has any."""
-    schema = "lang string, source string, term binary, n bigint"
-    arrow = arrow_schema(schema)
     shared = table.sparkSession.sparkContext.broadcast(_bit_map(kept, "term"))
 
-    def run(batches):
-        for batch in _flats(batches):
-            flat = _Flat(batch)
-            if not len(flat.doc):
-                continue
-            flat.filter(None, shared.value)
-            if not len(flat.doc):
-                continue
-            number, langs, terms = flat.keys(None)
-            names = batch.column(1).dictionary_encode()
-            source = np.asarray(names.indices, np.int64)[flat.doc]
-            sources = names.dictionary.to_pylist()
-            pairs, which = np.unique(source * len(langs) + number, return_inverse=True)
-            n = np.zeros(len(pairs), np.int64)
-            np.add.at(n, which, flat.counts)
-            at = pairs % len(langs)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([flat.langs[langs[i]] for i in at.tolist()], pa.binary()).cast(pa.string()),
-                pa.array([sources[i] for i in (pairs // len(langs)).tolist()]),
-                terms.take(pa.array(at)), pa.array(n)], schema=arrow)
-
-    return (table.mapInArrow(run, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    def make(pack):
+        pack.filter(None, shared.value)
+        if not len(pack.doc):
+            return None
+        names = {x: i for i, x in enumerate(dict.fromkeys(zip(pack.lang_of.tolist(), pack.sources)))}
+        own = np.array([names[x] for x in zip(pack.lang_of.tolist(), pack.sources)], np.int64)
+        pairs = own[pack.doc] * len(pack.terms) + pack.code
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        group, code = np.divmod(pairs[first], len(pack.terms))
+        return [_named([pack.langs[x] for x, _ in names], group), _named([x for _, x in names], group),
+                pack.terms.take(pa.array(code)), pa.array(np.add.reduceat(pack.count[order], first))]
+
+    return (_summed(table, make, "lang string, source string, term binary", "n bigint")
             .join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
 
 
@@ -297,13 +393,13 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    table = scratch.settle(term_table(docs))
+    table = scratch.settle(term_packs(docs))
     kept = scratch.settle(kept_terms(table, min_docs, scratch))
     counts = scratch.settle(term_counts(table, kept))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = scratch.settle(
-        table.select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
+        docs.select(*_groups_of()).distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
         .selectExpr("lang", "source", "coalesce(terms, 0L) AS terms", "coalesce(n, 0L) AS own",
                     "coalesce(n, 0L) + 2 * coalesce(terms, 0L) AS total",
                     f"1 + (coalesce(terms, 0L) DIV {CHUNK_TERMS}) AS chunks",
