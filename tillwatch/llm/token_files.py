@@ -20,8 +20,11 @@ slice of documents and its index.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import unicodedata
 import zlib
+from array import array
 from urllib.parse import unquote
 
 import numpy as np
@@ -29,34 +32,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from tillwatch.llm.bpe import WordBpe, _byte_chars
+from tillwatch.llm.bpe import _PATTERN, WORDS, WordBpe, _byte_chars
 from tillwatch.llm.common import even_parts, steps
 
 #: Input bytes per shard beyond which more shards than shuffle partitions are made.
 SHARD_BYTES = 64 << 20
 
 
+#: The word pattern over ASCII text in lower case, for the standard library's faster matcher.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+
+
+class _Words(dict):
+    """Ids of the words met, by word; forgets all but the special tokens when it holds ``WORDS``."""
+
+    def __init__(self, make, special: dict[str, bytes]):
+        super().__init__(special)
+        self.make, self.special = make, special
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+            self.update(self.special)
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class LibraryBpe(WordBpe):
-    """The tokenizers library's own model on each new word; texts are rows of remembered chunks."""
+    """The tokenizers library's own model on each new word; texts are rows of remembered words.
+
+    Ids are remembered and returned in ``width`` bytes each, as the file holds them.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         super().__init__(path)
         self._model = Tokenizer.from_file(path).model
         self._chars = _byte_chars()
+        self._code = {2: "H", 4: "I"}[width]
+        self.words = _Words(self._ids, {t: array(self._code, [i]).tobytes() for t, i in self.special.items()})
+
+    def _words(self, text: str) -> list[str]:
+        """The words of a text; a special token is a word of its own, which no pattern yields."""
+        if self._special and "<" in text and (m := self._special.search(text)):
+            return [*self._words(text[:m.start()]), m.group(), *self._words(text[m.end():])]
+        if text.isascii():
+            return _ASCII.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        # The library lower-cases code point by code point; Python knows one rule with context.
+        return _PATTERN.findall("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
+
+    def _ids(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = "".join([self._chars[b] for b in word.encode("utf-8", "surrogatepass")])
+        return array(self._code, [t.id for t in self._model.tokenize(word)]).tobytes()
 
-    def merge_all(self, words: list[str]) -> dict[str, bytes]:
-        one, chars = self._model.tokenize, self._chars
-        return {w: np.array([t.id for t in one("".join([chars[b] for b in w.encode("utf-8", "surrogatepass")]))],
-                            "<u4").tobytes() for w in words}
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        get, words = self.words.__getitem__, self._words
+        return [b"".join(map(get, words(t))) if t else b"" for t in texts]
 
 
-_LOADED: dict[str, LibraryBpe] = {}
+_LOADED: dict[tuple[str, int], LibraryBpe] = {}
 
 
-def _library(path: str) -> LibraryBpe:
-    if path not in _LOADED:
-        _LOADED[path] = LibraryBpe(path)
-    return _LOADED[path]
+def _library(path: str, width: int) -> LibraryBpe:
+    if (path, width) not in _LOADED:
+        _LOADED[path, width] = LibraryBpe(path, width)
+    return _LOADED[path, width]
 
 
 def id_width(path: str) -> int:
@@ -80,8 +121,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> None:
     def pack(batches):
         index, at = [], 0
         for batch in steps(batches):
-            ids = _library(vocabulary).encode(batch.column(1).to_pylist())
-            rows = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
+            rows = _library(vocabulary, width).encode(batch.column(1).to_pylist())
             sizes = np.array([len(x) // width + 1 for x in rows], np.int64)
             known = np.asarray(batch.column(0).is_valid())
             keys = np.asarray(batch.column(0).fill_null(0), np.int64)
