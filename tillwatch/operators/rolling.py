@@ -154,7 +154,7 @@ def balance_windows(tx: DataFrame, as_of: Column, windows=WINDOW_DAYS) -> DataFr
                          ["account_id"], BALANCE, windows)
 
 
-def _flat_columns(channels, windows, pairs) -> list[str]:
+def flat_columns(channels=CHANNELS, windows=WINDOW_DAYS, pairs=RATIO_PAIRS) -> list[str]:
     """Zero-filled ``<channel>_L<w>D_<STAT>`` and ratio expressions over pivoted columns."""
     out = []
     for c in channels:
@@ -185,7 +185,7 @@ def flat_features(tx: DataFrame, as_of: Column, channels=CHANNELS, windows=WINDO
     """
     wide = channel_wide(tx, as_of, windows, extended=False)
     piv = _pivot_channels(wide, ["account_id"], channels, windows)
-    return piv.selectExpr("account_id", *_flat_columns(channels, windows, pairs))
+    return piv.selectExpr("account_id", *flat_columns(channels, windows, pairs))
 
 
 def window_bands(windows_long: DataFrame, measures: list[str], windows=WINDOW_DAYS,
@@ -277,4 +277,4 @@ def features_at(points: DataFrame, tx: DataFrame, channels=CHANNELS, windows=WIN
     amounts = [c for c in done.columns if "_amt_" in c]
     done = done.selectExpr(*[f"{c} / 100D AS {c}" if c in amounts else c for c in done.columns])
     piv = _pivot_channels(done, ["event_id", "account_id"], channels, windows)
-    return piv.selectExpr("event_id", "account_id", *_flat_columns(channels, windows, pairs))
+    return piv.selectExpr("event_id", "account_id", *flat_columns(channels, windows, pairs))

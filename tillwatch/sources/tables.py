@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tillwatch.model import ACTION, DICTIONARY
 from tillwatch.operators.ledger import latest_per_key
+from tillwatch.session import Scratch, folder_exists
 
 
 def account_schema(numeric: list[str], text: list[str], key: str = "account_id") -> T.StructType:
@@ -87,6 +88,23 @@ def metric_rows(quality: DataFrame, model_version: str, drift_status: Column) ->
     return quality.select("auc_pr", "auc_roc", drift_status.alias("drift_status"), F.lit(model_version).alias("model_version"))
 
 
+def upsert_buckets(rows: DataFrame, path: str, key: str, order: str, buckets: int) -> None:
+    """Last write wins per ``key`` in a table of hash buckets; only buckets with new rows are rewritten.
+
+    ``rows`` has one row per key and is read more than once. Merging the same rows
+    again changes nothing, so a replayed batch does no harm. One writer at a time.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+    with Scratch(spark) as scratch:
+        if folder_exists(spark, path):
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            held = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+            new = scratch.settle(latest_per_key(new.unionByName(held), [key], order).select(*new.columns))
+        new.repartition(buckets, "bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def online_features(spark: SparkSession, path: str) -> DataFrame:
     """Current features per account: last write wins over all appended batches."""
     return latest_per_key(spark.read.parquet(path), ["account_id"], "written_at")

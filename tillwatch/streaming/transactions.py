@@ -1,11 +1,12 @@
 """From arriving transactions to features, scores and automatic actions.
 
-One ``foreachBatch`` callback does what the batch jobs do, with the same
-functions: the micro-batch is appended to a history table, the features of each
-arriving event are computed as of its own time over the last 31 days of the
-batch's accounts, scored, gated and logged. Every output is partitioned by
-batch id and rewritten whole on replay, so at-least-once delivery leaves each
-event's effects exactly once.
+The features of each arriving event, as of its own time, come from keyed stream
+state (``streaming.state``): a batch reads nothing of the accounts it does not
+touch, and nothing of any history. Only events too late for the state are
+computed from the history table, with the functions of the batch jobs. One
+``foreachBatch`` callback then scores, gates and logs. Every output is partitioned
+by batch id (the online table by bucket) and rewritten whole on replay, so
+at-least-once delivery leaves each event's effects exactly once.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.functions import text as X
 from tillwatch.model import AUTO_HOLD_SCORE, CHANNELS, DEFAULT_SLA_HOURS, WINDOW_DAYS
 from tillwatch.operators import ledger as L
 from tillwatch.operators.joins import merge_cross_bank
-from tillwatch.operators.rolling import days, features_at
+from tillwatch.operators.rolling import BASIC, days, features_at, flat_columns
 from tillwatch.session import Scratch, broadcast_when_small, folder_exists, settle
-from tillwatch.sources.tables import append_batch
+from tillwatch.sources.tables import append_batch, upsert_buckets
+from tillwatch.streaming.state import flat_of_sums, merged, with_sums
 
 BATCH_ACCOUNTS = 500_000
 
@@ -32,8 +34,14 @@ class TransactionJob:
     """Tables under ``root``: history, online, results, actions, quarantine.
 
     Every event is kept, however late: it gets its own result and counts in the
-    windows of all events handled after it. Repeated ids are told by the history
-    itself. Unreadable payloads go to ``quarantine`` as they came.
+    windows of all events handled after it. A repeated event (same account, time
+    and id) is left out by the state, one that comes more than ``late_days`` behind
+    its account's newest by the ids in the history. Unreadable payloads go to
+    ``quarantine`` as they came.
+
+    ``parts`` spreads the state of very active accounts, ``late_days`` and
+    ``ttl_days`` bound it (see ``streaming.state.with_sums``); ``buckets`` is the
+    number of files of the online table, of which a batch rewrites those it touches.
 
     ``scorer`` adds a ``score`` column on [0, 1] to the feature frame (a fitted
     model's transform or a Pandas UDF). ``switch_log`` and ``cross_bank`` are
@@ -49,15 +57,23 @@ class TransactionJob:
     sla_hours: int = DEFAULT_SLA_HOURS
     model_version: str = "unspecified"
     institution: str = "your bank"
+    late_days: int = 31
+    ttl_days: int | None = 365
+    parts: Column | None = None
+    buckets: int = 64
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def refresh(self, batch: DataFrame, batch_id: int, settle=settle) -> DataFrame:
-        """Append to the history and compute the features of the batch's events."""
-        spark, events = batch.sparkSession, batch
-        append_batch(events.withColumn("event_date", F.to_date("ts")), self.path("history"),
-                     batch_id, ("event_date",))
+    def answered(self, events: DataFrame) -> DataFrame:
+        """Features of the events that the state has answered."""
+        ids = ["event_id", "account_id", "ts", "channel"]
+        base = events.selectExpr(*ids, *flat_of_sums(self.channels, WINDOW_DAYS))
+        return base.selectExpr(*ids, *flat_columns(self.channels))
+
+    def refresh(self, events: DataFrame, batch_id: int, settle=settle) -> DataFrame:
+        """Features of events from the history table, which holds them already."""
+        spark = events.sparkSession
         span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
         oldest = F.lit(span["lo"]) - days(max(WINDOW_DAYS))
         history = spark.read.parquet(self.path("history")).where(
@@ -96,19 +112,27 @@ class TransactionJob:
             if not bad.isEmpty():
                 append_batch(bad, self.path("quarantine"), batch_id)
             batch = batch.where("payload IS NULL").drop("payload")
-        batch = settle(self.unseen(batch, batch_id))
+        if self.parts is not None:
+            batch = merged(batch, len(self.channels) * len(WINDOW_DAYS) * len(BASIC))
+        held = batch.where("sums IS NOT NULL")
+        late = settle(self.unseen(batch.where("sums IS NULL").drop("sums", "state_own"), batch_id))
+        batch = settle(held.drop("sums", "state_own").unionByName(late))
         if batch.isEmpty():
             return
-        feats = self.refresh(batch, batch_id, settle)
+        append_batch(batch.withColumn("event_date", F.to_date("ts")), self.path("history"), batch_id, ("event_date",))
+        # A projection of the settled batch: cheap enough to be read twice.
+        feats = self.answered(held)
+        if not late.isEmpty():
+            old = self.refresh(late, batch_id, settle).join(late.select("event_id", "ts", "channel"), "event_id")
+            feats = feats.unionByName(settle(old))
+        newest = batch.groupBy("account_id").agg(F.max(F.struct("ts", "event_id")).alias("written_at"))
+        newest = newest.select("written_at", F.col("written_at.event_id").alias("event_id"))
         if self.cross_bank is not None:
             touched = batch.select("account_id").distinct()
             signals = settle(self.cross_bank(spark).join(touched, "account_id", "left_semi"))
             feats = merge_cross_bank(feats, broadcast_when_small(signals, BATCH_ACCOUNTS))
-        meta = batch.select("event_id", "ts", "channel")
-        feats = settle(feats.join(meta, "event_id"))
-        append_batch(L.latest_per_key(
-            feats.drop("channel").withColumn("written_at", F.struct("ts", "event_id")), ["account_id"], "written_at",
-        ), self.path("online"), batch_id)
+        upsert_buckets(settle(feats.drop("channel").join(newest, "event_id")), self.path("online"), "account_id",
+                       "written_at", self.buckets)
         scored = L.gate(self.scorer(feats), self.switch_log(spark), self.threshold)
         action_id = L.stable_id(F.col("account_id"), F.col("event_id"))
         held = F.col("action") == L.AUTO_HOLD
@@ -126,8 +150,17 @@ class TransactionJob:
         append_batch(L.record_actions(holds, self.model_version, self.sla_hours), self.path("actions"), batch_id)
 
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = True):
-        w = events.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
-        return (w.trigger(availableNow=True) if available_now else w).start()
+        rows = with_sums(events, self.channels, WINDOW_DAYS, self.late_days, self.ttl_days, self.parts)
+        w = rows.writeStream.foreachBatch(self.handle).option("checkpointLocation", checkpoint)
+        # State that expires by the clock asks for another batch for ever; a run over what
+        # is there now must end, and expiry can wait for the next batch with data.
+        conf, name = events.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+        before = conf.get(name, None)
+        conf.set(name, "false")
+        try:
+            return (w.trigger(availableNow=True) if available_now else w).start()
+        finally:
+            conf.set(name, before) if before is not None else conf.unset(name)
 
 
 def sweep_expired(actions: DataFrame, overrides: DataFrame, now, path: str) -> DataFrame:
