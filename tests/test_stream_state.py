@@ -145,3 +145,29 @@ def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
     stale = spark.createDataFrame([("7", 9, 0)], "account_id string, x int, written_at int")
     T.upsert_buckets(stale, path, "account_id", "written_at", 16)  # older than what is held
     assert {r.account_id: r.x for r in T.online_features(spark, path).collect()} == rows
+
+
+def test_deadlines_expire_once(spark, tmp_path):
+    """Over several runs of one checkpoint: overrides first or last, delayed and repeated rows, a restart."""
+    from tillwatch.streaming.sweep import start_sweep
+
+    hours = lambda h: T0 + timedelta(hours=h)
+    schemas = {"actions": "action_id string, expires_at timestamp", "overrides": "action_id string", "clock": "now timestamp"}
+
+    def sweep(**rows):
+        for name, schema in schemas.items():
+            spark.createDataFrame(rows.get(name, []), schema).write.mode("append").parquet(str(tmp_path / name))
+        streams = {n: spark.readStream.schema(s).parquet(str(tmp_path / n)) for n, s in schemas.items()}
+        start_sweep(**streams, path=str(tmp_path / "out"), checkpoint=str(tmp_path / "ckpt")).awaitTermination()
+        if not (tmp_path / "out").exists():
+            return []
+        return sorted(r.action_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = [(f"a{i}", hours(48)) for i in range(30)] + [("soon", hours(6)), ("past", hours(-1))]
+    assert sweep(actions=first, overrides=[("a0",), ("a1",), ("early",)], clock=[(hours(0),)]) == ["past"]
+    assert sweep(clock=[(hours(6),)]) == ["past"]  # due only after the deadline
+    assert sweep(overrides=[("a2",)], clock=[(hours(7),)]) == ["past", "soon"]
+    want = sorted(["past", "soon", *(f"a{i}" for i in range(3, 30))])
+    assert sweep(actions=[("early", hours(1))], overrides=[("a2",)], clock=[(hours(49),)]) == want
+    assert sweep(actions=[("a5", hours(48)), ("late", hours(3))], overrides=[("a6",)], clock=[(hours(90),)]) == sorted([*want, "late"])
+    assert sweep() == sorted([*want, "late"])

@@ -5,14 +5,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from tillwatch.model import CHANNELS
-from tillwatch.plans.decision_queries import LEDGER, switch_log
+from tillwatch.plans.decision_queries import LEDGER, actions, overrides, switch_log
 from tillwatch.plans.quality_queries import band_sql
-from tillwatch.plans.registry import query
-from tillwatch.plans.views import ACC, TX, accounts, as_transactions, table, transactions
+from tillwatch.plans.registry import ORACLES, query
+from tillwatch.plans.views import ACC, AS_OF, TX, accounts, as_transactions, table, transactions
 from tillwatch.session import durable_folder
 from tillwatch.sources import transactions as S
 from tillwatch.sources.tables import online_features
 from tillwatch.streaming.accounts import start_scoring
+from tillwatch.streaming.sweep import start_sweep
 from tillwatch.streaming.transactions import TransactionJob
 
 _USED = list(CHANNELS)
@@ -107,3 +108,17 @@ def stream_score(spark, sf):
     q = start_scoring(rows, ["age", "tenure", "absent"], scorer, f"{root}/out", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@query("sla_sweep", ORACLES["sla_expiry"])
+def sla_sweep(spark, sf):
+    """The expiries of ``sla_expiry``, emitted by the timers of a stream over the same ledgers."""
+    root = _scratch(spark, "sweep")
+    tables = {"actions": actions(spark, sf).select("action_id", "expires_at"), "overrides": overrides(spark, sf).select("action_id"),
+              "clock": spark.sql(f"SELECT TIMESTAMP '{AS_OF}' AS now")}
+    streams = {}
+    for name, rows in tables.items():
+        rows.write.parquet(f"{root}/{name}")
+        streams[name] = spark.readStream.schema(spark.read.parquet(f"{root}/{name}").schema).parquet(f"{root}/{name}")
+    start_sweep(**streams, path=f"{root}/out", checkpoint=f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("timestamp", "batch_id")

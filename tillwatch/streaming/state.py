@@ -73,7 +73,7 @@ class AccountWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows), ignore_index=True)
-        if key[0] is None:
+        if not key[0]:
             yield self._out(rows, np.arange(len(rows)), None)
             return
         new = np.zeros(len(rows), _EVENT)
@@ -174,7 +174,9 @@ def with_sums(events: DataFrame, channels: list[str] = CHANNELS, windows: list[i
         "coalesce(CAST(amount * 100 AS BIGINT), 0L) AS state_cents", "state_parts").selectExpr(
         "*", "pmod(state_id, state_parts) AS state_home", "explode(sequence(0, state_parts - 1)) AS state_part").selectExpr(
         "*", "state_home = state_part AS state_own").drop("state_home", "state_parts")
-    work = work.withColumn("state_ts", F.coalesce("state_ts", F.lit(0))).withColumn("state_key", F.when(F.col("ts").isNotNull(), F.col("state_key")))
+    # Rows without account or time share a key of their own; null is no key for state.
+    known = F.when(F.col("ts").isNotNull(), F.col("state_key").cast("string"))
+    work = work.withColumn("state_ts", F.coalesce("state_ts", F.lit(0))).withColumn("state_key", F.coalesce(known, F.lit("")))
     kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "state_own boolean", "sums array<bigint>"])
     out = work.groupBy("state_key", "state_part").transformWithStateInPandas(
