@@ -43,7 +43,7 @@ def _settled(spark, sf):
 
 @query("gbt_oof")
 def gbt_oof(spark, sf):
-    return L.out_of_fold(_settled(spark, sf), L.gbt_learner(VECTOR_COLS, 64, rounds=5, depth=3))
+    return L.out_of_fold(_settled(spark, sf), L.gbt_learner(VECTOR_COLS, 64))
 
 
 @query("forest_oof")
@@ -53,13 +53,13 @@ def forest_oof(spark, sf):
 
 @query("focal_boost")
 def focal_boost(spark, sf):
-    learner = lambda s: L.focal_learner(VECTOR_COLS, 12, rounds=6, depth=3, stability_runs=3, seed=s)
-    return L.seed_averaged(_settled(spark, sf), learner, (42, 43, 44), k=2)
+    learner = lambda s: L.focal_learner(VECTOR_COLS, 64, stability_runs=3, seed=s)
+    return L.seed_averaged(_settled(spark, sf), learner, (42, 43, 44))
 
 
 @query("nnpu_boost")
 def nnpu_boost(spark, sf):
-    return L.out_of_fold(_settled(spark, sf), L.nnpu_learner(VECTOR_COLS, 64, rounds=6, depth=3, prior=0.1))
+    return L.out_of_fold(_settled(spark, sf), L.nnpu_learner(VECTOR_COLS, 64, prior=0.1))
 
 
 @query("prototype_oof")
