@@ -565,3 +565,44 @@ def test_steps_cover_all_rows(step):
     batch = pa.RecordBatch.from_pydict({"k": list(range(5)), "text": ["a" * 10, None, "", "b" * 3, "c"]})
     got = [r for b in common.steps([batch], limit=step) for r in b.to_pylist()]
     assert got == batch.to_pylist()
+
+
+# --- inner bounds and hot groups -------------------------------------------------------------
+
+def test_language_features_do_not_depend_on_segments(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab É1 .\n日😀ßİ", k=rng.randrange(0, 40))) for _ in range(200)]
+    whole = [sorted(np.concatenate([np.zeros(0, np.int64), *langid.features(t)]).tolist()) for t in texts]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "_SEGMENT", size)
+        assert [sorted(np.concatenate([np.zeros(0, np.int64), *langid.features(t)]).tolist()) for t in texts] == whole
+
+
+def test_a_hot_payload_is_split(spark):
+    """Two thirds of the pages are one error page: both joins split it."""
+    pages = spark.range(6000).selectExpr(
+        "id AS page_id", "concat('http://h/', id) AS url",
+        "IF(id % 3 = 0, concat('<p>', sha2(CAST(id AS STRING), 512), '</p>'), repeat('not found ', 40)) AS html").repartition(8)
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        arc, out = new_folder(spark, "arc"), new_folder(spark, "warc")
+        warc.write_arc(pages, arc)
+        records = warc.arc_facts(spark, arc, blocks=True)
+        groups = warc.settle(records.groupBy("payload").agg({"id": "max"}).selectExpr(
+            "payload", "`max(id)` AS first_id", "'u' AS first_url", "'d' AS first_date"))
+        met = warc.with_first(records, groups, 0)
+        met.collect()
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+        warc.convert(spark, arc, out)
+        report = warc.page_report(spark, out)
+        rows = report.collect()
+        assert "skew=true" in report._jdf.queryExecution().executedPlan().toString()
+        assert sum(r.record_type == "revisit" for r in rows) == 3999 and len(rows) == 6000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

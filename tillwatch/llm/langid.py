@@ -27,7 +27,8 @@ BITS = 16
 UNKNOWN = "und"
 #: Labelled documents per language that the classifier is fitted on, about.
 SAMPLE_PER_LANGUAGE = 4_000
-SHARDS = 4
+#: Sampled documents a shard learns from, about, and the fewest shards.
+SHARD_ROWS, SHARDS = 4_000, 4
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 _SCALE = 8.0
@@ -40,41 +41,45 @@ for _c in range(1 << 16):
     _letter[_c] = chr(_c).isalpha()
 
 
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """Lower-cased letters with single spaces for everything between them, and at both ends."""
+def _letters(codes: np.ndarray, after_space: bool) -> np.ndarray:
+    """Lower-cased letters with a single space for everything between them; none first if one came before."""
     small = codes < 1 << 16
     is_letter = _letter[np.where(small, codes, 0)]
     if not small.all():
         for c in np.unique(codes[~small]):
             if chr(int(c)).isalpha():
                 is_letter[codes == c] = True
-    out = np.where(is_letter, codes, 32)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    keep[:1] = True
-    out = out[keep]
-    if out[0] != 32:
-        out = np.concatenate([[32], out])
-    if out[-1] != 32:
-        out = np.append(out, 32)
-    return out.astype(np.uint64)
+    keep[:1] |= not after_space
+    return np.where(is_letter, codes, 32)[keep].astype(np.uint64)
 
 
 def features(text: str | None):
-    """Arrays of feature numbers of a text, segment by segment; none without a letter."""
-    if not text:
+    """Arrays of feature numbers of a text, segment by segment; none without a letter.
+
+    The runs of a text begin and end with a space. The last two code points of a
+    segment are carried over, so segments give the runs of the whole text.
+    """
+    if not has_letter(text):
         return
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    tail, space = np.zeros(0, np.uint64), np.array([32], np.uint64)
     for at in range(0, len(codes), _SEGMENT):
-        x = _letters(codes[max(at - 2, 0):at + _SEGMENT])
-        if len(x) < 3:
-            continue
+        part = [tail] if len(tail) else [space]
+        part.append(_letters(codes[at:at + _SEGMENT], part[0][-1] == 32))
+        x = np.concatenate(part)
+        if at + _SEGMENT >= len(codes) and x[-1] != 32:
+            x = np.append(x, space)
+        parts = []
         with np.errstate(over="ignore"):
-            h, parts = x, []
             for n in ORDERS:
-                if n > 1:
-                    h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[n - 1:]
+                run = x[max(len(tail) - n + 1, 0):]
+                h = run[:max(len(run) - n + 1, 0)]
+                for k in range(1, n):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + run[k:len(run) - n + 1 + k]
                 parts.append(mix(h + np.uint64(n << 40)) >> np.uint64(64 - BITS))
+        tail = x[-(max(ORDERS) - 1):]
         yield np.concatenate(parts).astype(np.int64)
 
 
@@ -186,6 +191,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     sampled = rows.where(F.pmod("h", F.lit(1_000_003)) < F.element_at(rate, F.col("lang")) * 1_000_003)
     number = {k: i for i, k in enumerate(languages)}
 
+    shards_n = max(SHARDS, round(sum(min(n, sample_per_language) for n in sizes.values()) / SHARD_ROWS))
     with Scratch(spark) as scratch:
         sampled = scratch.settle(sampled.withColumn("hold", F.pmod(F.shiftright("h", 20), F.lit(_HOLD)) == 0))
 
@@ -204,7 +210,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 yield pa.RecordBatch.from_pydict({"i": pa.array([-1], pa.int32()), "c": pa.array([0], pa.int32()),
                                                   "w": pa.array([1.0]), "one": pa.array([1], pa.int32())})
 
-        parts = (sampled.where("NOT hold").repartition(SHARDS, F.pmod(F.shiftright("h", 24), F.lit(SHARDS)))
+        parts = (sampled.where("NOT hold").repartition(shards_n, F.pmod(F.shiftright("h", 24), F.lit(shards_n)))
                  .sortWithinPartitions("h").select("text", "lang")
                  .mapInArrow(learn, "i int, c int, w double, one int").groupBy("i", "c").agg(F.sum("w").alias("w")).collect())
         shards = next((r["w"] for r in parts if r["i"] < 0), 1.0)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.llm.common import steps
+from tillwatch.session import Scratch, settle
 
 #: Fixed values of the formats.
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length",
@@ -263,18 +264,23 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, revisit_from
     The response of a group is the record with the largest page id (then record
     id; records without a page id come last). An exact repeat of that page row has
     the same record id and is a response too. Only facts are grouped, combined
-    before the shuffle; the join with the groups of two or more records is a left
-    join, whose side of records Spark splits where one payload is hot.
+    before the shuffle; the groups of two or more records are written before the
+    left join, as beside a plain table Spark can split the records of a hot payload.
     """
     facts = arc_facts(spark, arc_folder, blocks=False).where(F.col("size") >= revisit_from)
     place = "named_struct('known', page_id IS NOT NULL, 'page', page_id, 'id', id, 'url', url, 'date', date)"
     groups = facts.groupBy("payload").agg(F.expr(f"max({place})").alias("first"), F.count(F.lit(1)).alias("n")).where(
         "n > 1").selectExpr("payload", "first.id AS first_id", "first.url AS first_url", "first.date AS first_date")
     whole = arc_facts(spark, arc_folder, blocks=True)
-    met = whole.join(groups, "payload", "left").selectExpr(
+    with Scratch(spark) as scratch:
+        write_rows(warc_rows(with_first(whole, scratch.settle(groups), revisit_from)), warc_folder, WARC_BETWEEN)
+
+
+def with_first(records: DataFrame, groups: DataFrame, revisit_from: int) -> DataFrame:
+    """Records and, for all but the response of a group, what the revisit refers to."""
+    return records.join(groups, "payload", "left").selectExpr(
         "page_id", "url", "date", "mime", "id", "payload", "size", "block",
         *[f"IF(size >= {revisit_from} AND id <> first_id, {c}, NULL) AS {c}" for c in ("first_id", "first_url", "first_date")])
-    write_rows(warc_rows(met), warc_folder, WARC_BETWEEN)
 
 
 # --- reading WARC -------------------------------------------------------------------
@@ -329,11 +335,11 @@ def page_report(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) per record of the archives.
 
     Revisits get size and page of the response they refer to. The join goes by
-    record id; a response that a third of all records refer to is one row on its
-    side and the skewed side is split.
+    record id; the responses are written first, so that Spark can split the many
+    records that refer to one of them. An empty folder gives no rows.
     """
     records = read_warc(spark, folder)
-    held = records.where("record_type = 'response'").groupBy("id").agg(
-        F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("held_bytes")).withColumnRenamed("id", "refers")
+    held = settle(records.where("record_type = 'response'").groupBy("id").agg(
+        F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("held_bytes")).withColumnRenamed("id", "refers"))
     return records.join(held, "refers", "left").selectExpr(
         "page_id", "coalesce(payload_bytes, held_bytes) AS payload_bytes", "payload_digest", "record_type", "refers_to")
