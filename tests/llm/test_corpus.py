@@ -606,3 +606,15 @@ def test_a_hot_payload_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_unknown_scripts_leave_at_the_language_stage(spark, sf):
+    """Texts in scripts no learnt language has score like a guess among all languages and go; known ones stay."""
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = [(90_000, "Это совсем другой язык и другие буквы"), (90_001, "ελληνικά γράμματα μόνο"), (90_002, "12 .. 77"),
+            (90_003, None)]
+    planted = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in junk],
+                                    "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.language_id(spark, whole.unionByName(planted.select(*whole.columns)), sf)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not ids & {i for i, _ in junk} and len(ids) >= 0.99 * whole.count()

@@ -33,6 +33,8 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 _SCALE = 8.0
 _SEGMENT = 1 << 20
+#: Share of the training documents that makes a feature common.
+COMMON = 1e-3
 #: Every fifth sampled document calibrates.
 _HOLD = 5
 
@@ -128,6 +130,18 @@ class Model:
     languages: list[str] = field(default_factory=list)
     weights: np.ndarray | None = None  # features x languages, IDF included
     temperature: float = 1.0
+    common: np.ndarray | None = None  # features in ``COMMON`` of the training documents or more
+
+    def familiar(self, text: str | None) -> float:
+        """Share of a text's character runs that are common in the training documents.
+
+        Low for a script or language none of them has, whose best score says nothing.
+        """
+        met = n = 0
+        for f in features(text):
+            met += np.count_nonzero(self.common[f])
+            n += len(f)
+        return met / n if n else 0.0
 
     def logits(self, text: str | None) -> np.ndarray | None:
         total, n = np.zeros(len(self.languages)), 0
@@ -218,7 +232,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         for r in parts:
             if r["i"] >= 0:
                 weights[r["i"], r["c"]] = r["w"] / shards
-        model = Model(languages, (weights * idf[:, None]).astype(np.float32))
+        model = Model(languages, (weights * idf[:, None]).astype(np.float32), common=counts >= max(COMMON * total, 1))
 
         def score(batches):
             for batch in steps(batches):
@@ -268,9 +282,25 @@ def identify(docs: DataFrame) -> DataFrame:
         "doc_id", f"{held_out()} AS held_out", "p.lang AS lang_pred", "p.score AS score")
 
 
-def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a calibrated score of ``least`` or more."""
+def accepted(docs: DataFrame, least: float = 0.4, familiar: float = 0.5, wanted: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with a calibrated score of ``least`` or more.
+
+    At least ``familiar`` of a text's character runs must be common in the training
+    documents, else its language is none of theirs. ``wanted`` names the languages
+    that stay (all, if None). Null texts, texts without a letter and, where nothing
+    is labelled, all texts go; an empty table stays empty.
+    """
     model = train(docs.select("doc_id", "text", "lang").where(f"doc_id IS NOT NULL AND NOT {held_out()}"))
-    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    return (row.withColumn("_p", predicted(model, "_text"))
-            .where((F.col("_p.lang") != UNKNOWN) & (F.col("_p.score") >= least)).select("_row.*"))
+
+    @F.pandas_udf("boolean")
+    def stays(texts):
+        import pandas as pd
+
+        def one(text):
+            lang, score = model.predict(text)
+            return (lang != UNKNOWN and score >= least and (wanted is None or lang in wanted)
+                    and model.familiar(text) >= familiar)
+
+        return pd.Series([one(t) for t in texts], dtype=bool)
+
+    return docs.where(stays(F.col("text")))
