@@ -14,7 +14,7 @@ from tillwatch.session import Scratch, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a calibrated score of 0.4 or more."""
+    """Documents in a language the labelled ones know: half their character runs common there, score 0.4 or more."""
     return langid.accepted(docs)
 
 
