@@ -34,7 +34,7 @@ _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
 #: Remembered chunks and words of a worker; when full, they are forgotten and met anew.
-CHUNKS, WORDS = 600_000, 600_000
+CHUNKS, WORDS = 300_000, 300_000
 
 
 def _byte_chars() -> list[str]:

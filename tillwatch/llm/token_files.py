@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from tillwatch.llm.bpe import _PATTERN, WORDS, WordBpe, _byte_chars
+from tillwatch.llm.bpe import _PATTERN, WordBpe, _byte_chars
 from tillwatch.llm.common import even_parts, steps
 
 #: Input bytes per shard beyond which more shards than shuffle partitions are made.
 SHARD_BYTES = 64 << 20
+#: Words a worker remembers with their ids.
+WORDS = 600_000
 
 
 #: The word pattern over ASCII text in lower case, for the standard library's faster matcher.
