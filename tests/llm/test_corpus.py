@@ -369,6 +369,26 @@ def test_long_paragraphs_repeat_by_themselves(spark):
     assert (third, fourth) == (f"e\n{short}\nf", f"g\n{short}\nh")
 
 
+def test_selected_positions_thin_out_windows_and_miss_none(spark):
+    rng = random.Random(11)
+    rows = [[f"x{rng.randint(0, 400)}" for _ in range(size)] for size in (0, 1, 2, 3, 4, 500, 3000)]
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, lines array<string>").selectExpr(
+        "id", "transform(lines, x -> xxhash64(x)) AS h", "transform(lines, x -> 1) AS n")
+    for run, gram in ((3, 2), (3, 1), (6, 2)):
+        got = docs.selectExpr("id", "h", f"{line_dedup.selected(run, gram)} AS s").collect()
+        grams = {r.id: [tuple(r.h[j:j + gram]) for j in range(len(r.h) - gram + 1)] for r in got}
+        held = {}
+        for r in got:
+            windows = len(r.h) - run + 1
+            covered = [p for s in r.s for p in range(s.lo, s.hi + 1)]
+            assert covered == list(range(1, windows + 1))  # every window chose one position
+            for s in r.s:
+                assert s.hi <= s.m <= s.lo + run - gram  # inside all windows that chose it
+                assert held.setdefault(grams[r.id][s.m - 1], s.mark) == s.mark
+            if windows > 400:  # of random lines about two in (grams of a window + 1) positions are chosen
+                assert len(r.s) < windows * (2 / (run - gram + 2) + 0.08)
+
+
 def test_line_dedup_has_no_python(docs):
     plan = line_dedup.report(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

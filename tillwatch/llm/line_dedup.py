@@ -7,18 +7,25 @@ lines that hold ``WORDS`` words together and contain no smaller such window: a
 long paragraph that many documents share is a repeat by itself.
 
 1. Fingerprints: the hash of every ``GRAM`` lines; of those inside a window the
-   smallest is selected (a window of fewer lines is its own gram). The choice
-   depends on the window alone, so two equal runs select the same fingerprint:
-   none is missed.
+   smallest is selected (a window of fewer lines is its own gram). Neighbouring
+   windows mostly select the same one, so a document keeps one row per selected
+   position, with the first and last window that chose it. The choice depends on
+   the window alone, so two equal runs select the same fingerprint: none is missed.
 2. Fingerprints that occur at one position only are dropped (counted, combined
-   before the shuffle); the others' positions are joined.
-3. Each joined position is extended both ways: all windows around it are
-   compared with the first occurrence of the same window. The union of windows
-   that occurred before is every repeated run of three lines or more in full length.
-   Of a run of exactly two lines where one has ``WORDS`` words or more, only that
-   line is a window; the other line stays. Positions meet the
+   before the shuffle); the positions of the others are joined and go back to
+   their documents. Documents without any leave here.
+3. Each joined position is extended both ways along its document's line hashes,
+   as far as the windows that chose it reach; what lies further is reached from the
+   next selected position, never more than a window away. A window that occurred
+   before is a hit, and hits that overlap make up a repeated run of three lines or
+   more in full length. Of a run of exactly two lines where one has ``WORDS`` words or
+   more, only that line is a window; the other line stays. Positions meet the
    first one only, never each other, so a passage that many documents share
    costs one row per occurrence.
+
+An empty table gives an empty result. Nulls, repeated rows and blank texts: see
+``without_repeats``. A very long text is one row with an array entry per line; all
+work on it grows with its number of lines. Extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.session import settle
+from tillwatch.session import Scratch, settle
 
 RUN = 3
 GRAM = 2
@@ -35,57 +42,75 @@ _BLANK = "trim(translate(x, '\\t\\r', '  ')) = ''"
 _WORD = "[^\\\\x09-\\\\x0D\\\\x20]+"
 
 
+def _once(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` over ``name``, a value worked out once per row and not once per use."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _words(first: int, lines: int) -> str:
-    """SQL over ``l`` and ``p``: words of some lines of a window that starts at line p (1-based)."""
-    return " + ".join(f"l[p + {first + i - 1}].n" for i in range(lines))
+    """SQL over ``n`` and ``p``: words of some lines of a window that starts at line p (1-based)."""
+    return " + ".join(f"n[p + {first + i - 1}]" for i in range(lines))
 
 
-def windows(run: int = RUN, gram: int = GRAM, words: int = WORDS) -> str:
-    """SQL over ``l``, the lines as (i, h, k, n): one struct per window.
+def selected(run: int = RUN, gram: int = GRAM, words: int = WORDS) -> str:
+    """SQL over ``h`` and ``n``, hashes and word counts of the lines: one struct per selected position.
 
-    ``p`` is the window's first line, ``mark`` its fingerprint, the smallest gram
-    hash, ``m`` where that gram begins, ``w1`` and ``w2`` hashes of the whole
-    window and ``numbers`` its line numbers.
+    ``mark`` is the fingerprint, ``m`` the line where it begins (1-based), ``r`` the
+    lines of the windows that chose it, ``lo`` and ``hi`` the first and last of their starts.
     """
     kinds = []
-    for r in range(1, run + 1):
+    for r in range(1, run):
         k = min(gram, r)
-        grams = ", ".join(f"xxhash64(slice(l.h, p + {j}, {k}))" for j in range(r - k + 1))
-        starts = f"sequence(1, size(l) - {r - 1})"
-        if r < run:
-            least = f"{_words(0, r)} >= {words}"
-            if r > 1:
-                least += f" AND {_words(0, r - 1)} < {words} AND {_words(1, r - 1)} < {words}"
-            starts = f"filter({starts}, p -> {least})"
-        kinds.append(
-            f"IF(size(l) < {r}, array(), transform({starts}, p -> transform(array(array({grams})), g -> named_struct("
-            f"'p', p, 'mark', array_min(g), 'm', p + array_position(g, array_min(g)), "
-            f"'w1', xxhash64(slice(l.h, p, {r})), 'w2', xxhash64(slice(l.k, p, {r})), "
-            f"'numbers', transform(slice(l, p, {r}), x -> x.i)))[0]))")
+        least = f"{_words(0, r)} >= {words}"
+        if r > 1:
+            least += f" AND {_words(0, r - 1)} < {words} AND {_words(1, r - 1)} < {words}"
+        grams = ", ".join(f"xxhash64(slice(h, p + {j}, {k}))" for j in range(r - k + 1))
+        found = _once("g", f"array({grams})", (
+            "named_struct('mark', array_min(g), 'm', p - 1 + array_position(g, array_min(g)), "
+            f"'r', {r}, 'lo', p, 'hi', p)"))
+        kinds.append(f"IF(size(h) < {r}, array(), transform(filter(sequence(1, size(h) - {r - 1}), p -> {least}), "
+                     f"p -> {found}))")
+    part = f"slice(g, p, {run - gram + 1})"
+    window = f"named_struct('mark', array_min({part}), 'm', p - 1 + array_position({part}, array_min({part})))"
+    position = (f"named_struct('mark', w[p - 1].mark, 'm', w[p - 1].m, 'r', {run}, 'lo', p, "
+                "'hi', coalesce(get(s, x + 1) - 1, size(w)))")
+    chosen = _once("g", f"transform(sequence(1, size(h) - {gram - 1}), j -> xxhash64(slice(h, j, {gram})))", _once(
+        "w", f"transform(sequence(1, size(g) - {run - gram}), p -> {window})", _once(
+            "s", "filter(sequence(1, size(w)), p -> p = 1 OR w[p - 1].m <> get(w, p - 2).m)",
+            f"transform(s, (p, x) -> {position})")))
+    kinds.append(f"IF(size(h) < {run}, array(), {chosen})")
     return f"concat({', '.join(kinds)})"
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_hash, gone): numbers (0-based) of the lines to delete, per document with any."""
+    """(doc_id, text_hash, gone): numbers (0-based) of the lines to delete, per document with any; written."""
     # Two hashes of a line: windows agree only if both do.
-    lines = docs.where("text IS NOT NULL").selectExpr(
+    split = docs.where("text IS NOT NULL").selectExpr(
         "doc_id", "xxhash64(text) AS text_hash",
         "filter(transform(split(text, '\n', -1), (x, i) -> named_struct('i', i, 'h', xxhash64(x), 'k', xxhash64(x, 1), "
         f"'n', regexp_count(x, '{_WORD}'), 'blank', {_BLANK})), x -> NOT x.blank) AS l")
-    marks = settle(lines.selectExpr("doc_id", "text_hash", f"inline({windows(run, gram, words)})"))
     place = "named_struct('d', doc_id, 't', text_hash, 'p', {})"
-    # Both small sides are written before they are joined: beside a plain table Spark
-    # can split the other side's hot key, beside an aggregate it can not.
-    shared = settle(marks.groupBy("mark").agg(
-        F.expr(f"min({place.format('m')})").alias("a"), F.expr(f"max({place.format('m')})").alias("b")).where(
-        "a <> b").select("mark"))
-    joined = settle(marks.join(shared, "mark").drop("mark", "m"))
-    first = settle(joined.groupBy("w1", "w2").agg(
-        F.expr(f"min({place.format('p')})").alias("first"), F.expr(f"max({place.format('p')})").alias("last")).where(
-        "first <> last").drop("last"))
-    later = joined.join(first, ["w1", "w2"]).where(f"{place.format('p')} <> first")
-    return later.select("doc_id", "text_hash", F.explode("numbers").alias("i")).groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set("i")).alias("gone"))
+    with Scratch(docs.sparkSession) as scratch:
+        lines = scratch.settle(split.selectExpr("doc_id", "text_hash", "l.i AS i", "l.h AS h", "l.k AS k", "l.n AS n"))
+        positions = scratch.settle(lines.selectExpr("doc_id", "text_hash", f"inline({selected(run, gram, words)})"))
+        # Small sides are written before they are joined: beside a plain table Spark
+        # can split the other side's hot key, beside an aggregate it can not.
+        shared = scratch.settle(positions.groupBy("mark").agg(
+            F.expr(f"min({place.format('m')})").alias("a"), F.expr(f"max({place.format('m')})").alias("b")).where(
+            "a <> b").select("mark"))
+        met = scratch.settle(positions.join(shared, "mark").groupBy("doc_id", "text_hash").agg(
+            F.collect_set(F.struct("r", "lo", "hi")).alias("met")))
+        extended = scratch.settle(lines.alias("l").join(
+            met.alias("m"), F.expr("l.doc_id <=> m.doc_id AND l.text_hash = m.text_hash")).selectExpr(
+            "l.doc_id", "l.text_hash", "inline(flatten(transform(met, x -> transform(sequence(x.lo, x.hi), "
+            "p -> named_struct('p', p, 'w1', xxhash64(slice(h, p, x.r)), 'w2', xxhash64(slice(k, p, x.r)), "
+            "'numbers', slice(i, p, x.r))))))"))
+        first = scratch.settle(extended.groupBy("w1", "w2").agg(
+            F.expr(f"min({place.format('p')})").alias("first"), F.expr(f"max({place.format('p')})").alias("last")).where(
+            "first <> last").drop("last"))
+        later = extended.join(first, ["w1", "w2"]).where(f"{place.format('p')} <> first")
+        return settle(later.select("doc_id", "text_hash", F.explode("numbers").alias("i")).groupBy(
+            "doc_id", "text_hash").agg(F.sort_array(F.collect_set("i")).alias("gone")))
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: int = WORDS) -> DataFrame:
