@@ -123,7 +123,8 @@ def without_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, words: in
     gone = repeated_lines(docs, run, gram, words).selectExpr("doc_id AS _d", "text_hash AS _t", "gone AS _g")
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"),
                        F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"))
-    met = rows.join(gone, rows["_doc"].eqNullSafe(gone["_d"]) & (rows["_hash"] == gone["_t"]), "left")
+    # One plan at every size: what is deleted grows with the documents.
+    met = rows.join(gone.hint("merge"), rows["_doc"].eqNullSafe(gone["_d"]) & (rows["_hash"] == gone["_t"]), "left")
     return met.selectExpr(
         "_row", "_text",
         "IF(_text IS NULL, 0, length(_text) - length(replace(_text, '\n', '')) + 1) AS _lines",
