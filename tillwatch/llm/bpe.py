@@ -105,6 +105,10 @@ class WordBpe:
         for c, ps in parts.items():
             self.chunks[c] = b"".join([words[p] if p.__class__ is str else int(p).to_bytes(4, "little") for p in ps])
 
+    def forget(self) -> None:
+        """Drop the remembered words and chunks; the vocabulary stays."""
+        self.words, self.chunks = {}, {}
+
     def merge_all(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian 32 bit) of each word, by the pair occurrence index."""
         sym: list[int] = []
@@ -190,7 +194,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def vocabulary(path: str) -> WordBpe:
-    """The vocabulary at a path, loaded once in each Python worker with what it has learnt."""
+    """The vocabulary at a path, loaded once in each Python worker; what it has learnt goes with the task."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
@@ -203,7 +207,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def make(batch):
         return {"key": batch.column(0), "ids": vocabulary(path).encode(batch.column(1).to_pylist())}
 
-    return in_arrow(docs.selectExpr(f"`{key}`", f"`{text}` AS text"), make, f"`{key}` {kind}, ids binary")
+    return in_arrow(docs.selectExpr(f"`{key}`", f"`{text}` AS text"), make, f"`{key}` {kind}, ids binary",
+                    done=lambda: vocabulary(path).forget())
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -224,4 +229,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_arrow(docs.select("doc_id", "text"), make,
-                    f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                    f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+                    done=lambda: vocabulary(path).forget())

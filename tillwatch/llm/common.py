@@ -38,16 +38,26 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def in_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
-    """Run ``make`` over bounded slices; it returns the columns of ``schema`` in order."""
+def in_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text",
+             done: Callable[[], None] | None = None) -> DataFrame:
+    """Run ``make`` over bounded slices; it returns the columns of ``schema`` in order.
+
+    ``done`` is called when a task ends: a Python worker lives on and serves other
+    stages, so what a task has remembered must go with it.
+    """
     arrow = arrow_schema(schema)
 
     def run(batches):
-        for batch in steps(batches, text):
-            cols = make(batch)
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)
-                 for c, f in zip(cols.values(), arrow, strict=True)], schema=arrow)
+        try:
+            for batch in steps(batches, text):
+                cols = make(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)
+                     for c, f in zip(cols.values(), arrow, strict=True)], schema=arrow)
+        finally:
+            if done:
+                done()
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
