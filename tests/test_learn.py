@@ -15,6 +15,7 @@ from tillwatch.learn.stack import calibrate, stack
 from tillwatch.learn.treeshap import leaves_of, shap_values
 from tillwatch.operators.clean import SchemaMismatch, align_schema, clean_matrix, to_long
 from tillwatch.operators.metrics import ranking_quality
+from tillwatch.operators import neighbours
 from tillwatch.operators.neighbours import mean_knn_distance
 from tillwatch.operators.prep import Engineered, QuantileMap, as_array, half_samples
 from tillwatch.operators.profiles import ecod_raw
@@ -127,6 +128,34 @@ def test_half_samples_are_halves(toy):
     assert got == {(b, y): n for b in (1, 2) for y, n in ((0, 135), (1, 15))}
 
 
+def test_least_distances_need_few_differences(monkeypatch):
+    """Bit for bit the distances of all pairs, of which few are computed by differences."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(300, 24)), rng.normal(size=(1100, 24))
+    b[700:] = b[:400]  # copies tie
+    want = np.sort(neighbours._distances(a, b), axis=1)
+    real, pairs = neighbours._distances, []
+    monkeypatch.setattr(neighbours, "_distances", lambda x, y: (pairs.append(len(x) * len(y)), real(x, y))[1])
+    assert np.array_equal(np.sort(neighbours.nearest_distances(a, b, 7), axis=1), want[:, :7]) and not pairs
+    assert np.array_equal(np.sort(neighbours.nearest_distances(a, b, 2000), axis=1), want)
+    far = np.sort(neighbours.nearest_distances(a + 1e9, b + 1e9, 7), axis=1)
+    assert np.array_equal(far, np.sort(real(a + 1e9, b + 1e9), axis=1)[:, :7])
+    a[3, 2], b[5, 1] = np.inf, np.nan
+    assert np.isfinite(neighbours.nearest_distances(a, b, 7)).all(1).sum() == 299
+
+
+def test_small_blocks_of_neighbours_equal_large_ones(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = settle(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 3)))],
+                                      "account_id long, vec array<double>"))
+    got = []
+    for at_once in (1, 32):
+        monkeypatch.setattr(neighbours, "BLOCKS_AT_ONCE", at_once)
+        rows = mean_knn_distance(df, df, 4, pivots=3, block_rows=6).collect()
+        got.append({r.account_id: r.peer_distance for r in rows})
+    assert got[0] == pytest.approx(got[1], rel=1e-12) and len(got[0]) == 90
+
+
 @pytest.mark.parametrize("block_rows", [8, 4096])
 def test_nearest_neighbours_equal_brute_force(spark, block_rows):
     rng = np.random.default_rng(5)

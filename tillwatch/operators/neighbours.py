@@ -6,8 +6,10 @@ if done naively. Following the published pivot-partitioned join (Lu et al., VLDB
 upper bound on its k-th distance from per-cell summaries, and it visits only
 cells that can still hold a neighbour. The answer is exact whatever the pivots.
 A cell's references are cut into blocks and its queries into chunks, so one task
-holds a bounded matrix even when one cell attracts a third of all rows; a block
-emits k distances per query, never its pairs.
+holds bounded rows even when one cell attracts a third of all rows; a block
+emits k distances per query, never its pairs. Inside a block a matrix product
+finds the few references that can be among the k nearest, whatever its rounding;
+only their distances are computed, by differences.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tillwatch.operators.profiles import batch_minmax
 from tillwatch.session import settle
 
 BLOCK_ROWS = 4096
+#: Blocks of ``block_rows`` that one task holds of either side; it compares ``_REFS`` rows of both at a time.
+BLOCKS_AT_ONCE = 32
 
 
 def euclidean(vec: Column, center: list[float]) -> Column:
@@ -55,6 +59,51 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_distances(a: np.ndarray, b: np.ndarray, k: int, rows: int = _REFS) -> np.ndarray:
+    """(rows of ``a`` x min(k, rows of ``b``)) least Euclidean distances, in no order; ``rows`` of either side at a time."""
+    m = min(k, len(b))
+    out = np.empty((len(a), m))
+    for s in range(0, len(a), rows):
+        x, best = a[s:s + rows], None
+        for t in range(0, len(b), rows):
+            d = _least(x, b[t:t + rows], m)
+            best = d if best is None else np.concatenate([best, d], 1)
+            if best.shape[1] > m:
+                best = np.partition(best, m - 1, axis=1)[:, :m]
+        out[s:s + rows] = best
+    return out
+
+
+def _least(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least distances per row of ``a`` (all, if ``b`` has fewer rows)."""
+    m = min(k, len(b))
+    with np.errstate(over="ignore", invalid="ignore"):
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        # Rounding of a square found through the product: under (width + 4) ulp of both norms, with room to spare.
+        slack = 16 * (a.shape[1] + 4) * np.finfo(float).eps * (na + nb.max())
+    if m == len(b) or not np.isfinite(slack).all():
+        d = _distances(a, b)
+        return np.partition(d, m - 1, axis=1)[:, :m]
+    square = a @ b.T
+    square *= -2.0
+    square += nb
+    square += na[:, None]
+    limit = np.partition(square, m - 1, axis=1)[:, m - 1] + slack
+    # Row by row in order; every row has at least m references within its limit.
+    i, j = np.nonzero(square <= limit[:, None])
+    if len(i) > square.size // 4:
+        return np.partition(_distances(a, b), m - 1, axis=1)[:, :m]
+    d, step = np.empty(len(i)), max(1, _CELLS // max(1, a.shape[1]))
+    for s in range(0, len(i), step):
+        d[s:s + step] = np.sqrt(((a[i[s:s + step]] - b[j[s:s + step]]) ** 2).sum(axis=1))
+    found = np.bincount(i, minlength=len(a))
+    if (found == m).all():
+        return d.reshape(-1, m)
+    order = np.lexsort((d, i))
+    starts = np.cumsum(found) - found
+    return d[order][starts[:, None] + np.arange(m)]
+
+
 def choose_pivots(refs: DataFrame, count: int, vec: str) -> np.ndarray:
     """A fixed number of reference rows in hash order."""
     rows = refs.select(vec).orderBy(F.md5(F.col(vec).cast("string"))).limit(count).collect()
@@ -105,10 +154,12 @@ def mean_knn_distance(queries: DataFrame, refs: DataFrame, k: int = 10, vec: str
 
     q = queries.select(F.col(key).alias("k"), F.col(vec).alias("v")).mapInPandas(
         visit, f"k {k_type}, v array<double>, cells array<int>")
-    visits = settle(q.select("k", "v", F.explode("cells").alias("cell")))
+    asked = settle(q)
+    visits = asked.select("k", "v", F.explode("cells").alias("cell"))
     loads = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = block_rows * BLOCKS_AT_ONCE
     plan = spark.createDataFrame(
-        [(c, -(-stats[c][0] // block_rows), -(-loads[c] // block_rows)) for c in cells if c in loads],
+        [(c, -(-stats[c][0] // held), -(-loads[c] // held)) for c in cells if c in loads],
         "cell int, blocks int, chunks int")
 
     def slot(name: str, *cols: str) -> Column:
@@ -126,10 +177,9 @@ def mean_knn_distance(queries: DataFrame, refs: DataFrame, k: int = 10, vec: str
     def nearest(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({"k": pd.Series([], dtype=lp["k"].dtype), "d": pd.Series([], dtype=float)})
-        d = _distances(np.array(lp["v"].tolist(), dtype=float), np.array(rp["v"].tolist(), dtype=float))
-        m = min(k, d.shape[1])
-        best = np.partition(d, m - 1, axis=1)[:, :m]
-        return pd.DataFrame({"k": np.repeat(lp["k"].to_numpy(), m), "d": best.ravel()})
+        best = nearest_distances(np.array(lp["v"].tolist(), dtype=float), np.array(rp["v"].tolist(), dtype=float),
+                                 k)
+        return pd.DataFrame({"k": np.repeat(lp["k"].to_numpy(), best.shape[1]), "d": best.ravel()})
 
     by = ["cell", "block", "chunk"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(nearest, f"k {k_type}, d double")
