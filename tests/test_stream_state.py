@@ -171,3 +171,48 @@ def test_deadlines_expire_once(spark, tmp_path):
     assert sweep(actions=[("early", hours(1))], overrides=[("a2",)], clock=[(hours(49),)]) == want
     assert sweep(actions=[("a5", hours(48)), ("late", hours(3))], overrides=[("a6",)], clock=[(hours(90),)]) == sorted([*want, "late"])
     assert sweep() == sorted([*want, "late"])
+
+
+def test_one_timer_serves_the_deadlines_of_a_slot():
+    """A processor on plain objects: many actions under one key of state, one timer, each expires once."""
+    import pandas as pd
+
+    from tillwatch.streaming.sweep import Deadlines
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        timers = set()
+        getValueState = staticmethod(lambda *_: Value())
+        registerTimer, deleteTimer = timers.add, timers.remove
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    p = Deadlines()
+    p.init(Handle)
+
+    def give(kind, **deadlines):
+        list(p.handleInputRows((3,), iter([pd.DataFrame({
+            "action_id": list(deadlines), "kind": kind, "deadline": list(deadlines.values())})]), None))
+
+    def fire(now):
+        Handle.timers.remove(min(Handle.timers))
+        return sorted(name for part in p.handleExpiredTimer((3,), Clock(now), None) for name in part["action_id"])
+
+    give("override", a0=None, early=None)
+    give("action", early=1.0, **{f"a{i}": 100.0 + i for i in range(50)})
+    assert Handle.timers == {101}
+    give("override", a1=None, a2=None)
+    give("action", a3=50.0)  # a repeated action does nothing
+    assert Handle.timers == {103}
+    assert fire(120) == sorted(f"a{i}" for i in range(3, 21)) and Handle.timers == {121}
+    assert fire(500) == sorted(f"a{i}" for i in range(21, 50)) and not Handle.timers

@@ -1,9 +1,12 @@
 """The SLA sweep as a stream: event-time timers expire actions nobody has overridden.
 
-Three streams meet per action: the actions, the overrides and a clock. An action
-sets a timer at its deadline, an override takes the timer away, and when the clock
-has passed the deadline the timer emits the system's override. Timers and what
-has been emitted are part of the checkpoint, so a restart emits nothing twice.
+Three streams meet: the actions, the overrides and a clock. Actions are dealt by
+hash over ``SLOTS`` keys of state, since a key costs far more to visit than an action.
+A slot's timer stands at the earliest deadline that is open in it; an override
+closes its action, and when the clock has passed the timer, it emits the system's
+override of every action due and moves to the next deadline. A batch reads and writes
+the slots it touches. Timers and what has been emitted are part of the checkpoint,
+so a restart emits nothing twice.
 
 Only clock rows carry an event time: they alone move the watermark, and no action
 or override, however delayed, is left out as late.
@@ -25,36 +28,66 @@ from tillwatch.streaming.state import STORE
 _OUT = "action_id string, investigator_id string, reason string, timestamp timestamp, override_type string"
 
 
-class Deadline(StatefulProcessor):
-    """One action: its deadline while it is open, a mark once it is overridden or expired."""
+#: Keys of state the actions are dealt over; fixed for the life of a checkpoint.
+SLOTS = 1 << 14
+
+#: Deadline of each action (None until it is known), and whether it is overridden or expired.
+Actions = dict[str, tuple[int | None, bool]]
+
+
+def next_due(actions: Actions) -> int | None:
+    """The earliest deadline still open."""
+    return min((d for d, closed in actions.values() if d is not None and not closed), default=None)
+
+
+class Deadlines(StatefulProcessor):
+    """The actions of one slot."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("action", "deadline long, closed boolean")
+        self.state = handle.getValueState(
+            "actions", "ids array<string>, deadlines array<bigint>, closed array<boolean>")
+
+    def _read(self) -> Actions:
+        held = self.state.get()
+        return {i: (d, c) for i, d, c in zip(*held)} if held else {}
+
+    def _write(self, actions: Actions) -> None:
+        self.state.update((list(actions), [d for d, _ in actions.values()], [c for _, c in actions.values()]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        deadline, closed = self.state.get() or (None, False)
-        held, was_closed = deadline, closed
-        for part in rows:
-            closed |= bool((part["kind"] == "override").any())
-            asked = part.loc[part["kind"] == "action", "deadline"].dropna()
-            if deadline is None and len(asked):
-                deadline = int(asked.min())
-        if (deadline, closed) != (held, was_closed):
-            self.state.update((deadline, closed))
-        if deadline is not None and held is None and not closed:
-            self.handle.registerTimer(deadline)
-        elif held is not None and closed and not was_closed:
-            self.handle.deleteTimer(held)
+        rows = pd.concat(list(rows), ignore_index=True)
+        actions = self._read()
+        timer, changed = next_due(actions), False
+        for name in rows.loc[rows["kind"] == "override", "action_id"]:
+            deadline, closed = actions.get(name, (None, False))
+            if not closed:
+                actions[name], changed = (deadline, True), True
+        asked = rows.loc[(rows["kind"] == "action") & rows["deadline"].notna()]
+        for name, due in asked.groupby("action_id")["deadline"].min().items():
+            deadline, closed = actions.get(name, (None, False))
+            if deadline is None:
+                actions[name], changed = (int(due), closed), True
+        if changed:
+            self._write(actions)
+            due = next_due(actions)
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline, closed = self.state.get()
-        if not closed:
-            self.state.update((deadline, True))
-            now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-            yield pd.DataFrame([(key[0], EXPIRY_ACTOR, EXPIRY_REASON, now, "AUTO_EXPIRED")],
-                               columns=["action_id", "investigator_id", "reason", "timestamp", "override_type"])
+        actions, mark = self._read(), timerValues.getCurrentWatermarkInMs()
+        due = [name for name, (d, closed) in actions.items() if d is not None and not closed and d <= mark]
+        actions.update({name: (actions[name][0], True) for name in due})
+        self._write(actions)
+        later = next_due(actions)
+        if later is not None:
+            self.handle.registerTimer(later)
+        yield pd.DataFrame({"action_id": due, "investigator_id": EXPIRY_ACTOR, "reason": EXPIRY_REASON,
+                            "timestamp": pd.Timestamp(mark, unit="ms"), "override_type": "AUTO_EXPIRED"})
 
     def close(self) -> None:
         pass
@@ -80,8 +113,9 @@ def expiries(actions: DataFrame, overrides: DataFrame, clock: DataFrame) -> Data
         .where("action_id IS NOT NULL")
         .unionByName(clock.select(F.lit("").alias("action_id"), F.lit("clock").alias("kind"),
                                   F.lit(None).cast("long").alias("deadline"), F.col("now").cast("timestamp").alias("now"))))
-    out = rows.withWatermark("now", "0 seconds").groupBy("action_id").transformWithStateInPandas(
-        Deadline(), _OUT, "Append", "EventTime")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("action_id"), F.lit(SLOTS)))
+    out = rows.withWatermark("now", "0 seconds").groupBy("slot").transformWithStateInPandas(
+        Deadlines(), _OUT, "Append", "EventTime")
     return out.withColumn("action_id", F.col("action_id").cast(actions.schema["action_id"].dataType))
 
 
