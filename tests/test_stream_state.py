@@ -216,3 +216,41 @@ def test_one_timer_serves_the_deadlines_of_a_slot():
     assert Handle.timers == {103}
     assert fire(120) == sorted(f"a{i}" for i in range(3, 21)) and Handle.timers == {121}
     assert fire(500) == sorted(f"a{i}" for i in range(21, 50)) and not Handle.timers
+
+
+def test_days_share_entries_of_the_store():
+    """A month of events takes an entry per block of days; a repeat after the oldest days have left stays out."""
+    import pandas as pd
+
+    from tillwatch.streaming.state import BLOCK, DAY, AccountWindows
+
+    class Map(dict):
+        getValue, removeKey, calls = dict.__getitem__, dict.pop, 0
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    p = AccountWindows(["event_id"], ["CASH"], [7], 2, None)
+    p.totals, p.events = Value(), Map()
+
+    def give(days):
+        rows = pd.DataFrame({"event_id": days, "state_ts": [int(d * DAY) for d in days], "state_id": [int(d) for d in days],
+                             "state_channel": 0, "state_direction": 1, "state_cents": 100, "state_own": True})
+        return {i: None if s is None else s[0] for part in p.handleInputRows(("A", 0), iter([rows]), None)
+                for i, s in zip(part["event_id"], part["sums"])}
+
+    assert give(range(30)) == {d: 100 * min(d + 1, 8) for d in range(30)}
+    assert p.events.calls == 30 // BLOCK
+    assert sorted(p._read()) == list(range(20, 30)) and sorted(p.events) == [(20,), (25,)]
+    assert give([31, 28]) == {31: 700} and sorted(p._read()) == [*range(22, 30), 31]
+    assert sorted(p.events) == [(20,), (25,), (30,)]

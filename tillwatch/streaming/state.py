@@ -1,7 +1,8 @@
 """Rolling sums of each account kept as keyed stream state.
 
-An account's events of the last weeks live in the state store, cut into days: an
-entry per day holds the day's events, one more the sums per day and channel. An
+An account's events of the last weeks live in the state store, cut into blocks of
+``BLOCK`` days: an entry per block holds its events (each call to the store costs far
+more than the bytes it carries), one more the sums per day and channel. An
 arriving event reads the sums of the whole days inside its windows and the events
 of the few days where a window begins or ends, so its sums are exact and no
 history is scanned. Accounts that a batch does not touch cost nothing.
@@ -26,6 +27,8 @@ from pyspark.sql.types import DecimalType
 from tillwatch.model import CHANNELS, WINDOW_DAYS
 
 DAY = 86_400_000_000
+#: Days whose events share an entry of the store; fixed for the life of a checkpoint.
+BLOCK = 5
 #: Per channel: total, credit and debit cents, then how many.
 STATS = ["total_amt", "cr_amt", "db_amt", "total_txns", "cr_txns", "db_txns"]
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,6 +45,11 @@ def stats_of(events: np.ndarray) -> np.ndarray:
     return out
 
 
+def block_of(day):
+    """First day of the block that holds a day (a number or an array)."""
+    return day - day % BLOCK
+
+
 def window_sums(at: np.ndarray, ts: np.ndarray, channel: np.ndarray, stats: np.ndarray, channels: int,
                 windows: list[int]) -> np.ndarray:
     """(points x windows x channels x 6) sums over ``at - window <= ts <= at``."""
@@ -84,27 +92,31 @@ class AccountWindows(StatefulProcessor):
         floor = max(totals, default=-(1 << 30)) - self.keep
         day = new["ts"] // DAY
         old = day < floor
-        held: dict[int, np.ndarray] = {}
+        stored, held = set(map(block_of, totals)), {}
 
-        def load(d: int) -> np.ndarray:
-            if d not in held:
-                held[d] = np.frombuffer(self.events.getValue((d,))[0], _EVENT) if d in totals else np.zeros(0, _EVENT)
-            return held[d]
+        def load(b: int) -> np.ndarray:
+            if b not in held:
+                held[b] = np.frombuffer(self.events.getValue((b,))[0], _EVENT) if b in stored else np.zeros(0, _EVENT)
+            return held[b]
 
         fresh = old.copy()
-        for d in np.unique(day[~old]).tolist():
-            at = np.flatnonzero((day == d) & ~old)
-            known = set(load(d)[["ts", "id"]].tolist())
-            add = [i for i in at.tolist() if not ((pair := new[["ts", "id"]][i].item()) in known or known.add(pair))]
+        block = block_of(day)
+        for b in np.unique(block[~old]).tolist():
+            at = np.flatnonzero((block == b) & ~old)
+            known = set(load(b)[["ts", "id"]].tolist())
+            pairs = new[["ts", "id"]][at].tolist()
+            add = [i for i, pair in zip(at.tolist(), pairs) if not (pair in known or known.add(pair))]
             fresh[add] = True
             mine = [i for i in add if own[i]]
             if mine:
-                held[d] = np.concatenate([held[d], new[mine]])
-                sums = np.zeros((len(self.channels), 6), np.int64)
-                counted = held[d][held[d]["channel"] >= 0]
-                np.add.at(sums, counted["channel"].astype(np.int64), stats_of(counted))
-                totals[d] = sums
-                self.events.updateValue((d,), (held[d].tobytes(),))
+                held[b] = np.concatenate([held[b], new[mine]])
+                held_day = held[b]["ts"] // DAY
+                for d in np.unique(day[mine]).tolist():
+                    sums = np.zeros((len(self.channels), 6), np.int64)
+                    counted = held[b][(held_day == d) & (held[b]["channel"] >= 0)]
+                    np.add.at(sums, counted["channel"].astype(np.int64), stats_of(counted))
+                    totals[d] = sums
+                self.events.updateValue((b,), (held[b].tobytes(),))
         answered = np.flatnonzero(fresh & ~old & (day - max(self.windows) >= floor))
         passed = np.setdiff1d(np.flatnonzero(fresh), answered)
         if len(passed):
@@ -112,9 +124,11 @@ class AccountWindows(StatefulProcessor):
         if len(answered):
             yield self._out(rows, answered, self._sums(new["ts"][answered], totals, load))
         newest = max(totals, default=0)
-        for d in [d for d in totals if d < newest - self.keep]:
+        gone = [d for d in totals if d < newest - self.keep]
+        for d in gone:
             del totals[d]
-            self.events.removeKey((d,))
+        for b in set(map(block_of, gone)) - set(map(block_of, totals)):
+            self.events.removeKey((b,))
         if totals:
             self.totals.update((b"".join([np.int64(d).tobytes() + x.tobytes() for d, x in totals.items()]),))
 
@@ -127,9 +141,10 @@ class AccountWindows(StatefulProcessor):
 
     def _sums(self, at: np.ndarray, totals: dict[int, np.ndarray], load) -> np.ndarray:
         edges = {int(d) for w in (0, *self.windows) for d in np.unique((at - w * DAY) // DAY)} & set(totals)
-        parts = [load(d) for d in sorted(edges)]
+        parts = [load(b) for b in sorted(set(map(block_of, edges)))]
         whole = sorted(d for d in set(totals) - edges if any(((at // DAY) > d) & ((at - max(self.windows) * DAY) // DAY < d)))
         events = np.concatenate([np.zeros(0, _EVENT), *parts])
+        events = events[np.isin(events["ts"] // DAY, sorted(edges))]
         n = len(self.channels)
         # A day that no window cuts counts as one entry per channel.
         ts = np.concatenate([events["ts"], np.repeat(np.array(whole, np.int64) * DAY, n)])
