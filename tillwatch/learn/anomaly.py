@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.operators.clean import to_long
-from tillwatch.operators.ordering import exact_quantiles
 from tillwatch.operators.prep import as_array
+from tillwatch.operators.wide import column_quantiles
 from tillwatch.session import settle
 
 _SPACE = 1_000_000_007
@@ -146,10 +145,9 @@ class FrozenEcod:
                        F.count(F.lit(1)).alias("n")).first()
         ladder = rank_ladder(facts["n"], ratio)
         probs = [(r - 1) / max(facts["n"] - 1, 1) for r in ladder]
-        rows = exact_quantiles(to_long(df, cols), ["feature"], "value", probs).collect()  # a ladder per column
-        found = {r["feature"]: r for r in rows}
-        counts = [found[c]["n"] if c in found else 0 for c in cols]
-        return FrozenEcod(list(cols), [list(found[c]["q"]) if c in found else [] for c in cols],
+        found = {c: f for (_, c), f in column_quantiles(df, cols, probs).items()}  # a ladder per column
+        counts = [found[c][1] if c in found else 0 for c in cols]
+        return FrozenEcod(list(cols), [found[c][0] if c in found else [] for c in cols],
                           [[p * (n - 1) + 1 for p in probs] for n in counts], counts,
                           [bool((facts[i] or 0) < 0) for i in range(len(cols))])
 

@@ -27,11 +27,11 @@ from tillwatch.learn.prototype import Prototypes
 from tillwatch.learn.score import load_upload, persist_upload
 from tillwatch.learn.stack import fit_meta
 from tillwatch.learn.treeshap import contributions_column
-from tillwatch.operators.clean import align_schema, clean_matrix, median_table, to_long
+from tillwatch.operators.clean import align_schema, clean_matrix, column_medians
 from tillwatch.operators.joins import lookalike_pool
 from tillwatch.operators.metrics import class_balance
 from tillwatch.operators.prep import (
-    Engineered, QuantileMap, RobustScale, as_array, labelled_long, top_features)
+    Engineered, QuantileMap, RobustScale, as_array, top_features)
 from tillwatch.operators.profiles import frozen_minmax, score_range
 from tillwatch.session import settle
 
@@ -73,9 +73,9 @@ class Bundle:
         ranked = oof.select("account_id", "label", F.greatest(*[F.col(c) for c in STACKED]).alias("score"))
         pool = settle(lookalike_pool(ranked, pool_size).select("account_id", "label").join(
             data.drop("label"), "account_id"))
-        cascade_cols = top_features(labelled_long(pool, final), n_cascade)
+        cascade_cols = top_features(pool, final, n_cascade)
         out = Bundle(
-            columns=final, medians=median_table(to_long(data, final)), prep=prep, focal_prep=focal_prep,
+            columns=final, medians=column_medians(data, final), prep=prep, focal_prep=focal_prep,
             gbt=boost.fit_weighted_gbt(ready, rounds, depth, seed),
             forest=boost.fit_weighted_forest(ready, trees, depth, seed),
             nnpu=boost.fit_newton(ready, boost.nnpu_objective(prior), rounds, depth=depth, seed=seed),

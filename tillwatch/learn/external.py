@@ -11,7 +11,7 @@ from tillwatch.learn import boost
 from tillwatch.learn.data import assemble
 from tillwatch.learn.folds import out_of_fold
 from tillwatch.operators.metrics import class_balance, fold_stats, precision_at_k, rank_average, ranking_quality
-from tillwatch.operators.prep import RobustScale, labelled_long, stable_features, top_features
+from tillwatch.operators.prep import RobustScale, stable_features, top_features
 from tillwatch.session import settle
 
 ARMS = [("baseline", False, False), ("focal", True, False), ("stability", False, True), ("full", True, True)]
@@ -20,7 +20,7 @@ ARMS = [("baseline", False, False), ("focal", True, False), ("stability", False,
 def _learner(cols, n_select, focal, stable, rounds, runs, seed):
     def fit(train):
         top = stable_features(train, cols, n_select, runs, seed=seed) if stable \
-            else top_features(labelled_long(train, cols), n_select)
+            else top_features(train, cols, n_select)
         scale = RobustScale.fit(train, top)
 
         def ready(d):

@@ -14,7 +14,7 @@ from tillwatch.learn import boost
 from tillwatch.learn.data import assemble
 from tillwatch.operators.joins import lookalike_pool
 from tillwatch.operators.metrics import depth_curve, precision_at_k, ranking_quality, top_k
-from tillwatch.operators.prep import labelled_long, stratified_folds, top_features
+from tillwatch.operators.prep import stratified_folds, top_features
 from tillwatch.session import settle
 
 DEFAULT_EXCLUDE = ["ecod", "iforest"]
@@ -92,7 +92,7 @@ def cascade(ranked: DataFrame, features: DataFrame, cols: list[str], pool_size:
     parts = []
     for f in range(k):
         train, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        top = top_features(labelled_long(train, cols), n_features)
+        top = top_features(train, cols, n_features)
         keep = ("account_id", "label")
         model = boost.fit_weighted_gbt(settle(assemble(train, top, keep)), rounds, 5, seed)
         parts.append(settle(boost.probability(model, assemble(held, top, keep)).select(*keep, "score")))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tillwatch.model import LEAK_COLUMNS
 from tillwatch.operators.ordering import exact_quantiles
+from tillwatch.operators.wide import column_quantiles
 
 
 def drop_leaks(df: DataFrame) -> DataFrame:
@@ -76,6 +77,11 @@ def median_table(long: DataFrame) -> dict[str, float]:
     return {r["feature"]: r["median"] for r in medians(long).collect()}
 
 
+def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
+    """``median_table`` of the columns of a matrix, without its long form."""
+    return {c: q[0] for (_, c), (q, _) in column_quantiles(df, cols, [0.5]).items()}
+
+
 def impute(df: DataFrame, cols: list[str], table: dict[str, float]) -> DataFrame:
     """Replace NULL by the given medians; 0.0 where a feature has none."""
     filled = set(cols)
@@ -99,10 +105,9 @@ def correlated_columns(df: DataFrame, cols: list[str], limit: float = 0.95) -> l
 
 def clean_matrix(df: DataFrame, cols: list[str], key: str = "account_id") -> tuple[DataFrame, list[str]]:
     """Drop constants, impute medians, prune correlated columns; never looks at labels."""
-    long = to_long(df, cols, key)
-    keep = set(varying_features(long))
+    keep = set(varying_features(to_long(df, cols, key)))
     kept = [c for c in cols if c in keep]
-    filled = impute(df, kept, median_table(long.where(F.col("feature").isin(kept))))
+    filled = impute(df, kept, column_medians(df, kept))
     gone = set(correlated_columns(filled, kept))
     final = [c for c in kept if c not in gone]
     return filled.select(key, *final), final
