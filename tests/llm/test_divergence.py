@@ -112,3 +112,13 @@ def test_shares_are_exact_beyond_64_bits():
         total = rnd.randrange(3, 9 * 10**15)
         n = rnd.randrange(0, total - 2)
         assert int(D.share(np.array([n]), np.array([total]))[0]) == 1 + 10**9 * (n + 2) // total
+
+
+def test_a_pack_is_small_whatever_a_task_gets(spark):
+    text = "some words that repeat " * 1000
+    docs = frame(spark, [(text, "en", f"s{k % 3}") for k in range(200)] + [(text * 60, "en", "s1"), (None, "en", "s2")])
+    packs = D.term_packs(docs.coalesce(1)).collect()
+    assert sum(len(r["langs"]) for r in packs) == 202
+    assert max(len(r["langs"]) for r in packs) * len(text) <= 1_200_000
+    terms = D.terms_of([" ".join(f"t{'x' * (k % 9)}{chr(97 + k % 26)}" for k in range(40_000)).encode()])[0]
+    assert D._hashes(terms)[20_000:].tolist() == D._hashes(terms.slice(20_000)).tolist()

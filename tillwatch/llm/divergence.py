@@ -36,9 +36,12 @@ MAP_BITS = 1 << 24
 #: Terms a task compares at once, and sources on each side of a block pair.
 CHUNK_TERMS = 4096
 BLOCK_SOURCES = 64
+#: Bytes of text in a pack, which a Python task unpacks whole, and terms it hashes at once.
+PACK_CHARS = 1_000_000
+_HASHED_TERMS = 16_384
 #: Rows a task adds up before it sends them on, and rows it hands over at once.
-HELD_ROWS = 1_000_000
-_ROWS_OUT = 50_000
+HELD_ROWS = 500_000
+_ROWS_OUT = 10_000
 #: A-Z to lower case, every other ASCII character that is not a letter to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SCALE = 1_000_000_000
@@ -88,8 +91,8 @@ def term_packs(docs: DataFrame) -> DataFrame:
     """
     arrow = arrow_schema(_PACK)
 
-    def run(batches):
-        for batch in steps(batches):
+    def pack(batches):
+        for batch in steps(batches, limit=PACK_CHARS):
             terms, n = terms_of(pc.fill_null(batch.column(0), "").cast(pa.binary()).to_pylist())
             coded = terms.dictionary_encode()
             order = np.asarray(pc.array_sort_indices(coded.dictionary), np.int64)
@@ -106,6 +109,10 @@ def term_packs(docs: DataFrame) -> DataFrame:
                 "vocabulary": words.tobytes(), "widths": [x.itemsize for x in parts],
                 **dict(zip(("sizes", "lengths", "codes", "counts"), (x.tobytes() for x in parts)))}], schema=arrow)
 
+    def run(batches):
+        yield from pack(batches)
+        pa.default_memory_pool().release_unused()
+
     return docs.select("text", *_groups_of()).mapInArrow(run, _PACK)
 
 
@@ -116,10 +123,13 @@ def _groups_of() -> list:
 # --- bit maps ---------------------------------------------------------------------
 
 def _hashes(terms: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each term, over all its bytes."""
+    """A 64-bit hash of each term, over all its bytes; a bounded number of terms at once."""
+    return np.concatenate([np.zeros(0, np.uint64), *(
+        _hashes_of(terms.slice(at, _HASHED_TERMS)) for at in range(0, len(terms), _HASHED_TERMS))])
+
+
+def _hashes_of(terms: pa.Array) -> np.ndarray:
     data, lengths = _parts(terms)
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
     starts = np.cumsum(lengths) - lengths
     powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
     place = np.arange(len(data)) - np.repeat(starts, lengths)
@@ -160,9 +170,9 @@ class _Pack:
         self.langs, self.sources = list(names), row["sources"]
         self.lang_of = np.array([names[x] for x in row["langs"]], np.int64)
         sizes, self.length, self.code, self.count = (
-            np.frombuffer(row[c], f"<u{w}").astype(np.int64)
-            for c, w in zip(("sizes", "lengths", "codes", "counts"), row["widths"]))
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+            np.frombuffer(row[c], f"<u{w}").astype(t)
+            for c, w, t in zip(("sizes", "lengths", "codes", "counts"), row["widths"], (np.int64, np.int64, np.int32, np.int32)))
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.terms = _binary(np.frombuffer(row["vocabulary"], np.uint8), self.length)
 
     def take(self, mask: np.ndarray) -> None:
@@ -230,6 +240,9 @@ def _summed(table: DataFrame, make, keys: str, values: str) -> DataFrame:
                     n = sum(t.num_rows for t in held)
         if held:
             yield from total().to_batches(max_chunksize=_ROWS_OUT)
+        # The Python worker lives on; what this task took goes back to the executor.
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return (table.mapInArrow(run, f"{keys}, {values}").groupBy(*names)
             .agg(*[F.sum(x).alias(x) for x in sums]))
@@ -306,7 +319,7 @@ def term_counts(table: DataFrame, kept: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
         group, code = np.divmod(pairs[first], len(pack.terms))
         return [_named([pack.langs[x] for x, _ in names], group), _named([x for _, x in names], group),
-                pack.terms.take(pa.array(code)), pa.array(np.add.reduceat(pack.count[order], first))]
+                pack.terms.take(pa.array(code)), pa.array(np.add.reduceat(pack.count[order], first, dtype=np.int64))]
 
     return (_summed(table, make, "lang string, source string, term binary", "n bigint")
             .join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
