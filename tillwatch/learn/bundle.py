@@ -7,19 +7,19 @@ scoring run has no shuffle at all, whatever the number of models.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel)
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import PCAModel, StandardScalerModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.functions.severity import band_score, percent, recommended_action
-from tillwatch.learn import boost
+from tillwatch.learn import boost, hist
 from tillwatch.learn.anomaly import FrozenEcod, IsolationForest
 from tillwatch.learn.clusters import RankSpace
 from tillwatch.learn.data import Prepared, assemble
@@ -37,6 +37,7 @@ from tillwatch.session import settle
 
 STACKED = ["nnpu", "gbt", "forest", "focal", "proto"]
 ANOMALY = ["ecod", "iforest"]
+BOOSTED = ["gbt", "nnpu", "focal", "cascade"]
 
 
 @dataclass
@@ -45,46 +46,63 @@ class Bundle:
     medians: dict[str, float]
     prep: Prepared
     focal_prep: Prepared
-    gbt: GBTClassificationModel
+    gbt: hist.HistModel
     forest: RandomForestClassificationModel
-    nnpu: boost.NewtonModel
-    focal: boost.NewtonModel
+    nnpu: hist.HistModel
+    focal: hist.HistModel
     proto: Prototypes
     ecod: FrozenEcod
     iforest: IsolationForest
     ranges: dict[str, list[float]]
     meta: LogisticRegressionModel
-    cascade: GBTClassificationModel
+    cascade: hist.HistModel
     cascade_cols: list[str]
     space: RankSpace
 
     @staticmethod
-    def fit(raw: DataFrame, cols: list[str], oof: DataFrame, n_select: int = 150, rounds: int = 20,
-            depth: int = 4, stability_runs: int = 10, pool_size: int = 400, n_cascade: int = 80,
-            trees: int = 50, prior: float = 0.01, seed: int = 42) -> "Bundle":
-        """``raw`` has account_id, label and columns; ``oof`` one out-of-fold column per stacked model."""
+    def fit(raw: DataFrame, cols: list[str], oof: DataFrame, n_select: int = 150, stability_runs: int = 10,
+            pool_size: int = 400, n_cascade: int = 80, trees: int = 50, prior: float = 0.01, seed: int = 42,
+            gbt_rounds: int = 1000, nnpu_rounds: int = 200, focal_rounds: int = 300,
+            cascade_rounds: int = 200) -> "Bundle":
+        """``raw`` has account_id, label and columns; ``oof`` one out-of-fold column per stacked model.
+
+        The boosted models have the depths and rates of their out-of-fold learners and are fitted side by side.
+        """
         clean, final = clean_matrix(raw, cols)
         data = settle(clean.join(raw.select("account_id", "label"), "account_id"))
-        prep = Prepared.fit(data, final, n_select, seed=seed)
-        focal_prep = Prepared.fit(data, final, n_select, stability_runs, seed)
-        ready, focal_ready = settle(prep.transform(data)), settle(focal_prep.transform(data))
         alpha = float(class_balance(data).first()["alpha"])
-        meta = fit_meta(settle(assemble(oof, STACKED, ("account_id", "label"))))
-        ranked = oof.select("account_id", "label", F.greatest(*[F.col(c) for c in STACKED]).alias("score"))
-        pool = settle(lookalike_pool(ranked, pool_size).select("account_id", "label").join(
-            data.drop("label"), "account_id"))
-        cascade_cols = top_features(pool, final, n_cascade)
-        out = Bundle(
-            columns=final, medians=column_medians(data, final), prep=prep, focal_prep=focal_prep,
-            gbt=boost.fit_weighted_gbt(ready, rounds, depth, seed),
-            forest=boost.fit_weighted_forest(ready, trees, depth, seed),
-            nnpu=boost.fit_newton(ready, boost.nnpu_objective(prior), rounds, depth=depth, seed=seed),
-            focal=boost.fit_newton(focal_ready, boost.focal_objective(alpha), rounds, depth=depth, seed=seed),
-            proto=Prototypes.fit(ready, seed=seed), ecod=FrozenEcod.fit(data, final),
-            iforest=IsolationForest.fit(data, final, trees, seed=seed), ranges={}, meta=meta,
-            cascade=boost.fit_weighted_gbt(settle(assemble(pool, cascade_cols, ("account_id", "label"))),
-                                           rounds, depth, seed),
-            cascade_cols=cascade_cols, space=RankSpace.fit(data, final, seed=seed))
+        plain = Prepared.chosen(data, final, n_select, seed=seed)
+
+        def focal():
+            eng = Prepared.chosen(data, final, n_select, stability_runs, seed)
+            return hist.fit_engineered(data, eng, hist.Focal(alpha), focal_rounds, 0.05, 4, seed=seed)
+
+        def cascade():
+            ranked = oof.select("account_id", "label", F.greatest(*[F.col(c) for c in STACKED]).alias("score"))
+            pool = settle(lookalike_pool(ranked, pool_size).select("account_id", "label").join(
+                data.drop("label"), "account_id"))
+            chosen = top_features(pool, final, n_cascade)
+            rows = settle(assemble(pool, chosen, ("account_id", "label")))
+            return chosen, hist.fit(rows, hist.WeightedLogistic(), cascade_rounds, 0.05, 5, seed=seed)
+
+        side = inheritable_thread_target(raw.sparkSession)
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            gbt = pool.submit(side(lambda: hist.fit_engineered(
+                data, plain, hist.WeightedLogistic(), gbt_rounds, 0.1, 5, patience=50, seed=seed)))
+            nnpu = pool.submit(side(lambda: hist.fit_engineered(
+                data, plain, hist.NonNegativePU(prior), nnpu_rounds, 0.05, 4, seed=seed)))
+            others = pool.submit(side(focal)), pool.submit(side(cascade))
+            meta = fit_meta(settle(assemble(oof, STACKED, ("account_id", "label"))))
+            ecod, iforest = FrozenEcod.fit(data, final), IsolationForest.fit(data, final, seed=seed)
+            space = RankSpace.fit(data, final, seed=seed)
+            prep, nnpu = nnpu.result()
+            ready = settle(prep.transform(data))
+            forest, proto = boost.fit_weighted_forest(ready, trees, seed=seed), Prototypes.fit(ready, seed=seed)
+            (focal_prep, focal_model), (cascade_cols, cascade_model) = (f.result() for f in others)
+            out = Bundle(
+                columns=final, medians=column_medians(data, final), prep=prep, focal_prep=focal_prep,
+                gbt=gbt.result()[1], forest=forest, nnpu=nnpu, focal=focal_model, proto=proto, ecod=ecod,
+                iforest=iforest, ranges={}, meta=meta, cascade=cascade_model, cascade_cols=cascade_cols, space=space)
         anomalies = settle(data.select(out.ecod.column().alias("ecod"), out.iforest.column().alias("iforest")))
         out.ranges = {a: list(score_range(anomalies, a)) for a in ANOMALY}
         return out
@@ -101,7 +119,7 @@ class Bundle:
         carry = ("label",) if labelled else ()
         aligned, report = align_schema(new, self.columns, self.medians, strict=strict, carry=carry)
         df = self.focal_prep.add(self.prep.add(aligned, "_a"), "_f")
-        df = self._with(df, "_a", "gbt", lambda d: boost.probability(self.gbt, d))
+        df = self._with(df, "_a", "gbt", self.gbt.score)
         df = self._with(df, "_a", "forest", lambda d: boost.probability(self.forest, d))
         df = self._with(df, "_a", "nnpu", self.nnpu.score)
         df = self._with(df, "_f", "focal", self.focal.score)
@@ -112,11 +130,11 @@ class Bundle:
         df = df.withColumn("_m", array_to_vector(as_array(STACKED)))
         df = self._with(df, "_m", "main", lambda d: boost.probability(self.meta, d))
         df = df.withColumn("_c", array_to_vector(as_array(self.cascade_cols)))
-        df = self._with(df, "_c", "cascade", lambda d: boost.probability(self.cascade, d))
+        df = self._with(df, "_c", "cascade", self.cascade.score)
         df = self.space.add(df)
         if explain:
             df = df.withColumn("shap", contributions_column(
-                self.gbt.trees, list(self.gbt.treeWeights), self.prep.engineered.names, explain, "_a"))
+                self.gbt.leaves(), [self.gbt.rate] * len(self.gbt.trees), self.prep.engineered.names, explain, "_a"))
         else:
             df = df.withColumn("shap", F.lit(None))
         main = F.col("main") * F.lit(100.0)
@@ -133,16 +151,14 @@ class Bundle:
     # ---- persistence -------------------------------------------------------
     def save(self, spark: SparkSession, root: str) -> None:
         """Models in their ML format, everything else as one JSON line; the path must be new."""
-        models = {"gbt": self.gbt, "forest": self.forest, "meta": self.meta, "cascade": self.cascade,
-                  "kmeans": self.space.kmeans, "center": self.space.center, "pca": self.space.pca}
-        models |= {f"nnpu_{i}": t for i, t in enumerate(self.nnpu.trees)}
-        models |= {f"focal_{i}": t for i, t in enumerate(self.focal.trees)}
+        models = {"forest": self.forest, "meta": self.meta, "kmeans": self.space.kmeans,
+                  "center": self.space.center, "pca": self.space.pca}
         for name, m in models.items():
             m.save(f"{root}/{name}")
         params = {
             "columns": self.columns, "medians": self.medians, "ranges": self.ranges,
             "prep": _prep_out(self.prep), "focal_prep": _prep_out(self.focal_prep),
-            "nnpu": [self.nnpu.rate, len(self.nnpu.trees)], "focal": [self.focal.rate, len(self.focal.trees)],
+            **{name: getattr(self, name).state() for name in BOOSTED},
             "proto": [self.proto.positive, self.proto.negative],
             "ecod": [self.ecod.landmarks, self.ecod.ranks, self.ecod.counts, self.ecod.left], "iforest": [self.iforest.trees, self.iforest.size],
             "cascade_cols": self.cascade_cols, "ranks": self.space.ranks.landmarks,
@@ -152,20 +168,14 @@ class Bundle:
     @staticmethod
     def load(spark: SparkSession, root: str) -> "Bundle":
         p = json.loads(spark.read.text(f"{root}/params", wholetext=True).first()[0])
-        tree = DecisionTreeRegressionModel.load
-
-        def newton(name: str) -> boost.NewtonModel:
-            rate, n = p[name]
-            return boost.NewtonModel(rate, [tree(f"{root}/{name}_{i}") for i in range(n)])
-
         cols = p["columns"]
         return Bundle(
             columns=cols, medians=p["medians"], prep=_prep_in(p["prep"]), focal_prep=_prep_in(p["focal_prep"]),
-            gbt=GBTClassificationModel.load(f"{root}/gbt"),
-            forest=RandomForestClassificationModel.load(f"{root}/forest"), nnpu=newton("nnpu"), focal=newton("focal"),
+            **{name: hist.HistModel.of(p[name]) for name in BOOSTED},
+            forest=RandomForestClassificationModel.load(f"{root}/forest"),
             proto=Prototypes(*p["proto"]), ecod=FrozenEcod(cols, *p["ecod"]), iforest=IsolationForest(cols, *p["iforest"]),
             ranges=p["ranges"], meta=LogisticRegressionModel.load(f"{root}/meta"),
-            cascade=GBTClassificationModel.load(f"{root}/cascade"), cascade_cols=p["cascade_cols"],
+            cascade_cols=p["cascade_cols"],
             space=RankSpace(cols, QuantileMap(cols, p["ranks"]), KMeansModel.load(f"{root}/kmeans"),
                             StandardScalerModel.load(f"{root}/center"), PCAModel.load(f"{root}/pca")))
 
